@@ -68,7 +68,7 @@ def retry_events(outcomes: DataFrame, slicing: Slicing, retry_us: int, attempts:
     """The sends of each command: at once, then every ``retry_us`` while it is open."""
     at = F.unix_micros(slicing.time)
     tries = F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt")
-    sends = outcomes.select("*", tries).withColumn("send_time", F.timestamp_micros(at + (F.col("attempt") - 1) * F.lit(retry_us)))
+    sends = outcomes.select("*", tries).withColumn("send_time", F.timestamp_micros(at + (F.col("attempt").cast("long") - 1) * F.lit(retry_us)))
     return sends.where((F.col("attempt") == 1) | (F.col("send_time") < F.col("end_time")))
 
 

@@ -227,7 +227,7 @@ def future_grid(df: DataFrame, freq_min: int, steps: int, key: str = "id_board")
     last = df.groupBy(key).agg(F.max("_time").alias("_last"))
     step = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
     return last.select(key, "_last", step).select(
-        key, "step", F.timestamp_micros(_us("_last") + F.col("step") * F.lit(freq_min * MINUTE_US)).alias("_time"))
+        key, "step", F.timestamp_micros(_us("_last") + F.col("step").cast("long") * F.lit(freq_min * MINUTE_US)).alias("_time"))
 
 
 def horizon(df: DataFrame, hours: float = 2.0, keys: Sequence[str] = ("id_board",)) -> DataFrame:

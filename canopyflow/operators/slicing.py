@@ -161,7 +161,7 @@ def edge_rows(df: DataFrame, slicing: Slicing, order: Sequence[str], n: int, tai
     near = kept.groupBy(*on).agg(F.collect_list(row).alias("_edge"))
     # each neighbour slice holds at least one row, so n neighbours are enough for n rows
     over = slicing._slices(F.col(SLICE).asc() if tail else F.col(SLICE).desc()).rowsBetween(-n, -1)
-    rows = near.select(*on, F.explode(F.flatten(F.collect_list("_edge").over(over))).alias("_r"))
+    rows = near.select(*on, F.flatten(F.collect_list("_edge").over(over)).alias("_rows")).select(*on, F.explode("_rows").alias("_r"))
     nearest = slicing.window(*[away(F.col("_r")[c]) for c in order])
     picked = rows.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= n)
     return picked.select(*[F.col(c) if c in on else F.col("_r")[c].alias(c) for c in cols])

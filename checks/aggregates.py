@@ -102,14 +102,14 @@ _MODELS = [f"m{i}" for i in range(6)]
 
 
 @query("metric_matrix", "SELECT task, " + ", ".join(
-    f"round(max(MAE) FILTER (WHERE model_name = '{m}'), 9) AS {m}, coalesce(max('Tr: ' || printf('%.3f', train_MAE) || ' / Te: ' || printf('%.3f', MAE)) FILTER (WHERE model_name = '{m}'), 'N/A') AS {m}_text"
+    f"round(max(MAE) FILTER (WHERE model_name = '{m}'), 9) AS {m}, coalesce(max('Tr: ' || printf('%.3f', round(train_MAE, 3)) || ' / Te: ' || printf('%.3f', round(MAE, 3))) FILTER (WHERE model_name = '{m}'), 'N/A') AS {m}_text"
     for m in _MODELS) + " FROM reports GROUP BY task", "reports")
 def metric_matrix(spark, sf):
     d = reshape.metric_matrix(reports(spark, sf), "MAE", _MODELS)
     return d.select("task", *[c for m in _MODELS for c in (r(m).alias(m), F.col(f"{m}_text"))])
 
 
-@query("nested_summary", """SELECT task, count(*) AS models, string_agg(model_name || '=' || printf('%.3f', RMSE), ',' ORDER BY model_name) AS text FROM reports GROUP BY 1""", "reports")
+@query("nested_summary", """SELECT task, count(*) AS models, string_agg(model_name || '=' || printf('%.3f', round(RMSE, 3)), ',' ORDER BY model_name) AS text FROM reports GROUP BY 1""", "reports")
 def nested_summary(spark, sf):
     d = reshape.summary(reports(spark, sf), ["MAE", "RMSE"])
     pairs = F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"]["RMSE"])))

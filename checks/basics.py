@@ -94,9 +94,9 @@ def override_latest(spark, sf):
     return d.select("id_board", us(), "air_temp", "humidity", "soil_moisture")
 
 
-@query("round_cols", "SELECT event_id, round(value * 1.0007, 3) AS value FROM ev")
+@query("round_cols", "SELECT event_id, round(sqrt(value), 3) AS value FROM ev")
 def round_cols(spark, sf):
-    return filters.round_cols(events.events(spark, sf).select("event_id", (F.col("value") * 1.0007).alias("value")), ["value"], 3)
+    return filters.round_cols(events.events(spark, sf).select("event_id", F.sqrt("value").alias("value")), ["value"], 3)
 
 
 @query("clamp_command", """SELECT event_id, CASE WHEN CAST(k AS BIGINT) % 7 = 0 THEN 0.0 ELSE greatest(0.0, least(255.0, value * 10 - 30)) END AS value,

@@ -21,7 +21,7 @@ BEFORE = "(PARTITION BY id_board ORDER BY _time ROWS BETWEEN UNBOUNDED PRECEDING
 FROM = "(PARTITION BY id_board ORDER BY _time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
 _LAGS = ",\n ".join(
-    f"CASE WHEN epoch_us(_time) - lag(epoch_us(_time), {i}) OVER w <= {i} * 9 * {MIN} THEN lag({c}, {i}) OVER w END AS {c}_lag_{i}"
+    f"CASE WHEN epoch_us(_time) - lag(epoch_us(_time), {i}) OVER w <= {i * 9 * MIN} THEN lag({c}, {i}) OVER w END AS {c}_lag_{i}"
     for c in ("air_temp", "soil_moisture") for i in range(1, 7))
 
 
@@ -211,13 +211,13 @@ def range_rules(spark, sf):
     return seq.range_rules(events.wide(spark, sf)).select("id_board", us(), "water_temp", "tds")
 
 
-@query("future_grid", f"""SELECT id_board, step, epoch_us(last) + step * 6 * {MIN} AS t_us FROM (SELECT id_board, max(_time) AS last FROM points GROUP BY 1),
+@query("future_grid", f"""SELECT id_board, step, epoch_us(last) + step * {6 * MIN} AS t_us FROM (SELECT id_board, max(_time) AS last FROM points GROUP BY 1),
  (SELECT unnest(range(1, 31))::INT AS step)""", "points")
 def future_grid(spark, sf):
     return seq.future_grid(events.points(spark, sf), 6, 30).select("id_board", "step", us())
 
 
-@query("horizon_cut", f"""SELECT id_board, _field, seq FROM points QUALIFY epoch_us(_time) <= min(epoch_us(_time)) OVER (PARTITION BY id_board, _field) + 20 * 24 * 60 * {MIN}""", "points")
+@query("horizon_cut", f"""SELECT id_board, _field, seq FROM points QUALIFY epoch_us(_time) <= min(epoch_us(_time)) OVER (PARTITION BY id_board, _field) + 20::BIGINT * 24 * 60 * {MIN}""", "points")
 def horizon_cut(spark, sf):
     return seq.horizon(events.points(spark, sf), 20 * 24, ["id_board", "_field"]).select("id_board", "_field", "seq")
 
@@ -235,7 +235,7 @@ def _history_sql(hours: int) -> str:
   SELECT id_board, anchor - INTERVAL {hours} HOUR AS start, anchor + INTERVAL 3 HOUR AS stop, TIMESTAMP '2024-02-01' - newest > INTERVAL {hours} HOUR AS is_stale FROM (
    SELECT id_board, max(_time) AS newest, CASE WHEN bool_or(_time >= TIMESTAMP '2024-02-01' - INTERVAL {hours} HOUR AND _time < TIMESTAMP '2024-02-01' + INTERVAL 3 HOUR)
     THEN TIMESTAMP '2024-02-01' ELSE max(_time) END AS anchor FROM points GROUP BY id_board)) USING (id_board)
-  WHERE _time >= start AND _time < stop GROUP BY ALL)))"""
+  WHERE _time >= start AND _time < stop GROUP BY ALL))"""
 
 
 def _history(spark, sf, hours):
