@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,24 +95,6 @@ def split_sync(df: DataFrame, flag: str = "sync") -> tuple[DataFrame, DataFrame]
     return df.where(~is_sync), df.where(is_sync)
 
 
-Step = Callable[[DataFrame, Column], DataFrame]
-
-
-def clean_series(df: DataFrame, registry: Mapping[str, Sequence[str]], steps: Mapping[str, Step], default: str) -> DataFrame:
-    """Apply each board's ordered steps in one plan.
-
-    A step gets the frame and a condition saying for which rows it holds, so boards with different lists share
-    one pass. Steps run in the order of the default list, which must contain every other list as a subsequence;
-    a board outside the registry takes the default list.
-    """
-    order = registry[default]
-    board = F.col("id_board")
-    for i, name in enumerate(order):
-        without = [b for b, names in registry.items() if name not in names]
-        df = steps[name](df, ~board.isin(without) if without else F.lit(True))
-    return df
-
-
 def with_indoor(df: DataFrame, places: Mapping[str, int] = INDOOR) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
     return df.withColumn("is_indoor", F.coalesce(F.element_at(table, F.col("id_board")), F.lit(0)))

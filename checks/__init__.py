@@ -3,4 +3,4 @@
 
 def all_checks() -> None:
     """Import the modules that register queries."""
-    from checks import aggregates, basics, joins, models, scans, sequences, streams  # noqa: F401
+    from checks import aggregates, basics, cleaning, joins, models, scans, sequences, streams  # noqa: F401
