@@ -61,7 +61,7 @@ def clean_grid(wide: DataFrame, slicing: sl.Slicing, freq_min: int = C.FREQ_MIN,
     d = clean_series(wide.select("id_board", "_time", *fields), slicing, steps)
     g = materialise(resample(d, fields, freq_min))
     out = seq.interpolate(g, sl.fit(g, ["id_board"]), fields, freq_min)
-    return out.na.drop("all", subset=fields)
+    return materialise(out.na.drop("all", subset=fields))
 
 
 def sync_clean(raw: DataFrame, clean: DataFrame, freq_min: int = C.FREQ_MIN, steps: Mapping[str, Sequence[str]] = BOARD_STEPS,

@@ -23,7 +23,7 @@ def fill_ctes(name: str, src: str, cap: float = 42, two_var: float = 450.0) -> s
     near = f"list_filter(r.hist || [b.nx.a, b.nx.b], lambda x: x IS NOT NULL)"
     return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) AS rn FROM {src}),
 {name}_o AS (SELECT g, rn, {{'t': t, 'v': v, 'w': w}} AS o, lead({{'t': t, 'v': v, 'w': w}}) OVER (PARTITION BY g ORDER BY rn) AS o2 FROM {name}_n WHERE v IS NOT NULL),
-{name}_b AS MATERIALIZED (SELECT g, rn, t, v, w, first_value({{'a': o, 'b': o2}} IGNORE NULLS) OVER (PARTITION BY g ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx
+{name}_b AS MATERIALIZED (SELECT g, rn, t, v, w, first_value(CASE WHEN o IS NOT NULL THEN {{'a': o, 'b': o2}} END IGNORE NULLS) OVER (PARTITION BY g ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx
   FROM {name}_n LEFT JOIN {name}_o USING (g, rn)),
 {name}_r AS (SELECT g, 0::BIGINT AS rn, NULL::DOUBLE AS t, NULL::DOUBLE AS val, []::STRUCT(t DOUBLE, v DOUBLE, w DOUBLE)[] AS hist FROM {name}_b WHERE rn = 1
  UNION ALL SELECT g, rn, t, val, CASE WHEN val IS NULL THEN hist ELSE list_append(hist, {{'t': t, 'v': val, 'w': w}})[-5:] END FROM (

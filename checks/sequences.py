@@ -211,7 +211,7 @@ def range_rules(spark, sf):
     return seq.range_rules(events.wide(spark, sf)).select("id_board", us(), "water_temp", "tds")
 
 
-@query("future_grid", f"""SELECT id_board, step, epoch_us(last) + step * {6 * MIN} AS t_us FROM (SELECT id_board, max(_time) AS last FROM points GROUP BY 1),
+@query("future_grid", f"""SELECT id_board, step, epoch_us(last) + step::BIGINT * {6 * MIN} AS t_us FROM (SELECT id_board, max(_time) AS last FROM points GROUP BY 1),
  (SELECT unnest(range(1, 31))::INT AS step)""", "points")
 def future_grid(spark, sf):
     return seq.future_grid(events.points(spark, sf), 6, 30).select("id_board", "step", us())
