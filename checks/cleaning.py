@@ -18,8 +18,8 @@ R6 = 6
 
 
 def fill_ctes(name: str, src: str, cap: float = 42, two_var: float = 450.0) -> str:
-    """CTEs that fill ``src`` (g, t in minutes, v, w) row by row; the result is ``name`` (g, t, v)."""
-    bell = f"exp(-((x.t - b.t) * (x.t - b.t)) / {two_var})"
+    """CTEs that fill ``src`` (g, t in microseconds, v, w) row by row; the result is ``name`` (g, t, v)."""
+    bell = f"exp(-(((x.t - b.t) / 60000000.0) * ((x.t - b.t) / 60000000.0)) / {two_var})"
     near = f"list_filter(r.hist || [b.nx.a, b.nx.b], lambda x: x IS NOT NULL)"
     return f"""{name}_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) AS rn FROM {src}),
 {name}_o AS (SELECT g, rn, {{'t': t, 'v': v, 'w': w}} AS o, lead({{'t': t, 'v': v, 'w': w}}) OVER (PARTITION BY g ORDER BY rn) AS o2 FROM {name}_n WHERE v IS NOT NULL),
@@ -28,7 +28,7 @@ def fill_ctes(name: str, src: str, cap: float = 42, two_var: float = 450.0) -> s
 {name}_r AS (SELECT g, 0::BIGINT AS rn, NULL::DOUBLE AS t, NULL::DOUBLE AS val, []::STRUCT(t DOUBLE, v DOUBLE, w DOUBLE)[] AS hist FROM {name}_b WHERE rn = 1
  UNION ALL SELECT g, rn, t, val, CASE WHEN val IS NULL THEN hist ELSE list_append(hist, {{'t': t, 'v': val, 'w': w}})[-5:] END FROM (
   SELECT b.g, b.rn, b.t, b.w, r.hist, CASE WHEN b.v IS NOT NULL THEN b.v
-   WHEN CASE WHEN len(r.hist) > 0 AND b.nx IS NOT NULL THEN b.nx.a.t - r.hist[-1].t WHEN len(r.hist) > 0 THEN b.t - r.hist[-1].t ELSE b.nx.a.t - b.t END <= {cap} THEN
+   WHEN CASE WHEN len(r.hist) > 0 AND b.nx IS NOT NULL THEN b.nx.a.t - r.hist[-1].t WHEN len(r.hist) > 0 THEN b.t - r.hist[-1].t ELSE b.nx.a.t - b.t END <= {cap * MIN} THEN
     list_sum(list_transform({near}, lambda x: x.v * x.w * {bell})) / list_sum(list_transform({near}, lambda x: x.w * {bell})) END AS val
   FROM {name}_r r JOIN {name}_b b ON b.g = r.g AND b.rn = r.rn + 1)),
 {name} AS (SELECT g, t, val AS v FROM {name}_r WHERE rn > 0)"""
@@ -39,8 +39,8 @@ _WEIGHTED = f"""lw AS (SELECT id_board, epoch_us(_time) AS us, leaf_temp AS v, C
   last_value(leaf_temp IGNORE NULLS) OVER (PARTITION BY id_board ORDER BY _time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv FROM wide))"""
 
 
-@query("gaussian_fill", "SELECT g AS id_board, CAST(round(t * 60000000) AS BIGINT) AS t_us, round(v, 6) AS leaf_temp FROM f", "wide",
-       _WEIGHTED + ", s AS (SELECT id_board AS g, us / 60000000.0 AS t, v, w::DOUBLE AS w FROM lw), " + fill_ctes("f", "s"), recursive=True)
+@query("gaussian_fill", "SELECT g AS id_board, CAST(t AS BIGINT) AS t_us, round(v, 6) AS leaf_temp FROM f", "wide",
+       _WEIGHTED + ", s AS (SELECT id_board AS g, us::DOUBLE AS t, v, w::DOUBLE AS w FROM lw), " + fill_ctes("f", "s"), recursive=True)
 def gaussian_fill_query(spark, sf):
     w = events.wide(spark, sf).select("id_board", "_time", "leaf_temp")
     s = events.board_slices(spark, sf)
@@ -50,20 +50,20 @@ def gaussian_fill_query(spark, sf):
 
 STEPS = {"b0": clean.BOARD_STEPS[clean.C.BOARDS[0]], "b1": clean.BOARD_STEPS[clean.C.BOARDS[1]]}
 _CLEANED = _WEIGHTED + """,
- s1 AS (SELECT id_board || '/leaf_temp' AS g, us / 60000000.0 AS t, v, CASE WHEN id_board = 'b1' THEN 1.0 ELSE w END AS w FROM lw
-  UNION ALL SELECT id_board || '/tds', epoch_us(_time) / 60000000.0, CASE WHEN NOT tds < 30 THEN tds END, 1.0 FROM wide
-  UNION ALL SELECT id_board || '/water_temp', epoch_us(_time) / 60000000.0, CASE WHEN NOT water_temp < 10 THEN water_temp END, 1.0 FROM wide),
+ s1 AS (SELECT id_board || '/leaf_temp' AS g, us::DOUBLE AS t, v, CASE WHEN id_board = 'b1' THEN 1.0 ELSE w END AS w FROM lw
+  UNION ALL SELECT id_board || '/tds', epoch_us(_time)::DOUBLE, CASE WHEN NOT tds < 30 THEN tds END, 1.0 FROM wide
+  UNION ALL SELECT id_board || '/water_temp', epoch_us(_time)::DOUBLE, CASE WHEN NOT water_temp < 10 THEN water_temp END, 1.0 FROM wide),
  """ + fill_ctes("f1", "s1") + """,
  s2 AS (SELECT g, t, CASE WHEN NOT coalesce(v > m * 1.3 OR v < m * (1 / 1.3), false) THEN v END AS v, 1.0 AS w FROM (
   SELECT *, median(v) OVER (PARTITION BY g ORDER BY t ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m FROM f1 WHERE g LIKE '%/tds')),
  """ + fill_ctes("f2", "s2") + """,
  cleaned AS (SELECT split_part(g, '/', 1) AS id_board, split_part(g, '/', 2) AS f, t, v FROM (SELECT * FROM f1 WHERE g NOT LIKE '%/tds' UNION ALL SELECT * FROM f2)
-  UNION ALL SELECT id_board, 'air_temp', epoch_us(_time) / 60000000.0, air_temp FROM wide
-  UNION ALL SELECT id_board, 'humidity', epoch_us(_time) / 60000000.0, humidity FROM wide
-  UNION ALL SELECT id_board, 'soil_moisture', epoch_us(_time) / 60000000.0, soil_moisture FROM wide)"""
+  UNION ALL SELECT id_board, 'air_temp', epoch_us(_time)::DOUBLE, air_temp FROM wide
+  UNION ALL SELECT id_board, 'humidity', epoch_us(_time)::DOUBLE, humidity FROM wide
+  UNION ALL SELECT id_board, 'soil_moisture', epoch_us(_time)::DOUBLE, soil_moisture FROM wide)"""
 
 
-@query("clean_series", "SELECT id_board, CAST(round(t * 60000000) AS BIGINT) AS t_us, f AS _field, round(v, 6) AS _value FROM cleaned WHERE f IN ('tds', 'leaf_temp', 'water_temp')",
+@query("clean_series", "SELECT id_board, CAST(t AS BIGINT) AS t_us, f AS _field, round(v, 6) AS _value FROM cleaned WHERE f IN ('tds', 'leaf_temp', 'water_temp')",
        "wide", _CLEANED, recursive=True)
 def clean_series(spark, sf):
     d = clean.clean_series(events.wide(spark, sf), events.board_slices(spark, sf), STEPS)
@@ -73,7 +73,7 @@ def clean_series(spark, sf):
 
 def _grid_ctes(freq: int, cap: int) -> str:
     p = "PARTITION BY id_board, f"
-    return f""", gb AS (SELECT id_board, f, CAST(floor(round(t * 60000000) / {freq * MIN}) AS BIGINT) AS b, avg(v) AS v FROM cleaned GROUP BY ALL),
+    return f""", gb AS (SELECT id_board, f, CAST(floor(t / {freq * MIN}) AS BIGINT) AS b, avg(v) AS v FROM cleaned GROUP BY ALL),
  ge AS (SELECT id_board, unnest(range(min(b), max(b) + 1)) AS b FROM gb GROUP BY id_board),
  gg AS (SELECT id_board, f, b, v FROM ge CROSS JOIN (SELECT DISTINCT f FROM gb) LEFT JOIN gb USING (id_board, f, b)),
  gm AS (SELECT *, last_value(v IGNORE NULLS) OVER ({p} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pv,
