@@ -1,0 +1,95 @@
+"""Fitted pipelines as small numpy predictors, for forecasts that feed their own output back."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import MinMaxScalerModel, PolynomialExpansion
+
+_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
+_TREE = re.compile(r"Tree \d+ \(weight ([^)]+)\)")
+
+
+@dataclass
+class Portable:
+    """Scaling, cubic terms and a linear model or trees, over a row of ``cols``."""
+
+    cols: list[str]
+    base: list[int] = field(default_factory=list)
+    low: np.ndarray | None = None
+    span: np.ndarray | None = None
+    coef: np.ndarray | None = None
+    intercept: float = 0.0
+    trees: list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    mean: bool = False
+
+    def predict(self, row: np.ndarray) -> float:
+        x = row
+        if self.base:
+            rest = [i for i in range(len(row)) if i not in set(self.base)]
+            x = np.concatenate([_cubic(row[self.base]), row[rest]])
+        if self.low is not None:
+            x = np.where(self.span > 0, (x - self.low) / np.where(self.span > 0, self.span, 1.0), 0.5)
+        if self.coef is not None:
+            return float(self.coef @ x + self.intercept)
+        total = 0.0
+        for weight, feat, threshold, right, value in self.trees:
+            i = 0
+            while feat[i] >= 0:
+                i = i + 1 if x[feat[i]] <= threshold[i] else right[i]
+            total += weight * value[i]
+        return total / len(self.trees) if self.mean else total
+
+
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Monomials up to degree 3 in the order of Spark's expansion."""
+    def expand(i: int, degree: int) -> list[float]:
+        if i < 0 or degree == 0:
+            return [1.0]
+        return [t * x[i] ** k for k in range(degree + 1) for t in expand(i - 1, degree - k)]
+    return np.array(expand(len(x) - 1, 3)[1:])
+
+
+def _trees(text: str) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Flat node arrays from the printed trees: a left child follows its parent, ``right`` points to the other."""
+    out, nodes, waiting, weight = [], [], [], 1.0
+
+    def close() -> None:
+        if nodes:
+            f, t, r, v = zip(*nodes)
+            out.append((weight, np.array(f), np.array(t), np.array(r), np.array(v)))
+
+    for line in text.splitlines()[1:]:
+        line = line.strip()
+        if m := _TREE.match(line):
+            close()
+            nodes, waiting, weight = [], [], float(m[1])
+        elif m := _SPLIT.match(line):
+            waiting.append(len(nodes))
+            nodes.append([int(m[1]), float(m[2]), -1, 0.0])
+        elif line.startswith("Else"):
+            nodes[waiting.pop()][2] = len(nodes)
+        elif line.startswith("Predict:"):
+            nodes.append([-1, 0.0, -1, float(line.split(":")[1])])
+    close()
+    return out
+
+
+def portable(model: PipelineModel, cols: list[str], base: list[str] | None = None) -> Portable:
+    """Numpy form of a pipeline fitted on ``cols`` (``base``: the columns its cubic stage expands)."""
+    p = Portable(list(cols))
+    for stage in model.stages[:-1]:
+        if isinstance(stage, MinMaxScalerModel):
+            p.low = stage.originalMin.toArray()
+            p.span = stage.originalMax.toArray() - p.low
+        elif isinstance(stage, PolynomialExpansion):
+            p.base = [i for i, c in enumerate(cols) if c in (base or [])]
+    last = model.stages[-1]
+    if hasattr(last, "coefficients"):
+        p.coef, p.intercept = last.coefficients.toArray(), float(last.intercept)
+    else:
+        p.trees, p.mean = _trees(last.toDebugString), type(last).__name__.startswith("RandomForest")
+    return p

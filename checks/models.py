@@ -1 +1,144 @@
-"""To be filled."""
+"""Training frames, season models and forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from canopyflow import config as C
+from canopyflow.operators import aggregates as agg
+from canopyflow.operators import reshape
+from canopyflow.operators import sequence as seq
+from canopyflow.plans import features, forecast, learn, retrain, season
+from canopyflow.plans.portable import portable
+from canopyflow.session import materialise
+from canopyflow.sources import events
+from checks.basics import r
+from checks.registry import query
+from checks.scans import us
+from checks.sequences import BEFORE, FROM, MIN, UPTO
+
+FEATURES = ("air_temp", "humidity", "tds", "soil_moisture")
+# fixed values: a soft, an environmental and an autoregressive task small enough for the check tables
+TASKS = {"t4": C.Task("t4", FEATURES, False, False), "t8": C.Task("t8", FEATURES, True, False, 3), "t9": C.Task("t9", FEATURES, True, True, 3)}
+FREQ = 60
+
+
+def hourly(spark, sf):
+    """The wide series on a full hourly grid without gaps."""
+    cols = [*FEATURES, "leaf_temp"]
+    g = materialise(agg.resample(events.wide(spark, sf), cols, FREQ))
+    return materialise(seq.fill(g, events.board_slices(spark, sf), cols, backward=True))
+
+
+_COLS = [*FEATURES, "leaf_temp"]
+_HOURLY = f"""hb AS (SELECT id_board, time_bucket(INTERVAL '60 minutes', _time) AS _time, {', '.join(f'avg({c}) AS {c}' for c in _COLS)} FROM wide GROUP BY 1, 2),
+ hg AS (SELECT id_board, unnest(generate_series(min(_time), max(_time), INTERVAL '60 minutes')) AS _time FROM hb GROUP BY id_board),
+ hj AS (SELECT * FROM hg LEFT JOIN hb USING (id_board, _time)),
+ hourly AS (SELECT id_board, _time, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) OVER {UPTO}, first_value({c} IGNORE NULLS) OVER {FROM}) AS {c}' for c in _COLS)} FROM hj),
+ hd AS (SELECT *, {', '.join(f'{c} - last_value({c}) OVER {BEFORE} AS {c}_diff' for c in FEATURES)} FROM hourly),
+ hl AS (SELECT *, {', '.join(f'lag({c}, {i}) OVER (PARTITION BY id_board ORDER BY _time) AS {c}_lag_{i}' for c in [*FEATURES, *[f'{f}_diff' for f in FEATURES], 'leaf_temp'] for i in (1, 2, 3))} FROM hd)"""
+_FRAME = [c for c in features.model_columns(TASKS["t9"], FREQ) if not c.startswith("time_")]
+
+
+@query("training_frame", f"""SELECT id_board, epoch_us(_time) AS t_us, {', '.join(f'round({c}, 6) AS {c}' for c in _FRAME)}, round(leaf_temp, 6) AS leaf_temp,
+ round(sin(2 * pi() * (hour(_time) * 60) / 1440), 9) AS time_sin, round(cos(2 * pi() * (hour(_time) * 60) / 1440), 9) AS time_cos,
+ row_number() OVER (PARTITION BY id_board ORDER BY _time) <= floor(count(*) OVER (PARTITION BY id_board) * 0.9) AS is_train
+FROM hl WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _FRAME)} AND leaf_temp IS NOT NULL""", "wide", _HOURLY)
+def training_frame(spark, sf):
+    d = features.training_frame(hourly(spark, sf), events.board_slices(spark, sf), TASKS["t9"], FREQ)
+    return d.select("id_board", us(), *[r(c, 6).alias(c) for c in [*_FRAME, "leaf_temp"]], r("time_sin").alias("time_sin"), r("time_cos").alias("time_cos"), "is_train")
+
+
+@query("season_fit")
+def season_fit(spark, sf):
+    """Season models of all variables and their held-out errors."""
+    models, errors = season.season_fit(hourly(spark, sf), FREQ, fields=FEATURES)
+    return models.join(errors, "_field").select("_field", F.size("coef").alias("terms"), "MAE", "RMSE", "n")
+
+
+@query("env_forecast")
+def env_forecast(spark, sf):
+    h = hourly(spark, sf)
+    models, _ = season.season_fit(h, FREQ, fields=FEATURES)
+    return season.env_forecast(h, models, FREQ, 3, [*FEATURES, "light_lux"]).select("id_board", "step", us(), "_field", "value", "from_model")
+
+
+def _trained(spark, sf, specs):
+    h, s = hourly(spark, sf), events.board_slices(spark, sf)
+    out = {}
+    for name, task in TASKS.items():
+        out[name] = retrain.train_task(features.training_frame(h, s, task, FREQ), task, FREQ, specs)
+    return h, out
+
+
+_RIDGE = [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.1, 10.0]})]
+
+
+def _models(fitted):
+    best = {n: learn.winner(f) for n, f in fitted.items()}
+    return {n: (b.model, portable(b.model, b.cols)) for n, b in best.items()}, {n: b.metrics["MAE"] for n, b in best.items()}
+
+
+@query("grid_search_reports")
+def grid_search_reports(spark, sf):
+    """Ridge, forest and boosting of the point task, with and without differences, over time folds."""
+    task = TASKS["t4"]
+    frame = features.training_frame(hourly(spark, sf), events.board_slices(spark, sf), task, FREQ)
+    specs = [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.1, 10.0]}), learn.Spec("Ridge_poly", "ridge", {"alpha": [1.0]}, poly=True),
+             learn.Spec("RandomForest", "forest", {"n_estimators": [10], "max_depth": [5], "min_samples_split": [2], "max_features": [1.0]}),
+             learn.Spec("Boosted", "boosted", {"n_estimators": [5], "learning_rate": [0.1], "num_leaves": [31]})]
+    return learn.report_frame(spark, "t4", retrain.train_task(frame, task, FREQ, specs))
+
+
+@query("recursive_forecast")
+def recursive_forecast(spark, sf):
+    h, fitted = _trained(spark, sf, _RIDGE)
+    models, _ = _models(fitted)
+    past = forecast.context(h, FREQ)
+    env = forecast.env_columns(season.env_forecast(past, season.season_fit(h, FREQ, fields=FEATURES)[0], FREQ, 3, FEATURES), FEATURES)
+    return forecast.recursive_forecast(past, env, models["t9"][1], TASKS["t9"], FREQ).select("id_board", "step", us(), "value")
+
+
+@query("score_all_boards")
+def score_all_boards(spark, sf):
+    """Every board by group C and its tasks."""
+    h, fitted = _trained(spark, sf, _RIDGE)
+    models, mae = _models(fitted)
+    models_season, _ = season.season_fit(h, FREQ, fields=FEATURES)
+    d = forecast.score_all(h, models_season, models, mae, FREQ, ["C"], list(TASKS), TASKS, {"C": ("t4", "t8", "t9")})
+    return d.select("model_source", "id_board", "step", us(), "value", "vpd")
+
+
+@query("forecast_document")
+def forecast_document(spark, sf):
+    h = hourly(spark, sf)
+    past = forecast.context(h, FREQ)
+    models_season, _ = season.season_fit(h, FREQ, fields=FEATURES)
+    env = forecast.env_columns(season.env_forecast(past, models_season, FREQ, 3, FEATURES), FEATURES)
+    fut = env.withColumn("leaf_temp", F.col("air_temp"))
+    fut = fut.withColumn("vpd", forecast.vpd("leaf_temp", "air_temp", "humidity"))
+    doc = reshape.forecast_document(past, fut, FREQ)
+    return doc.select("id_board", "frequency", F.size("leaf_temperature.historical").alias("past"), F.size("leaf_temperature.forecast").alias("steps"),
+                      F.to_json(F.struct("leaf_temperature", "environmental_data", "vpd")).alias("document"))
+
+
+_BLEND = f"""fa AS (SELECT id_board, CAST(hour(_time) AS INT) AS step, avg(leaf_temp) AS v FROM hourly GROUP BY 1, 2), fe AS (SELECT id_board, CAST(hour(_time) AS INT) AS step, avg(air_temp) AS v FROM hourly GROUP BY 1, 2)"""
+
+
+@query("blend_forecasts", """SELECT id_board, step, round(fa.v * (1 / 0.700001) / (1 / 0.700001 + 1 / 0.400001) + fe.v * (1 / 0.400001) / (1 / 0.700001 + 1 / 0.400001), 3) AS value
+FROM fa JOIN fe USING (id_board, step)""", "wide", _HOURLY + ", " + _BLEND)
+def blend_forecasts(spark, sf):
+    h = hourly(spark, sf).withColumn("step", F.hour("_time"))
+    a = h.groupBy("id_board", "step").agg(F.avg("leaf_temp").alias("value"))
+    e = h.groupBy("id_board", "step").agg(F.avg("air_temp").alias("value"))
+    return forecast.blend(e, a, 0.4, 0.7).select("id_board", "step", "value")
+
+
+@query("vpd_forecast", """SELECT id_board, step, round(CASE WHEN d > 0 THEN d ELSE 0.0 END, 9) AS vpd FROM (
+ SELECT id_board, step, 0.61078 * exp(17.27 * l / (l + 237.3)) - 0.61078 * exp(17.27 * a / (a + 237.3)) * h / 100.0 AS d FROM (
+ SELECT id_board, CAST(hour(_time) AS INT) AS step, avg(leaf_temp) AS l, avg(air_temp) AS a, avg(humidity) AS h FROM hourly GROUP BY 1, 2))""", "wide", _HOURLY)
+def vpd_forecast(spark, sf):
+    h = hourly(spark, sf).withColumn("step", F.hour("_time"))
+    f = h.groupBy("id_board", "step").agg(F.avg("leaf_temp").alias("value"))
+    e = h.groupBy("id_board", "step").agg(F.avg("air_temp").alias("air_temp"), F.avg("humidity").alias("humidity"))
+    return forecast.with_forecast_vpd(f, e).select("id_board", "step", r("vpd").alias("vpd"))
