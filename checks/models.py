@@ -71,7 +71,7 @@ def _trained(spark, sf, specs):
     return h, out
 
 
-_RIDGE = [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.1, 10.0]})]
+_RIDGE = [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})]
 
 
 def _models(fitted):

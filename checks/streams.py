@@ -1 +1,109 @@
-"""To be filled."""
+"""Streams over the events table, read as files and run until everything there is taken."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from canopyflow.session import prepare
+from canopyflow.sources import events, tables
+from canopyflow.streaming import state, telemetry
+from checks import sequences
+from checks.basics import r
+from checks.registry import SQL, query
+from checks.scans import scratch, us
+
+MIN = 60_000_000
+HOUR = 60 * MIN
+
+
+def source(spark, sf):
+    """The events table as a file stream with the columns of the packet view."""
+    prepare(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = spark.readStream.schema(T.StructType(schema.fields)).option("pathGlobFilter", "events.parquet").parquet(sf)
+    user = F.col("user_id")
+    return raw.select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("n"), (user % 20).cast("string")).alias("node_id"), F.concat(F.lit("h"), (user % 7).cast("string")).alias("star_id"),
+        events.board().alias("id_board"), F.col("ts").cast("timestamp").alias("_time"), "event_type", "value", "user_id",
+        F.get_json_object("props", "$.k").cast("double").alias("k"))
+
+
+def taken(spark, df, mode="append"):
+    """Run a stream into files and read them back."""
+    out, marks = scratch(spark), scratch(spark)
+    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query("stream_moisture")
+def stream_moisture(spark, sf):
+    p = source(spark, sf).select("node_id", "_time", "seq", F.col("k").alias("soil_moisture"))
+    return taken(spark, state.stream_moisture(p)).withColumn("t_us", F.unix_micros("_time")).drop("_time")
+
+
+SQL["stream_moisture"] = SQL["moisture_alerts"]  # the stream gives the rows of its batch twin
+
+
+@query("stream_fallback")
+def stream_fallback(spark, sf):
+    """The reading in force is looked up in batch and stored; the stream counts its uses."""
+    from canopyflow.operators.joins import fallback_lookup
+    tel, readings = sequences.leaf_packets(spark, sf)
+    path = scratch(spark)
+    looked = fallback_lookup(tel, readings, events.board_slices(spark, sf))
+    looked.write.parquet(path)
+    stream = spark.readStream.schema(looked.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    return taken(spark, state.stream_fallback(stream)).select("seq", "leaf_temp", "use_no", "leaf_source")
+
+
+SQL["stream_fallback"] = SQL["apply_fallback"]
+
+
+@query("stream_window_mean", f"""SELECT * FROM (SELECT id_board, _field, (epoch_us(_time) // {30 * MIN} + 1) * {30 * MIN} AS t_us, round(avg(_value), 9) AS _value FROM points GROUP BY 1, 2, 3)
+WHERE t_us <= (SELECT epoch_ms(max(ts)) * 1000 - {10 * MIN} FROM ev)""", "points")
+def stream_window_mean(spark, sf):
+    s = source(spark, sf)
+    names = F.create_map(*[F.lit(x) for kv in events.EVENT_FIELDS.items() for x in kv])
+    readings = F.array(F.struct(names[F.col("event_type")].alias("_field"), F.col("value").alias("_value")),
+                       F.struct(F.lit("soil_moisture").alias("_field"), F.col("k").alias("_value")))
+    p = s.withWatermark("_time", "10 minutes").select("id_board", "_time", F.inline(readings).alias("_field", "_value"))
+    return taken(spark, telemetry.stream_window_mean(p, 30)).select("id_board", "_field", us(), r("_value").alias("_value"))
+
+
+@query("stream_dedupe_paths", "SELECT DISTINCT node_id, epoch_us(_time) AS t_us FROM packets", "packets")
+def stream_dedupe_paths(spark, sf):
+    """Every packet comes by both ways."""
+    s = source(spark, sf).withWatermark("_time", "10 minutes").withColumn("path", F.explode(F.array(F.lit("radio"), F.lit("local"))))
+    return taken(spark, telemetry.dedupe_paths(s.select("node_id", "_time", "path"))).select("node_id", us())
+
+
+@query("stream_topology", "SELECT node_id, arg_max(star_id, {'t': _time, 's': seq}) AS star_id FROM packets GROUP BY node_id", "packets")
+def stream_topology(spark, sf):
+    path = scratch(spark)
+    telemetry.stream_topology(source(spark, sf).select("node_id", "star_id", "_time", "seq"), path, scratch(spark)).awaitTermination()
+    return spark.read.parquet(path).select("node_id", "star_id")
+
+
+@query("stream_points", """SELECT id_board, _field, t_us, _value FROM (
+ SELECT CAST(user_id AS VARCHAR) AS id_board, epoch_us(ts) // 1000000 * 1000000 AS t_us, max(value) AS a, max(k) AS s FROM ev WHERE CAST(k AS BIGINT) % 10 > 1 AND user_id <> 0 GROUP BY 1, 2),
+ LATERAL (VALUES ('air_temp', a), ('soil_moisture', s)) f(_field, _value)""")
+def stream_points(spark, sf):
+    """Radio frames to stored points: decode, gates, event time, upsert."""
+    s = source(spark, sf)
+    num = lambda c: F.format_string("%.2f", c)
+    full = F.concat(F.lit('{"sid":'), (F.col("user_id") % 7).cast("string"), F.lit(',"ts":'), F.unix_seconds("_time").cast("string"), F.lit(',"id":'),
+                    F.col("user_id").cast("string"), F.lit(',"at":'), num("value"), F.lit(',"sm":'), num("k"), F.lit("}"))
+    kind = F.col("k").cast("long") % 10
+    frames = s.select(F.when(kind == 0, F.lit('{"sid":')).when(kind == 1, F.lit('{"sid":3,"sync":1}')).otherwise(full).alias("payload"))
+    path = scratch(spark)
+    telemetry.store_points(telemetry.telemetry_points(telemetry.telemetry_rows(frames)), path, scratch(spark)).awaitTermination()
+    return tables.read_table(spark, path).select("id_board", "_field", us(), "_value")
+
+
+@query("stream_commands")
+def stream_commands(spark, sf):
+    s = source(spark, sf).where(F.col("event_type").isin("purchase", "signup")).withWatermark("_time", "1 hour")
+    d = s.select("node_id", "seq", "_time", (F.col("event_type") == "purchase").alias("is_command"))
+    return taken(spark, state.stream_commands(d, 3 * HOUR // 1000, time_mode="EventTime"))
