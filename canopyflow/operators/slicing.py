@@ -63,13 +63,13 @@ class Slicing:
         return (Window.partitionBy(*self.key) if self.key else Window.partitionBy(F.lit(0))).orderBy(order)
 
 
-def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int = MAX_ROWS) -> Slicing:
-    """Measure ``df`` and choose slice widths so that no slice holds more than ``max_rows`` rows.
+def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int | None = None) -> Slicing:
+    """Measure ``df`` and choose slice widths so that no slice holds more than ``max_rows`` (MAX_ROWS) rows.
 
     One hash aggregation on two columns. Keys that overflow a width get the next narrower one; only
     keys with more than ``max_rows`` rows can overflow, so the driver sees at most rows / max_rows keys.
     """
-    key = tuple(key)
+    key, max_rows = tuple(key), max_rows or MAX_ROWS
     spark = df.sparkSession
     todo = df.select(*key, time)
     widths: dict[tuple, int] = {}

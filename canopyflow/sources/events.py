@@ -64,7 +64,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(f) if f in out.columns else F.lit(None).cast("double").alias(f) for f in FIELDS])
 
 
-def board_slices(spark: SparkSession, sf_dir: str, max_rows: int = slicing.MAX_ROWS) -> slicing.Slicing:
+def board_slices(spark: SparkSession, sf_dir: str, max_rows: int | None = None) -> slicing.Slicing:
     """Slices of the board series, measured on the scan (an upper bound of the pivoted rows)."""
     e = events(spark, sf_dir).select(board().alias("id_board"), F.col("ts").alias("_time"))
     return slicing.fit(e, ["id_board"], "_time", max_rows)
@@ -79,5 +79,5 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def node_slices(spark: SparkSession, sf_dir: str, max_rows: int = slicing.MAX_ROWS) -> slicing.Slicing:
+def node_slices(spark: SparkSession, sf_dir: str, max_rows: int | None = None) -> slicing.Slicing:
     return slicing.fit(packets(spark, sf_dir), ["node_id"], "_time", max_rows)

@@ -63,10 +63,11 @@ def env_forecast(spark, sf):
     return season.env_forecast(h, models, FREQ, 3, [*FEATURES, "light_lux"]).select("id_board", "step", us(), "_field", "value", "from_model")
 
 
-def _trained(spark, sf, specs):
+def _trained(spark, sf, specs, names=tuple(TASKS)):
     h, s = hourly(spark, sf), events.board_slices(spark, sf)
     out = {}
-    for name, task in TASKS.items():
+    for name in names:
+        task = TASKS[name]
         out[name] = retrain.train_task(features.training_frame(h, s, task, FREQ), task, FREQ, specs)
     return h, out
 
@@ -92,10 +93,10 @@ def grid_search_reports(spark, sf):
 
 @query("recursive_forecast")
 def recursive_forecast(spark, sf):
-    h, fitted = _trained(spark, sf, _RIDGE)
+    h, fitted = _trained(spark, sf, _RIDGE, ["t9"])
     models, _ = _models(fitted)
     past = forecast.context(h, FREQ)
-    env = forecast.env_columns(season.env_forecast(past, season.season_fit(h, FREQ, fields=FEATURES)[0], FREQ, 3, FEATURES), FEATURES)
+    env = materialise(forecast.env_columns(season.env_forecast(past, season.season_fit(h, FREQ, fields=FEATURES)[0], FREQ, 3, FEATURES), FEATURES))
     return forecast.recursive_forecast(past, env, models["t9"][1], TASKS["t9"], FREQ).select("id_board", "step", us(), "value")
 
 
