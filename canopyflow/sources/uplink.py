@@ -18,7 +18,7 @@ def decode_uplink(df: DataFrame, col: str = "payload") -> tuple[DataFrame, DataF
     """
     pairs = F.from_json(col, "map<string,string>", {"mode": "PERMISSIVE"})
     parsed = df.withColumn("_m", pairs)
-    broken = F.col("_m").isNull() | (F.size("_m") == 0)
+    broken = F.coalesce(F.size("_m"), F.lit(0)) <= 0  # no object, or nothing in it
     m = F.col("_m")
 
     def value(short: str, name: str) -> Column:
