@@ -68,14 +68,19 @@ def tag_values(df: DataFrame, tag: str) -> DataFrame:
 def burst_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Upper median of each burst: element floor(n/2) of the sorted samples.
 
-    Equal samples are counted together first, so the rows per burst are its distinct values.
+    Equal samples are counted together, then counts per whole unit find the unit the median lies in; only the values of
+    that unit are put in order. A burst far larger than meant is thus never sorted as a whole.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_unit", F.floor(value))
     w = Window.partitionBy(*keys)
-    run = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select(*keys, value, run.alias("_upto"), F.sum("_n").over(w).alias("_all"))
-    return ranked.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(
-        F.min(value).alias("median"), F.max("_all").alias("samples"))
+    upto = Window.unboundedPreceding, Window.currentRow
+    units = counts.groupBy(*keys, "_unit").agg(F.sum("_n").alias("_in")).select(
+        *keys, "_unit", "_in", F.sum("_in").over(w.orderBy("_unit").rowsBetween(*upto)).alias("_end"), F.sum("_in").over(w).alias("samples"))
+    middle = F.floor(F.col("samples") / 2)
+    unit = units.where((F.col("_end") > middle) & (F.col("_end") - F.col("_in") <= middle))
+    near = counts.join(unit, [*keys, "_unit"]).withColumn("_run", F.col("_end") - F.col("_in") + F.sum("_n").over(w.orderBy(value).rowsBetween(*upto)))
+    return near.where(F.col("_run") > middle).groupBy(*keys).agg(F.min(value).alias("median"), F.max("samples").alias("samples"))
 
 
 def regression_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
