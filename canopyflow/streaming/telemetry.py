@@ -12,11 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from canopyflow import config as C
 from canopyflow.operators.filters import latest_per, required, split_sync
 from canopyflow.operators.reshape import to_points
-from canopyflow.session import materialise
 from canopyflow.sources import tables
 from canopyflow.sources.uplink import decode_uplink
 from canopyflow.streaming.state import stream_fallback
 
+TOPOLOGY = "node_id string, star_id string, _time timestamp, seq long, version int"
+
 
 def with_event_time(df: DataFrame, lateness: str = "10 minutes", device: str | None = "timestamp", arrival: str | None = None) -> DataFrame:
     """``_time`` and its watermark: the device's stamp in seconds, or the arrival time as the plain store keeps it."""
@@ -56,45 +57,52 @@ def telemetry_points(rows: DataFrame, readings: DataFrame | None = None) -> Data
     return to_points(rows, ("id_board", "_time", "seq"), C.FIELDS)
 
 
-def run(df: DataFrame, each: Callable[[DataFrame], None], checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
-    """Start a stream that hands every micro-batch to ``each``; ``once`` takes what is there and stops."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: each(b))
+def run(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, mode: str = "append") -> StreamingQuery:
+    """Start a stream that hands every micro-batch and its number to ``each``; ``once`` takes what is there and stops."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
 def store_points(points: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Upsert every micro-batch into a point table; a repeated batch writes the same points again."""
-    return run(points, lambda b: tables.write_points(b, path), checkpoint, once)
+    return run(points, lambda b, _: tables.write_points(b, path), checkpoint, once)
 
 
-def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame | None:
+def live_topology(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Newest version of the topology table (older than ``before``), None when there is none."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
+        versions = spark.read.schema(TOPOLOGY).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    if before is not None:
+        versions = versions.where(F.col("version") < before)
+    newest = versions.agg(F.max("version")).first()[0]
+    return None if newest is None else versions.where(F.col("version") == newest).drop("version")
+
 
+def merge_topology(batch: DataFrame, version: int, path: str) -> None:
+    """Newest hub per node of a batch and the version before (one row per node), written as a new version.
 
-def merge_topology(batch: DataFrame, path: str) -> None:
-    """Newest hub per node of a batch and the stored table (one row per node)."""
-    spark = batch.sparkSession
+    A version is only read once it is complete, and a repeated batch writes its own version again.
+    """
     fresh = latest_per(batch.where(F.col("star_id").isNotNull()).select("node_id", "star_id", "_time", "seq"), ["node_id"], ["_time", "seq"])
-    stored = _read(spark, path, fresh)
+    stored = live_topology(batch.sparkSession, path, version)
     merged = fresh if stored is None else latest_per(stored.unionByName(fresh), ["node_id"], ["_time", "seq"])
-    materialise(merged).write.mode("overwrite").parquet(path)
+    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def stream_topology(packets: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the live topology table."""
-    return run(packets, lambda b: merge_topology(b, path), checkpoint, once)
+    return run(packets, lambda b, i: merge_topology(b, i, path), checkpoint, once)
 
 
 def stream_clean(points: DataFrame, raw_path: str, clean_path: str, checkpoint: str, freq_min: int = C.FREQ_MIN, once: bool = True, **kw) -> StreamingQuery:
     """Store every micro-batch of raw points and bring the clean table up to it."""
     from canopyflow.plans.clean import sync_clean
 
-    def each(batch: DataFrame) -> None:
+    def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         tables.write_points(batch, raw_path)
         fresh = sync_clean(tables.read_table(spark, raw_path), tables.read_table(spark, clean_path), freq_min, **kw)

@@ -83,7 +83,7 @@ def stream_dedupe_paths(spark, sf):
 def stream_topology(spark, sf):
     path = scratch(spark)
     telemetry.stream_topology(source(spark, sf).select("node_id", "star_id", "_time", "seq"), path, scratch(spark)).awaitTermination()
-    return spark.read.parquet(path).select("node_id", "star_id")
+    return telemetry.live_topology(spark, path).select("node_id", "star_id")
 
 
 @query("stream_points", """SELECT id_board, _field, t_us, _value FROM (

@@ -137,3 +137,12 @@ def test_leaf_readings_in_the_telemetry_stream(spark, tmp_path):
     telemetry.store_points(p, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     got = tables.read_table(spark, str(tmp_path / "t")).where("_field = 'leaf_temp'").orderBy("_time").collect()
     assert [r._value for r in got] == [18.5, 21.25] * 3
+
+
+def test_topology_moves_on_over_micro_batches(spark, tmp_path):
+    rows = [(f"n{i % 4}", f"h{i // 10}", T0 + timedelta(minutes=i), i) for i in range(40)] + [("n9", "h7", T0 + timedelta(minutes=3), 50)]
+    d = spark.createDataFrame(rows, "node_id string, star_id string, _time timestamp, seq long")
+    telemetry.stream_topology(files(spark, d, str(tmp_path / "in"), 3), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    got = {r.node_id: r.star_id for r in telemetry.live_topology(spark, str(tmp_path / "t")).collect()}
+    assert got == {"n0": "h3", "n1": "h3", "n2": "h3", "n3": "h3", "n9": "h7"}
+    assert telemetry.live_topology(spark, str(tmp_path / "none")) is None

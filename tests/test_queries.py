@@ -20,8 +20,7 @@ def test_query(spark, con, sf, name):
     assert rows > 0
 
 
-@pytest.mark.parametrize("max_rows", [40, 3])
-@pytest.mark.parametrize("name", ORDERED)
+@pytest.mark.parametrize("name, max_rows", [(n, 3) for n in ORDERED] + [("sessions", 40), ("apply_fallback", 40), ("ts_folds", 40)])
 def test_narrow_slices(spark, con, sf, name, max_rows, monkeypatch):
     """40 rows per slice: a day each; 3 rows: an hour or less."""
     monkeypatch.setattr(slicing, "MAX_ROWS", max_rows)
