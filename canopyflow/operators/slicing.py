@@ -95,6 +95,11 @@ def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int |
     return Slicing(key, time, hot=hot)
 
 
+def position(order: Sequence[str]) -> Column:
+    """Sort position of a row. A single column stays as it is: aggregates over fixed-width values hash, structs sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def link(
     df: DataFrame,
     slicing: Slicing,
@@ -125,7 +130,7 @@ def carry(
     A total is a pair: the aggregate over a slice and the aggregate that folds the slices.
     """
     sums, lasts, nexts, totals = sums or {}, lasts or {}, nexts or {}, totals or {}
-    at = F.struct(*order)
+    at = position(order)
     summary = {n: F.sum(c) for n, c in sums.items()}
     summary |= {n: F.max_by(c, F.when(c.isNotNull(), at)) for n, c in lasts.items()}
     summary |= {n: F.min_by(c, F.when(c.isNotNull(), at)) for n, c in nexts.items()}
@@ -251,7 +256,7 @@ def run_position(
         d = d.withColumn("_val", F.lit(None).cast("string"))
         cut = F.coalesce(breaks, F.lit(False))
     d = d.withColumn("_c", F.sum(one).over(upto)).withColumn("_base", F.when(cut, F.col("_c") - one))
-    at = F.struct(*order)
+    at = position(order)
 
     def scan(s: DataFrame) -> DataFrame:
         before = slicing.across()
