@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import config as C
-from canopyflow.functions.climate import vpd
+from canopyflow.functions.climate import time_features, vpd
 from canopyflow.operators import sequence as seq
 from canopyflow.operators import slicing as sl
 from canopyflow.operators.filters import dedupe_last, override_latest, tail
 from canopyflow.operators.joins import align
 from canopyflow.plans.features import extended, lagged
 from canopyflow.plans.portable import Portable
+from canopyflow.plans.season import env_forecast
 from canopyflow.session import materialise
 
 MIN_US = 60_000_000
@@ -30,7 +31,6 @@ def history_rows(freq_min: int) -> int:
 
 def soft_sensor(df: DataFrame, slicing: sl.Slicing, model: PipelineModel, cols: Sequence[str], task: C.Task) -> DataFrame:
     """Estimate the target on rows with all inputs, then carry it over the others. Rows are scored where they are."""
-    from canopyflow.functions.climate import time_features
     t = time_features("_time")
     ok = F.lit(True)
     for c in cols:
@@ -177,7 +177,6 @@ def score_all(clean: DataFrame, season: DataFrame, models: Mapping[str, tuple[Pi
 
     The loop is over the catalogue; boards are rows. Pass the result per ``model_source`` to save_predictions.
     """
-    from canopyflow.plans.season import env_forecast
     out, contexts = [], {}
 
     def ready(name: str) -> tuple[DataFrame, DataFrame]:

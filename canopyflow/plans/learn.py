@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -183,9 +185,6 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     Rows are numbered once; a shuffle is a bijection of the numbers, i -> (a * i + b) mod n with a and n coprime, so each
     shuffled column is one join on the number.
     """
-    import math
-    import random
-
     numbered = materialise(sl.ranked(df.select(*order, *cols, target), sl.fit(df, []), order, "_i"))
     n = numbered.count()
     rng = random.Random(seed)
