@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -50,3 +51,53 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def long_of(c: Column | str) -> Column:
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
+
+
+def keyed_chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows out of a task's input sorted by ``key``; a key is never cut, so its size has to be bounded."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows and (keys := batch.column(key).to_numpy())[0] != held[-1].column(key)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+        elif n >= rows and (cut := int(np.argmax(keys != keys[0]))):
+            held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held)
+            held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def split_hot(rows: DataFrame, limit: int, key: str = "bucket", member: str = "node") -> DataFrame:
+    """Deal the members of each bucket so that every two of them meet, and no task gets more than about ``2 * limit`` of a bucket.
+
+    A bucket of more than ``limit`` members is cut in shards by a hash of the member; two shards meet under a key of their own, a
+    shard with itself under another. Columns added: ``meet`` (the key), ``left`` and ``right`` (whether the row's shard is the first
+    or the second of the two). Buckets with one member are left out.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    shards = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), F.col(member)), F.col("_shards")).cast("int")
+    out = rows.join(stored(sizes), key).withColumn("_shards", shards).withColumn("_own", own)
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)))
+    out = out.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    out = out.withColumn("meet", F.xxhash64(key, "_i", "_j")).withColumn("left", F.col("_own") == F.col("_i"))
+    return out.withColumn("right", F.col("_own") == F.col("_j")).drop("_n", "_shards", "_own", "_other", "_i", "_j")
+
+
+def local_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place reachable from each of ``n`` places by the links a - b."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label

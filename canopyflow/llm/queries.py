@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from canopyflow.llm import packing, sequences, token_counts, urlfilter
+from canopyflow.llm import embedding_dedup, packing, sequences, simhash, token_counts, topk, urlfilter
 from canopyflow.llm.common import stored
 from canopyflow.session import shared_dir
 
@@ -60,6 +60,26 @@ def op3(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op4_simhash_near_dedup")
+def op4(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3, seed=42)
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark, sf_dir):
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), limit=0.98)
+
+
+@query("op9_exact_top_k", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op9(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256, query_step=50)
+
+
 @query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     capacity = packing.Capacity(tokens=1024, documents=1024, attention=1024 * 1024)
