@@ -14,7 +14,9 @@ import re
 import sys
 import types
 from collections import defaultdict
+from collections.abc import Iterable
 from itertools import count
+from operator import itemgetter
 
 import numpy as np
 
@@ -22,49 +24,38 @@ _STABLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: a word's end may depend on so many characters after it (contractions, a special token's string)
 _LOOK_AHEAD = 16
 ID = np.dtype("<u4")
+#: letters before U+0250, then punctuation: two words, wherever the segment stands
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
 _EDGE = " "  # ends the key of a text's first segment, which has no space before it
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker: kept over tasks, with what it remembers. Functions of this package may be sent by value, so
+def per_worker(key, make):
+    """What ``make`` gives, made once in a Python worker and kept over its tasks. Functions of this package may be sent by value, so
     the place to keep it is a module of its own."""
     state = sys.modules.setdefault("canopyflow_worker_state", types.ModuleType("canopyflow_worker_state"))
-    kept = vars(state).setdefault("encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    kept = vars(state).setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
-class Encoder:
-    """``encode(texts)`` gives each text's ids, little-endian unsigned 32-bit; a null text has none.
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, with what it remembers."""
+    return per_worker(("encoder", path), lambda: Encoder(path))
 
-    ``memo_words`` bounds the remembered segments: beyond it, those met only once are forgotten.
-    """
 
-    def __init__(self, path: str, memo_words: int = 800_000, parallel: bool = False):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.margin = max([_LOOK_AHEAD] + [len(t["content"]) + 1 for t in spec["added_tokens"]])
-        self.newline = self._newline(spec)
-        self.memo_words = memo_words
-        self._clear()
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes that are no printable Latin-1 characters: as the characters from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
-    def _newline(self, spec: dict) -> int | None:
-        """The id that separates segments when many are encoded in one text; None: this tokenizer's segments are not independent."""
-        pre = spec["pre_tokenizer"] or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-        added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
-        if not plain or not added or spec["normalizer"] or spec["post_processor"]:
-            return None
-        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        return ids[0] if len(ids) == 1 else None
 
-    def _plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype=ID) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+class Segments:
+    """Ids of text segments by key: ``slot`` gives each key a place, new keys the next one; the ids of all places lie in one array."""
+
+    def __init__(self, memo_words: int):
+        self.memo_words = memo_words
+        self._clear()
 
     def _clear(self) -> None:
         self.slot = defaultdict(count().__next__)  # key -> place in size, begin and uses
@@ -94,13 +85,85 @@ class Encoder:
         self.n_ids += len(ids)
 
     def _learn(self) -> None:
-        """Encode the segments met since the last call, many in one text where a newline's id tells them apart."""
+        """Give ids, or a size of -1, to the places from ``n`` on, and set ``n``."""
+        raise NotImplementedError
+
+    def _grow(self) -> tuple[int, int]:
         n, known = len(self.slot), self.n
         if n > len(self.size):
             self.size, self.begin, self.uses = (np.resize(x, 2 * n) for x in (self.size, self.begin, self.uses))
         self.uses[known:n] = 0
-        together, alone = [], []
+        return n, known
+
+    def look_up(self, keyed: Iterable[list[str]]) -> list[np.ndarray]:
+        """The places of each list of keys, with ids known for all."""
+        if self.n > self.memo_words:
+            self._forget_rare()
+        places = [np.asarray(itemgetter(*keys, _EDGE)(self.slot)[:-1], np.int64) for keys in keyed]
+        self._learn()
+        if places:
+            self.uses[:self.n] += np.bincount(np.concatenate(places), minlength=self.n).astype(np.int32)
+        return places
+
+    def ids_of(self, places: np.ndarray) -> np.ndarray | None:
+        """The ids of the places, one after the other; None if a segment has none of its own."""
+        size = self.size[places]
+        if size.min(initial=0) < 0:
+            return None
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.ids[np.repeat(self.begin[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Encoder(Segments):
+    """``encode(texts)`` gives each text's ids, little-endian unsigned 32-bit; a null text has none.
+
+    ``memo_words`` bounds the remembered segments: beyond it, those met only once are forgotten.
+    """
+
+    def __init__(self, path: str, memo_words: int = 800_000, parallel: bool = False):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.margin = max([_LOOK_AHEAD] + [len(t["content"]) + 1 for t in spec["added_tokens"]])
+        self.newline = self._newline(spec)
+        self.letters, self.ends = _byte_letters(), {}
+        super().__init__(memo_words)
+
+    def _newline(self, spec: dict) -> int | None:
+        """The id that separates segments when many are encoded in one text; None: this tokenizer's segments are not independent."""
+        pre = spec["pre_tokenizer"] or {}
+        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+        added = added and all(re.search(r"[^A-Za-z][A-Za-z]+[^A-Za-z]", t["content"]) for t in spec["added_tokens"])  # never within a word
+        if not plain or not added or spec["normalizer"] or spec["post_processor"]:
+            return None
+        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        return ids[0] if len(ids) == 1 else None
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype=ID) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        """Encode the segments met since the last call: plain words by the library's model, of others many in one text where a
+        newline's id tells them apart."""
+        n, known = self._grow()
+        together, alone, words, sizes, flat = [], [], [], [], []
+        letters, model, ends = self.letters, self.tokenizer.model, self.ends
         for place, key in zip(range(n - 1, known - 1, -1), reversed(self.slot)):
+            if word := _WORD(key):
+                name, end = word.groups()
+                ids = [t.id for t in model.tokenize("\u0120" + name if name.isascii() else (" " + name).encode().decode("latin-1").translate(letters))]
+                if end:
+                    if end not in ends:
+                        ends[end] = self.tokenizer.encode(end, add_special_tokens=False).ids
+                    ids += ends[end]
+                words.append(place)
+                sizes.append(len(ids))
+                flat += ids
+                continue
             segment = key[:-1] if key.endswith(_EDGE) else key
             if not segment or segment[0].isspace() or segment[-1].isspace():
                 self.size[place] = -1  # white space beside the cut: where words begin depends on the rest
@@ -108,6 +171,8 @@ class Encoder:
                 alone.append((place, key))
             else:
                 together.append((place, key))
+        size = np.asarray(sizes, np.int64)
+        self._keep(words, np.asarray(flat, ID), np.cumsum(size) - size, size)
         for i in range(0, len(together), 20_000):
             part = together[i:i + 20_000]
             ids, = self._plain(["\n".join(" " + k for _, k in part)])
@@ -128,26 +193,15 @@ class Encoder:
         texts = [t or "" for t in texts]
         if self.newline is None:
             return self._plain(texts)
-        if self.n > self.memo_words:
-            self._forget_rare()
-        get, slots = self.slot.__getitem__, []
-        for t in texts:
-            first, *rest = t.split(" ")
-            keys = [first + _EDGE, *rest]
-            slots.append(np.fromiter(map(get, keys), dtype=np.int64, count=len(keys)))
-        self._learn()
-        if slots:
-            self.uses[:self.n] += np.bincount(np.concatenate(slots), minlength=self.n).astype(np.int32)
+        if len(self.ends) > 10_000:
+            self.ends = {}
+        keyed = [t.split(" ") for t in texts]
+        for keys in keyed:
+            keys[0] += _EDGE
         out = []
-        for t, s in zip(texts, slots):
-            size = self.size[s]
-            if not t:
-                out.append(np.zeros(0, dtype=ID))
-            elif size.min() < 0:  # a segment beside other white space
-                out.append(self._by_stable_spaces(t))
-            else:
-                ends = np.cumsum(size)
-                out.append(self.ids[np.repeat(self.begin[s] - ends + size, size) + np.arange(ends[-1])])
+        for t, places in zip(texts, self.look_up(keyed)):
+            ids = self.ids_of(places) if t else np.zeros(0, ID)
+            out.append(self._by_stable_spaces(t) if ids is None else ids)  # None: a segment beside other white space
         return out
 
     def _by_stable_spaces(self, text: str) -> np.ndarray:
@@ -163,8 +217,8 @@ class Encoder:
     def _words(encoding, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.asarray(encoding.ids, dtype=ID)
         words = np.asarray([-1 if w is None else w for w in encoding.word_ids], dtype=np.int64)
-        at = np.flatnonzero(np.diff(words, prepend=-2))
-        return ids, np.asarray([encoding.offsets[i][0] for i in at.tolist()], dtype=np.int64) + start, at
+        at, offsets = np.flatnonzero(np.diff(words, prepend=-2)), encoding.offsets  # the library builds this list anew at each call
+        return ids, np.asarray([offsets[i][0] for i in at.tolist()], dtype=np.int64) + start, at
 
     def encode_long(self, text: str, chunk: int = 32_768, overlap: int = 256) -> tuple[np.ndarray, int, int]:
         """Ids of a long text, the number of chunks, and how often an overlap had to be widened.
