@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from canopyflow.llm import embedding_dedup, packing, sequences, simhash, token_counts, topk, urlfilter
+from canopyflow.llm import embedding_dedup, packing, quality, sequences, simhash, sp_backend, suffix_dedup, token_counts, topk, urlfilter
 from canopyflow.llm.common import stored
 from canopyflow.session import shared_dir
 
@@ -65,11 +65,31 @@ def op4(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3, seed=42)
 
 
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    space = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, space, threshold=0.7)
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    coded = sp_backend.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "rebuilt", "round_trip")
+
+
 @query("op7_embedding_near_dedup")
 def op7(spark, sf_dir):
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), limit=0.98)
 
 
+@query("op8_suffix_array_dedup")
+def op8(spark, sf_dir):
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_exact_top_k", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
