@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from canopyflow.llm.common import keyed_chunks, local_labels, map_arrow, shuffle_partitions, split_hot, stored
 from canopyflow.llm.components import connected_components
 
-_SHARD = 1024
+_SHARD = 256
 
 
 def usable(vector: Column) -> Column:

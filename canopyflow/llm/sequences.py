@@ -70,15 +70,12 @@ class _Writer:
         self.rows = []
 
     def _sequences(self, last: bool) -> None:
-        flat = np.concatenate(self.waiting) if self.waiting else np.zeros(0, ID)
-        full = len(flat) // self.length * self.length
-        rest = flat[full:]
-        if last and len(rest):
-            flat = np.concatenate([flat, np.zeros(self.length - len(rest), ID)])
-        elif len(rest):
-            flat = flat[:full]
-        real = full + (len(rest) if last else 0)
-        step = _SEQUENCES * self.length
+        flat, step = np.concatenate(self.waiting) if self.waiting else np.zeros(0, ID), _SEQUENCES * self.length
+        real, rest = len(flat), flat[:0]
+        if last:
+            flat = np.concatenate([flat, np.zeros(-real % self.length, ID)])
+        else:  # whole batches only: all but a file's last one are equally long, so a sequence's place is plain arithmetic
+            flat, rest = np.split(flat, [real // step * step])
         for i in range(0, len(flat), step):
             part = flat[i:i + step]
             mask = np.arange(i, i + len(part)) < real
@@ -86,7 +83,7 @@ class _Writer:
                 [pa.FixedSizeListArray.from_arrays(pa.array(part.astype(self.kind.to_pandas_dtype())), self.length),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
             self.n_sequences += len(part) // self.length
-        self.waiting, self.n_waiting = ([], 0) if last else ([rest], len(rest))
+        self.waiting, self.n_waiting = [rest], len(rest)
 
     def close(self) -> tuple:
         self._sequences(True)

@@ -61,7 +61,7 @@ class Trees:
     """
 
     def __init__(self, prints: np.ndarray, shard: np.ndarray):
-        self.prints = prints
+        self.prints = prints = prints.view(np.uint64)  # of signed numbers, numpy counts the bits of the absolute value
         first = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1 if len(shard) else 0))
         self.root_of = {int(s): int(i) for s, i in zip(shard[first], first)}
         parent = first[np.searchsorted(first, np.arange(len(prints)), side="right") - 1]
@@ -80,7 +80,7 @@ class Trees:
 
     def search(self, queries: np.ndarray, roots: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of (query, node) at most ``radius`` apart; only edges within ``radius`` of the distance to the parent are followed."""
-        found = []
+        queries, found = queries.view(np.uint64), []
         work = [(np.arange(len(queries)), roots)]
         while work:
             q, node = work.pop()
