@@ -98,7 +98,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     """Encode every text, append ``end_id`` to each document, and write all ids in ascending id order; returns the manifest.
 
     One range shuffle on (id, hash of the text), then each task sorts, encodes and writes its shard as it goes, so it holds a batch
-    and never a shard. Null ids come first; documents with one id follow each other in the order of their texts; a null or empty
+    and never a shard. Null ids come first; documents with one id follow each other in the order of their texts' hashes; a null or empty
     text is the end id alone; other columns are not read; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession

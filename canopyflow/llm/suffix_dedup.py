@@ -139,7 +139,7 @@ def _emit(c: np.ndarray, buckets: int) -> pa.RecordBatch:
         extra, more = _packed(spans, buckets)
     else:
         extra, more = [], []
-    return pa.RecordBatch.from_arrays([pa.array(where + extra, pa.int64()), pa.array([False] * len(where) + [True] * len(extra)),
+    return pa.RecordBatch.from_arrays([pa.array(where + extra, pa.int64()), pa.array([False] * len(where) + [True] * len(extra), pa.bool_()),
                                        pa.array(blobs + more, pa.binary())], ["bucket", "copies", "blob"])
 
 
@@ -321,7 +321,7 @@ def repeated_windows(rows: DataFrame, length: int = 100) -> DataFrame:
 
 def _in_order(rows: DataFrame) -> DataFrame:
     """Add ``doc``, a number that gives the order of the rows: the id itself where it is a whole number, never null and never repeated;
-    else rows are sorted by id (null first) and text, and numbered."""
+    else rows are sorted by id (null first) and the text's hash, and numbered."""
     whole = isinstance(rows.schema["id"].dataType, (T.LongType, T.IntegerType, T.ShortType))
     if whole and (c := rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).first()).n == c.d:
         return rows.withColumn("doc", F.col("id").cast("long"))
@@ -349,7 +349,7 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     """Id, ``kept`` (the bytes that stay), ``spans`` (removed runs of bytes: start, end), ``n_bytes``, and the columns in ``keep``.
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a document before (smaller id; rows
-    with one id, and rows without an id, which come first, in the order of their texts) or earlier in the same one. Matches never cross
+    with one id, and rows without an id, which come first, in the order of their texts' hashes) or earlier in the same one. Matches never cross
     documents; strings are judged on the input. ``whole_characters`` leaves a character that a span would cut. A null text is empty.
     One row per input row; of equal rows the first one keeps its text. Contexts are compared by 128 bits of hashes before bytes are.
     """
