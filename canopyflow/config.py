@@ -6,9 +6,6 @@ from dataclasses import dataclass
 
 # --- fixed values: names and numbers that decide results ---------------------
 MEASUREMENT = "sensor_measurements"
-RAW_TABLE = "sensor_data"
-ARCHIVE_TABLE = "caveaux_leaf_temp"
-CLEAN_PREFIX = "sensor_data_clean_"
 
 ENV_FEATURES = ["air_temp", "humidity", "pressure", "water_temp", "tds", "soil_moisture", "light_lux"]
 TARGET = "leaf_temp"

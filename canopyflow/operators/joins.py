@@ -145,13 +145,15 @@ def merge_dumps(a: DataFrame, b: DataFrame, **kw) -> DataFrame:
 
 
 def reintegrate(archive: DataFrame, clean: DataFrame, freq: str, anchor: Column, fields: Sequence[str] = C.PRED_FIELDS) -> DataFrame:
-    """Copy archived forecasts of one frequency that are newer than the last stored one minus an hour back to ``clean``.
+    """Archived forecasts of one frequency that are newer than the last one in ``clean`` minus an hour: what has to be upserted there.
 
-    Without a stored forecast the last week before ``anchor`` is copied. The watermark is one row, computed in the plan.
+    The last one is looked for in the month before ``anchor``; without it the last week is copied. With a literal anchor both scans are
+    bounded. The watermark is one row, computed in the plan.
     """
-    stored = clean.where(F.col("_field").rlike("pred")).agg(F.max("_time").alias("_mark"))
+    month = F.expr(f"INTERVAL {C.CLEAN_LOOKBACK_DAYS} DAYS")
+    stored = clean.where((F.col("_time") >= anchor - month) & F.col("_field").rlike("pred")).agg(F.max("_time").alias("_mark"))
     hour, week = F.expr(f"INTERVAL {C.OVERLAP_MIN} MINUTES"), F.expr(f"INTERVAL {C.FORECAST_LOOKBACK_DAYS} DAYS")
     since = stored.select(F.coalesce(F.col("_mark") - hour, anchor - week).alias("_since"))
-    wanted = archive.where((F.col("freq") == freq) & F.col("_field").isin(list(fields)))
+    wanted = archive.where((F.col("_time") >= anchor - month - hour) & (F.col("freq") == freq) & F.col("_field").isin(list(fields)))
     fresh = wanted.crossJoin(F.broadcast(since)).where(F.col("_time") >= F.col("_since")).drop("_since")  # one row
-    return upsert_points(clean, fresh)
+    return fresh

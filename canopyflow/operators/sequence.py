@@ -121,7 +121,8 @@ def apply_fallback(df: DataFrame, slicing: Slicing, leaf: str = C.TARGET, temp:
     """Replace a missing or implausible leaf temperature by the operator's reading, at most ``uses`` times per reading.
 
     Adds ``use_no`` (1-based use of the reading, null where none is needed), ``leaf_source`` and the alert level.
-    A reading that comes back after another one counts from the start. Once used up, the value stays as it was.
+    A reading that comes back after another one counts from the start. Once used up, the value stays as it was;
+    an implausible value without any reading to replace it is cleared.
     """
     needs = F.col(leaf).isNull() | (F.col(leaf) < C.LEAF_MIN_VALID)
     attempt = needs & F.col(reading).isNotNull()
@@ -133,7 +134,7 @@ def apply_fallback(df: DataFrame, slicing: Slicing, leaf: str = C.TARGET, temp:
     return d.withColumns({
         "leaf_source": source,
         "alert_level": alert_level(F.col("use_no"), uses),
-        leaf: F.when(used, F.col(temp)).otherwise(F.col(leaf)),
+        leaf: F.when(used, F.col(temp)).when(source != "none", F.col(leaf)),
     })
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -30,24 +31,36 @@ def history_rows(freq_min: int) -> int:
 
 
 def soft_sensor(df: DataFrame, slicing: sl.Slicing, model: PipelineModel, cols: Sequence[str], task: C.Task) -> DataFrame:
-    """Estimate the target on rows with all inputs, then carry it over the others. Rows are scored where they are."""
+    """Estimate the target on rows with all inputs, then carry it over the board's others. Rows are scored where they are.
+
+    Boards without such a row keep what they have.
+    """
     t = time_features("_time")
     ok = F.lit(True)
     for c in cols:
         ok = ok & (F.col(c).isNotNull() if c in df.columns else F.lit(True))
     full = df.where(ok).withColumns({n: t[n] for n in t if n in cols})
     scored = model.transform(full).withColumn(task.target, F.col("prediction")).select(df.columns)
-    both = scored.unionByName(df.where(~ok))
-    return seq.fill(materialise(both), slicing, [task.target], forward=True, backward=True)
+    both = materialise(scored.unionByName(df.where(~ok)))
+    boards = df.where(ok).select("id_board").distinct()
+    filled = seq.fill(both.join(boards, "id_board", "left_semi"), slicing, [task.target], forward=True, backward=True)
+    return filled.select(df.columns).unionByName(both.join(boards, "id_board", "left_anti"))
 
 
-def context(clean: DataFrame, freq_min: int, what_if: Mapping[str, float | None] | None = None, soft: tuple[PipelineModel, list[str], C.Task] | None = None) -> DataFrame:
+def context(clean: DataFrame, freq_min: int, what_if: Mapping[str, float | None] | None = None, soft: tuple[PipelineModel, list[str], C.Task] | None = None,
+            now: datetime | None = None) -> DataFrame:
     """The bounded history each board is forecast from: its newest rows, if it has enough of them.
 
+    With ``now`` only rows of the last week count, so a board that has been silent longer gets no forecast. Of rows with one stamp
+    the greatest ``seq`` counts, or without it the greatest values.
+
     ``what_if`` values replace those of the newest row. ``soft`` patches the target, unless measured values are wanted.
     """
     need = history_rows(freq_min)
-    d = clean.withColumn("_seq", F.unix_micros("_time"))
+    if now is not None:
+        clean = clean.where(F.col("_time") >= F.lit(now - timedelta(days=C.FORECAST_LOOKBACK_DAYS)))
+    values = [c for c in clean.columns if c not in ("id_board", "_time", "seq")]
+    d = clean.withColumn("_seq", F.struct(*(c for c in ("seq", *values) if c in clean.columns)))
     d = tail(dedupe_last(d, ["id_board", "_time"], "_seq").drop("_seq"), need + 5, ["id_board"], ["_time"])
     counts = d.groupBy("id_board").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > need).select("id_board")
     d = d.join(counts, "id_board", "left_semi")
@@ -172,7 +185,7 @@ def ensemble(history: DataFrame, env: DataFrame, group: str, models: Mapping[str
 def score_all(clean: DataFrame, season: DataFrame, models: Mapping[str, tuple[PipelineModel, Portable]], mae: Mapping[str, float | None], freq_min: int,
               groups: Sequence[str] = tuple(C.GROUPS), single: Sequence[str] = tuple(C.TASKS), tasks: Mapping[str, C.Task] = C.TASKS,
               group_tasks: Mapping[str, tuple[str, str, str]] = C.GROUPS, what_if: Mapping[str, float | None] | None = None,
-              use_measured: bool = False) -> DataFrame:
+              use_measured: bool = False, now: datetime | None = None) -> DataFrame:
     """Forecasts of every group and task for every board: model_source, board, step, value, environment and deficit.
 
     The loop is over the catalogue; boards are rows. Pass the result per ``model_source`` to save_predictions.
@@ -183,7 +196,7 @@ def score_all(clean: DataFrame, season: DataFrame, models: Mapping[str, tuple[Pi
         soft = C.soft_task(name) if C.soft_task(name) in models else group_tasks[name][0] if name in group_tasks else None
         if soft not in contexts:
             patch = None if use_measured or soft not in models else (models[soft][0], models[soft][1].cols, tasks[soft])
-            h = context(clean, freq_min, what_if, patch)
+            h = context(clean, freq_min, what_if, patch, now)
             fields = [f for f in C.ENV_FEATURES if f in h.columns]
             steps = int(C.HORIZON_MIN / freq_min)
             contexts[soft] = (h, materialise(env_columns(env_forecast(h, season, freq_min, steps, fields), fields)))
@@ -204,7 +217,7 @@ def score_all(clean: DataFrame, season: DataFrame, models: Mapping[str, tuple[Pi
     return d
 
 
-def prediction_columns(scored: DataFrame) -> DataFrame:
-    """Forecast rows under the names stored as points."""
-    return scored.select("id_board", "_time", F.col("value").alias("leaf_temp_pred"), F.col("air_temp").alias("air_temp_pred"),
+def prediction_columns(scored: DataFrame, *keep: str) -> DataFrame:
+    """Forecast rows under the names stored as points, and the columns in ``keep``."""
+    return scored.select(*keep, "id_board", "_time", F.col("value").alias("leaf_temp_pred"), F.col("air_temp").alias("air_temp_pred"),
                          F.col("humidity").alias("humidity_pred"))

@@ -32,11 +32,11 @@ def train_task(frame: DataFrame, task: C.Task, freq_min: int, specs: Sequence[le
 
 
 def retrain(raw: DataFrame, clean_path: str, model_path: str, freq_min: int = C.FREQ_MIN, tasks: Mapping[str, C.Task] = C.TASKS,
-            boards: Sequence[str] | None = tuple(C.BOARDS), specs: Sequence[learn.Spec] | None = None,
+            boards: Sequence[str] | None = None, specs: Sequence[learn.Spec] | None = None,
             steps: Mapping[str, Sequence[str]] = BOARD_STEPS) -> dict:
     """Sync the clean table, fit the season models, search every task's models, store reports and winners.
 
-    Returns the season models, the winners as (pipeline, numpy form) and their errors, as score_all takes them.
+    ``boards`` limits the training to some boards. Returns the season models, the winners as (pipeline, numpy form) and their errors, as score_all takes them.
     """
     check_freq(freq_min)
     spark = raw.sparkSession
@@ -46,7 +46,9 @@ def retrain(raw: DataFrame, clean_path: str, model_path: str, freq_min: int = C.
         clean = clean.where(clean.id_board.isin(list(boards)))
     wide = materialise(pivot_fields(clean))
     slicing = sl.fit(wide, ["id_board"])
-    season_models, _ = season.season_fit(wide, freq_min)
+    season_models, season_errors = season.season_fit(wide, freq_min)
+    for name, df in (("season", season_models), ("season_errors", season_errors)):
+        df.write.mode("overwrite").parquet(f"{model_path.rstrip('/')}/{freq_min}m/{name}")
     models, mae, reports = {}, {}, None
     for name, task in tasks.items():
         frame = features.training_frame(wide, slicing, task, freq_min)

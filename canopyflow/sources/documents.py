@@ -42,11 +42,11 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One JSON line per report, a folder per task and model."""
+    """One JSON line per report, a folder per task and model; a new report replaces the one of the same task and model."""
     doc = F.to_json(F.struct(
         "model_name", "best_params", F.struct(*METRICS).alias("metrics"), F.struct(*TIMINGS).alias("performance"), "feature_importance"))
-    reports.select(F.col("task").alias("report_task"), F.col("model_name").alias("report_model"), doc.alias("value")).write.partitionBy(
-        "report_task", "report_model").text(path)
+    reports.select(F.col("task").alias("report_task"), F.col("model_name").alias("report_model"), doc.alias("value")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("report_task", "report_model").text(path)
 
 
 def read_report_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -22,10 +22,6 @@ POINT = T.StructType([
 DAY = "day"
 
 
-def clean_table(freq_min: int) -> str:
-    return f"{C.CLEAN_PREFIX}{freq_min}m"
-
-
 def as_points(df: DataFrame, **tags: str) -> DataFrame:
     """Complete long rows to the stored schema; tags not given and not present are null."""
     cols = []
@@ -89,11 +85,16 @@ def write_points(points: DataFrame, path: str, key: Sequence[str] | None = None)
      .option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path))
 
 
-def save_predictions(preds: DataFrame, clean_path: str, archive_path: str, model_source: str, freq_min: int) -> DataFrame:
-    """The same forecast points to the clean and the archive table, tagged with their source and frequency."""
+def save_predictions(preds: DataFrame, clean_path: str, archive_path: str, model_source: str | None, freq_min: int) -> DataFrame:
+    """The same forecast points to the clean and the archive table, tagged with their frequency and source (None: that of each row)."""
+    keys, tags = ["id_board", "_time"], {"freq": f"{freq_min}m"}
+    if model_source is None:
+        keys.append("model_source")
+    else:
+        tags["model_source"] = model_source
     fields = [c for c in C.PRED_FIELDS if c in preds.columns]
-    long = preds.unpivot(["id_board", "_time"], fields, "_field", "_value").where(F.col("_value").isNotNull())
-    points = materialise(as_points(long.withColumn("seq", F.unix_micros("_time")), model_source=model_source, freq=f"{freq_min}m"))
+    long = preds.unpivot(keys, fields, "_field", "_value").where(F.col("_value").isNotNull())
+    points = materialise(as_points(long.withColumn("seq", F.unix_micros("_time")), **tags))
     for path in (clean_path, archive_path):
         write_points(points, path)
     return points

@@ -6,7 +6,7 @@ maxOffsetsPerTrigger.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,22 +93,23 @@ class _Fallback(StatefulProcessor):
         pass
 
 
-def stream_fallback(df: DataFrame, key: str = "id_board", uses: int = C.READING_USES) -> DataFrame:
+def stream_fallback(df: DataFrame, key: str = "id_board", uses: int = C.READING_USES, carry: Sequence[str] = ()) -> DataFrame:
     """Count the uses of operator readings per board, then replace and flag as the batch operator does.
 
-    ``df`` carries leaf_temp and the reading in force: temp, reading_id.
+    ``df`` has leaf_temp and the reading in force: temp, reading_id. Columns in ``carry`` go along.
     """
     use_rocksdb(df.sparkSession)
-    d = df.select(key, F.col("_time").alias("at"), "seq", "leaf_temp", "temp", "reading_id")
+    d = df.select(key, F.col("_time").alias("at"), "seq", "leaf_temp", "temp", "reading_id", *carry)
     out = T.StructType([*d.schema.fields, T.StructField("use_no", T.LongType())])
     d = d.groupBy(key).transformWithStateInPandas(_Fallback(uses), out, "Append", "None").withColumnRenamed("at", "_time")
     leaf = F.when(F.isnan("leaf_temp"), None).otherwise(F.col("leaf_temp"))
     used, spent = F.col("use_no") <= uses, F.col("use_no") > uses
     needs = leaf.isNull() | (leaf < C.LEAF_MIN_VALID)
+    source = F.when(used, "reading").when(spent, "exhausted").when(needs, "none").otherwise("sensor")
     return d.withColumns({
-        "leaf_source": F.when(used, "reading").when(spent, "exhausted").when(needs, "none").otherwise("sensor"),
+        "leaf_source": source,
         "alert_level": alert_level(F.col("use_no"), uses),
-        "leaf_temp": F.when(used, F.col("temp")).otherwise(leaf),
+        "leaf_temp": F.when(used, F.col("temp")).when(source != "none", leaf),
     })
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from canopyflow import config as C
 from canopyflow.operators.filters import latest_per, required, split_sync
 from canopyflow.operators.reshape import to_points
-from canopyflow.plans.clean import sync_clean
+from canopyflow.plans.cycle import sync
 from canopyflow.sources import tables
 from canopyflow.sources.uplink import decode_uplink
 from canopyflow.streaming.state import stream_fallback
@@ -46,15 +46,15 @@ def telemetry_rows(frames: DataFrame, lateness: str = "10 minutes", col: str = "
 
 
 def telemetry_points(rows: DataFrame, readings: DataFrame | None = None) -> DataFrame:
-    """Points of telemetry rows. With ``readings`` (board, temp, reading_id) missing leaf values are replaced first."""
+    """Points of telemetry rows. With ``readings`` (board, temp, reading_id) missing leaf values are replaced first.
+
+    Of several readings of a board the first one counts: the least ``line_no`` if the readings have it, else the least id.
+    """
     if readings is not None:
-        one = readings.select(F.col("board").alias("id_board"), "temp", "reading_id").dropDuplicates(["id_board"])
-        others = [f for f in C.FIELDS if f != C.TARGET]
-        rows = rows.join(one, "id_board", "left")
-        fixed = stream_fallback(rows)
-        plain = to_points(rows, ("id_board", "_time", "seq"), others)
-        leaf = to_points(fixed, ("id_board", "_time", "seq"), [C.TARGET])
-        return plain.unionByName(leaf)
+        order = [c for c in ("line_no", "reading_id", "temp") if c in readings.columns]
+        first = F.min_by(F.struct("temp", "reading_id"), F.struct(*order)).alias("_r")
+        one = readings.groupBy(F.col("board").alias("id_board")).agg(first).select("id_board", "_r.*")
+        rows = stream_fallback(rows.join(one, "id_board", "left"), carry=[f for f in C.FIELDS if f != C.TARGET])
     return to_points(rows, ("id_board", "_time", "seq"), C.FIELDS)
 
 
@@ -102,9 +102,7 @@ def stream_topology(packets: DataFrame, path: str, checkpoint: str, once: bool =
 def stream_clean(points: DataFrame, raw_path: str, clean_path: str, checkpoint: str, freq_min: int = C.FREQ_MIN, once: bool = True, **kw) -> StreamingQuery:
     """Store every micro-batch of raw points and bring the clean table up to it."""
     def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         tables.write_points(batch, raw_path)
-        fresh = sync_clean(tables.read_table(spark, raw_path), tables.read_table(spark, clean_path), freq_min, **kw)
-        tables.write_points(fresh, clean_path)
+        sync(batch.sparkSession, raw_path, clean_path, freq_min, **kw)
 
     return run(points, each, checkpoint, once)

@@ -235,7 +235,7 @@ def reintegrate(spark, sf):
     archive = tables.as_points(p.withColumn("_field", F.concat("_field", F.lit("_pred"))).withColumn(
         "freq", F.when(F.col("seq") % 2 == 0, "6m").otherwise("60m")))
     stored = archive.where(F.col("_time") < F.lit("2024-01-16").cast("timestamp")).withColumn("_value", F.col("_value") - 1)
-    out = joins.reintegrate(archive, stored, "6m", F.lit("2024-02-01").cast("timestamp"))
+    out = joins.upsert_points(stored, joins.reintegrate(archive, stored, "6m", F.lit("2024-02-01").cast("timestamp")))
     return out.select("id_board", "_field", us(), F.round("_value", 9).alias("_value"), "freq")
 
 

@@ -124,7 +124,7 @@ def _applied(spark, sf):
     return seq.apply_fallback(joins.fallback_lookup(tel, readings, s), s)
 
 
-@query("apply_fallback", """SELECT seq, CASE WHEN use_no <= 14 THEN temp ELSE leaf END AS leaf_temp, use_no,
+@query("apply_fallback", """SELECT seq, CASE WHEN use_no <= 14 THEN temp WHEN use_no IS NULL AND leaf < 5 THEN NULL ELSE leaf END AS leaf_temp, use_no,
  CASE WHEN use_no <= 14 THEN 'reading' WHEN use_no > 14 THEN 'exhausted' WHEN leaf IS NULL OR leaf < 5 THEN 'none' ELSE 'sensor' END AS leaf_source FROM applied""", "ev", _READ)
 def apply_fallback(spark, sf):
     return _applied(spark, sf).select("seq", "leaf_temp", "use_no", "leaf_source")

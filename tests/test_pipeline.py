@@ -10,8 +10,8 @@ from canopyflow import config as C
 from canopyflow.operators import slicing as sl
 from canopyflow.operators import joins
 from canopyflow.operators import sequence as seq
-from canopyflow.plans import clean, forecast, learn, retrain
-from canopyflow.sources import tables
+from canopyflow.plans import clean, cycle, forecast, history, learn, retrain
+from canopyflow.sources import documents, tables
 from canopyflow.streaming import state, telemetry
 
 T0 = datetime(2024, 5, 1)
@@ -68,6 +68,56 @@ def test_retrain_and_score(spark, tmp_path):
     assert set(forecast.prediction_columns(scored).columns) == {"id_board", "_time", *C.PRED_FIELDS}
     with pytest.raises(ValueError):
         retrain.check_freq(4)
+    clean_path, archive = str(tmp_path / "clean"), str(tmp_path / "archive")
+    now = out["clean"].agg(F.max("_time")).first()[0] + timedelta(minutes=6)
+    saved = cycle.run_forecasts(spark, clean_path, archive, out, 6, now, groups=["C"], single=["t8"], tasks=tasks, group_tasks={"C": ("t4", "t8", "t9")})
+    stored = tables.read_table(spark, archive)
+    assert stored.count() == saved.count() == 2 * 2 * 30 * 3 and {r.model_source for r in stored.select("model_source").distinct().collect()} == {"ENSEMBLE_C", "T8"}
+    assert tables.read_table(spark, clean_path).where("_field rlike 'pred'").count() == saved.count()
+    silent = forecast.context(out["clean"], 6, now=now + timedelta(days=8))
+    assert silent.count() == 0
+    # a second training run replaces models and reports
+    again = retrain.retrain(raw_points(spark, n=720), clean_path, str(tmp_path / "models"), 6, {"t4": tasks["t4"]}, None,
+                            [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})], {"b0": clean.BOARD_STEPS[C.BOARDS[0]]})
+    assert set(again["mae"]) == {"t4"}
+    reports = documents.read_report_lines(spark, str(tmp_path / "models" / "6m" / "reports"))
+    assert sorted(r.task for r in reports.collect()) == ["t4", "t8", "t9"]
+    assert spark.read.parquet(str(tmp_path / "models" / "6m" / "season")).count() > 0
+
+
+def test_sync_reads_only_the_days_it_needs(spark, tmp_path):
+    raw_path, clean_path, archive = (str(tmp_path / n) for n in ("raw", "clean", "archive"))
+    raw = raw_points(spark, n=3000)  # four days
+    tables.write_points(raw, raw_path)
+    whole = clean.sync_clean(tables.read_table(spark, raw_path), raw.limit(0)).persist()
+    tables.write_points(whole.where(F.col("_time") < F.lit(T0 + timedelta(days=3))), clean_path)
+    plan = cycle.newer_raw(spark, raw_path, tables.read_table(spark, clean_path))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    tables.write_points(tables.as_points(whole.limit(5).withColumn("_field", F.lit("leaf_temp_pred")).withColumn("_time", F.lit(T0 + timedelta(days=4))), model_source="T8", freq="6m"), archive)
+    cycle.sync(spark, raw_path, clean_path, 6, archive, T0 + timedelta(days=5))
+    got, want = as_dict(tables.read_table(spark, clean_path)), as_dict(whole)
+    assert {k for k in got if "pred" not in k[1]} == set(want) and any("pred" in k[1] for k in got)
+    far = {k: v for k, v in want.items() if k[2] > T0 + timedelta(days=3, hours=1)}
+    assert {k: got[k] for k in far} == pytest.approx(far)
+    new = raw.withColumn("id_board", F.lit("b7"))
+    tables.write_points(new, raw_path)
+    cycle.sync(spark, raw_path, clean_path, 6)
+    assert tables.read_table(spark, clean_path).where("id_board = 'b7'").agg(F.min("_time")).first()[0] == T0
+
+
+def test_history_prunes_days(spark, tmp_path):
+    tables.write_points(raw_points(spark, n=1500), str(tmp_path / "t"))
+    now = T0 + timedelta(days=200)
+    stale = history.stored_history(spark, str(tmp_path / "t"), now, 24)
+    assert stale.count() == 0 and "PartitionFilters: [isnotnull(day" in stale._jdf.queryExecution().executedPlan().toString()
+    assert history.stored_history(spark, str(tmp_path / "t"), T0 + timedelta(days=2), 24).where("is_stale = false").count() > 0
+
+
+def test_an_implausible_leaf_value_without_a_reading_is_cleared(spark):
+    d = spark.createDataFrame([("b", T0 + timedelta(minutes=i), i, leaf, None, None) for i, leaf in enumerate([3.0, 18.0, None])],
+                              "id_board string, _time timestamp, seq long, leaf_temp double, temp double, reading_id string")
+    out = seq.apply_fallback(d, sl.Slicing(("id_board",))).orderBy("seq").collect()
+    assert [(r.leaf_temp, r.leaf_source) for r in out] == [(None, "none"), (18.0, "sensor"), (None, "none")]
 
 
 def files(spark, df, path, n):

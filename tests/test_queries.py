@@ -4,13 +4,15 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from canopyflow.operators import slicing
+from checks import registry
 from checks.compare import compare
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL  # those of the training-data operators are tested in tests/llm
 HEAVY = {"score_all_boards", "recursive_forecast", "grid_search_reports"}  # trained models: covered by test_models
 ORDERED = ["lag_features", "diff_features", "forward_fill", "fill_both_ways", "spike_filter", "sessions", "leaf_weights", "moisture_alerts",
            "fallback_lookup", "apply_fallback", "topology_changes", "fraction_split", "ts_folds", "gap_size", "interpolate", "command_outcomes",
            "dispatch", "quantile_split", "gaussian_fill"]
+COMPOSED = ["clean_series", "sync_clean", "training_frame"]
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in HEAVY])
@@ -20,7 +22,7 @@ def test_query(spark, con, sf, name):
     assert rows > 0
 
 
-@pytest.mark.parametrize("name, max_rows", [(n, 3) for n in ORDERED] + [("sessions", 40), ("apply_fallback", 40), ("ts_folds", 40)])
+@pytest.mark.parametrize("name, max_rows", [(n, 3) for n in ORDERED] + [("sessions", 40), ("apply_fallback", 40), ("ts_folds", 40)] + [(n, 40) for n in COMPOSED])
 def test_narrow_slices(spark, con, sf, name, max_rows, monkeypatch):
     """40 rows per slice: a day each; 3 rows: an hour or less."""
     monkeypatch.setattr(slicing, "MAX_ROWS", max_rows)
@@ -28,7 +30,7 @@ def test_narrow_slices(spark, con, sf, name, max_rows, monkeypatch):
 
 
 def test_sql_only_for_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):
