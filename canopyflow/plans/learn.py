@@ -123,7 +123,7 @@ def grid_search(train: DataFrame, test: DataFrame, specs: Sequence[Spec], cols:
 
     Folds are marked once on a stored frame; candidates of all specs share a thread pool, so the cluster always has work.
     """
-    marked = materialise(ts_folds(train, sl.fit(train, []), folds))
+    marked = materialise(ts_folds(train, sl.fit(train, []), folds), "fold", "role")  # a fit reads its own fold and role only
     parts = [(marked.where((F.col("fold") == k) & (F.col("role") == "train")), marked.where((F.col("fold") == k) & (F.col("role") == "test")))
              for k in range(folds)]
     sizes = [_stats(a, target) for a, _ in parts]

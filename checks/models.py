@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from canopyflow import config as C
 from canopyflow.operators import aggregates as agg
 from canopyflow.operators import reshape
 from canopyflow.operators import sequence as seq
-from canopyflow.plans import features, forecast, learn, retrain, season
+from canopyflow.plans import cycle, features, forecast, learn, retrain, season
 from canopyflow.plans.portable import portable
 from canopyflow.session import materialise
-from canopyflow.sources import events
+from canopyflow.sources import documents, events, tables
+from checks.aggregates import reports
 from checks.basics import r
 from checks.registry import query
-from checks.scans import us
+from checks.scans import scratch, us
 from checks.sequences import BEFORE, FROM, MIN, UPTO
 
-FEATURES = ("air_temp", "humidity", "tds", "soil_moisture")
+FEATURES = ("air_temp", "humidity", "water_temp", "tds", "soil_moisture")
 # fixed values: a soft, an environmental and an autoregressive task small enough for the check tables
 TASKS = {"t4": C.Task("t4", FEATURES, False, False), "t8": C.Task("t8", FEATURES, True, False, 3), "t9": C.Task("t9", FEATURES, True, True, 3)}
 FREQ = 60
@@ -56,6 +59,22 @@ def season_fit(spark, sf):
     return models.join(errors, "_field").select("_field", F.size("coef").alias("terms"), "MAE", "RMSE", "n")
 
 
+_TERMS = 2 + 2 * season.PAIRS
+
+
+@query("season_residuals", f"""SELECT _field, unnest(range({_TERMS})) AS term, n, CAST(0 AS DOUBLE) AS moment FROM (SELECT _field, count(*) AS n FROM (
+ SELECT * FROM (UNPIVOT hourly ON {', '.join(FEATURES)} INTO NAME _field VALUE y) QUALIFY row_number() OVER (PARTITION BY id_board, _field ORDER BY _time DESC) <= 336)
+ GROUP BY _field)""", "wide", _HOURLY)
+def season_residuals(spark, sf):
+    """What makes a fit the least-squares one: residuals are orthogonal to every term, over the whole panel."""
+    p = materialise(season.panel(hourly(spark, sf), FREQ, fields=FEATURES))
+    models = materialise(season.fit_models(p))
+    d = season.predict(p, models).join(models.select("_field", "t0", "span"), "_field").withColumn("_e", F.col("y") - F.col("yhat"))
+    sums = d.groupBy("_field").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("_e") * x) for x in season.design()]).alias("_m"))
+    moments = sums.select("_field", "n", F.posexplode("_m").alias("term", "moment"))
+    return moments.select("_field", F.col("term").cast("long").alias("term"), "n", (F.bround("moment", 6) + 0.0).alias("moment"))
+
+
 @query("env_forecast")
 def env_forecast(spark, sf):
     h = hourly(spark, sf)
@@ -110,6 +129,36 @@ def score_all_boards(spark, sf):
     return d.select("model_source", "id_board", "step", us(), "value", "vpd")
 
 
+@query("forecast_cycle")
+def forecast_cycle(spark, sf):
+    """Points that the forecast job leaves in the clean and in the archive table."""
+    h, fitted = _trained(spark, sf, _RIDGE)
+    models, mae = _models(fitted)
+    trained = {"season": season.season_fit(h, FREQ, fields=FEATURES)[0], "models": models, "mae": mae}
+    clean, archive = scratch(spark), scratch(spark)
+    tables.write_points(tables.as_points(reshape.to_points(h.withColumn("seq", F.unix_micros("_time")), ("id_board", "_time", "seq"), [*FEATURES, "leaf_temp"])), clean)
+    now = h.agg(F.max("_time")).first()[0] + timedelta(minutes=FREQ)
+    cycle.run_forecasts(spark, clean, archive, trained, FREQ, now, groups=["C"], single=list(TASKS), tasks=TASKS, group_tasks={"C": ("t4", "t8", "t9")})
+    saved = [tables.read_table(spark, p).where("_field rlike 'pred'").withColumn("kept_in", F.lit(n)) for n, p in (("clean", clean), ("archive", archive))]
+    return saved[0].unionByName(saved[1]).select("kept_in", "id_board", "model_source", "freq", "_field", us(), "_value")
+
+
+@query("report_round_trip", """SELECT task, model_name, round(MAE, 9) AS MAE, round(RMSE, 9) AS RMSE, round(train_MAE, 9) AS train_MAE, CAST(NULL AS DOUBLE) AS R_squared,
+ 'k' AS param, 2 AS importances FROM reports""", "reports")
+def report_round_trip(spark, sf):
+    """Reports written twice and read back: the second time they replace the first."""
+    d = reports(spark, sf)
+    given = {"MAE", "RMSE", "train_MAE"}
+    d = d.select("task", "model_name", F.create_map(F.lit("k"), F.lit("1")).alias("best_params"),
+                 *[F.col(m) if m in given else F.lit(None).cast("double").alias(m) for m in documents.METRICS],
+                 *[F.lit(0.5).alias(t) for t in documents.TIMINGS], F.create_map(F.lit("a"), F.lit(0.25), F.lit("b"), F.lit(0.75)).alias("feature_importance"))
+    path = scratch(spark)
+    documents.write_reports(d.withColumn("MAE", F.lit(-1.0)), path)
+    documents.write_reports(d, path)
+    out = documents.read_report_lines(spark, path)
+    return out.select("task", "model_name", *[r(c).alias(c) for c in sorted(given)], "R_squared", F.map_keys("best_params")[0].alias("param"), F.size("feature_importance").alias("importances"))
+
+
 @query("forecast_document")
 def forecast_document(spark, sf):
     h = hourly(spark, sf)

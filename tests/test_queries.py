@@ -8,7 +8,7 @@ from checks import registry
 from checks.compare import compare
 
 QUERIES, SQL = registry.QUERIES, registry.SQL  # those of the training-data operators are tested in tests/llm
-HEAVY = {"score_all_boards", "recursive_forecast", "grid_search_reports"}  # trained models: covered by test_models
+HEAVY = {"score_all_boards", "recursive_forecast", "grid_search_reports", "forecast_cycle"}  # trained models: covered by test_models
 ORDERED = ["lag_features", "diff_features", "forward_fill", "fill_both_ways", "spike_filter", "sessions", "leaf_weights", "moisture_alerts",
            "fallback_lookup", "apply_fallback", "topology_changes", "fraction_split", "ts_folds", "gap_size", "interpolate", "command_outcomes",
            "dispatch", "quantile_split", "gaussian_fill"]
