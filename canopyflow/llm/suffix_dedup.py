@@ -20,6 +20,8 @@ from canopyflow.llm.common import keyed_chunks, map_arrow, shuffle_partitions, s
 _ANCHOR = 32
 #: bytes that a task hashes at once; 24 bits of an anchor's key are its place among them
 _FLUSH, _PIECE = 1 << 21, 1 << 22
+#: windows that a task tells apart at once
+_HELD = 500_000
 #: contexts of one anchor that are sorted together; those of a more frequent anchor are told apart window by window
 _CROWD = 256
 _SHALLOW = 32
@@ -202,21 +204,28 @@ def _numbers(want: pa.Scalar) -> tuple[np.ndarray, ...]:
 
 
 def _windows(fetched: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Each window of the wanted contexts as a context of its own."""
+    """Each window of the wanted contexts as a context of its own; a task hands on many documents' windows at a time."""
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 lo, n, _, _ = _numbers(batch.column("want")[i])
                 x = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                for s in range(0, len(lo), 4096):
-                    count = n[s:s + 4096]
-                    at = np.repeat(lo[s:s + 4096], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                for s in range(0, len(lo), 512):
+                    count = n[s:s + 512]
+                    at = np.repeat(lo[s:s + 512], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     letters = _TABLE[x[at[:, None] + np.arange(length)]]
                     out = np.zeros(len(at), _CONTEXT)
                     out["h"] = _mix((letters * _powers(_BASE, length)).sum(axis=1, dtype=np.uint64))
                     out["content"] = _mix((letters * _powers(_BASE ^ (1 << 40), length)).sum(axis=1, dtype=np.uint64))
                     out["doc"], out["lo"], out["n"] = batch.column("doc")[i].as_py(), at, 1
-                    yield _emit(out, buckets)
+                    held.append(out)
+                    size += len(out)
+                    if size >= _HELD:
+                        yield _emit(np.concatenate(held), buckets)
+                        held, size = [], 0
+        if held:
+            yield _emit(np.concatenate(held), buckets)
 
     return map_arrow(fetched, run, *_BLOB)
 
