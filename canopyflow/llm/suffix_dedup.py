@@ -4,7 +4,8 @@ A string of ``length`` bytes is a window. Windows that are equal have equal shin
 hash, its anchor, is the same in all of them. Neighbouring windows mostly have one anchor: such a run is a context. Contexts travel to
 their anchor's bucket as hashes. Equal contexts are settled there; where an anchor has several different contexts, their bytes are
 fetched and the suffixes that begin at their windows are sorted, deep-shallow: multikey quicksort to a shallow depth, blind tries for
-what has a longer common prefix. So all text is hashed, but only suffixes that may repeat are sorted.
+what has a longer common prefix. So all text is hashed, but only suffixes that may repeat are sorted. An anchor with very many different
+contexts would crowd one bucket, or one sort: its windows are told apart by hashes of all their bytes, which spreads them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ _CROWD = 256
 _SHALLOW = 32
 _CONTEXT = np.dtype([("h", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("n", "<i4"), ("off", "<i4")])
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: one document in so many, by the hash of its number, tells which anchors are very frequent; least number of their contexts there
+_SAMPLE, _FREQUENT = 64, 32
 _LONG = T.LongType()
 _SPAN = [T.StructField(c, _LONG) for c in ("doc", "lo", "n")]
 
@@ -43,10 +46,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def contexts(texts: list[bytes], docs: list[int], starts: list[int], length: int = 100) -> np.ndarray:
+def _content(letters: np.ndarray, base: int, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Hashes of ``size`` bytes from each place on."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(letters * _powers(base, len(letters)))])
+    return _mix((total[at + size] - total[at]) * _powers(pow(base, -1, 1 << 64), len(letters))[at])
+
+
+def contexts(texts: list[bytes], docs: list[int], starts: list[int], length: int = 100, frequent: np.ndarray | None = None) -> np.ndarray:
     """The contexts of all windows of the texts; ``starts``: where each text begins in its document.
 
     Fields: hash of the anchor, hash of the content, document, first window, number of windows, place of the anchor from the first.
+    A window of a ``frequent`` anchor is a context of its own, with a hash of its content in place of the anchor's.
     """
     size = np.asarray([len(t) for t in texts], np.int64)
     end = np.cumsum(size)
@@ -77,13 +87,20 @@ def contexts(texts: list[bytes], docs: list[int], starts: list[int], length: int
     first = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     lo, owner, anchor = windows[first], owner[first], anchor[first]
     count = np.diff(np.append(first, len(windows)))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(letters * _powers(_BASE, len(x)))])
-    content = (total[lo + count + length - 1] - total[lo]) * _powers(pow(_BASE, -1, 1 << 64), len(x))[lo]
     out = np.zeros(len(first), _CONTEXT)
-    out["h"], out["content"], out["n"], out["off"] = h[anchor], _mix(content), count, anchor - lo
+    out["h"], out["content"], out["n"], out["off"] = h[anchor], _content(letters, _BASE, lo, count + length - 1), count, anchor - lo
     out["doc"] = np.asarray(docs, np.int64)[owner]
     out["lo"] = lo - (end - size)[owner] + np.asarray(starts, np.int64)[owner]
-    return out
+    often = np.isin(out["h"], frequent) if frequent is not None and len(frequent) else np.zeros(len(out), bool)
+    if not often.any():
+        return out
+    some, count = out[often], count[often]
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at, single = np.repeat(lo[often], count) + step, np.repeat(some, count)
+    single["h"], single["content"] = _content(letters, _BASE_2, at, length), _content(letters, _BASE, at, length)
+    single["lo"] += step
+    single["n"], single["off"] = 1, 0
+    return np.concatenate([out[~often], single])
 
 
 def split_copies(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,26 +162,49 @@ def _emit(c: np.ndarray, buckets: int) -> pa.RecordBatch:
                                        pa.array(blobs + more, pa.binary())], ["bucket", "copies", "blob"])
 
 
-def _hashed(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+def _flushes(batches, length: int):
+    """A task's texts as lists of bytes, documents and starts, about ``_FLUSH`` bytes at a time; long texts in pieces."""
+    held, size = [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
+            view = memoryview(text.as_buffer() or b"") if text.is_valid else b""
+            for start in range(0, max(1, len(view) - length + 1), _PIECE):  # pieces share length - 1 bytes: each window is in one
+                part = bytes(view[start:start + _PIECE + length - 1])
+                held.append((part, doc, start))
+                size += len(part)
+                if size >= _FLUSH:
+                    yield tuple(map(list, zip(*held)))
+                    held, size = [], 0
+    if held:
+        yield tuple(map(list, zip(*held)))
+
+
+def _hashed(rows: DataFrame, length: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     """Each task's contexts, packed by bucket. ``rows``: doc, text."""
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
-                view = memoryview(text.as_buffer() or b"") if text.is_valid else b""
-                for start in range(0, max(1, len(view) - length + 1), _PIECE):  # pieces share length - 1 bytes: each window is in one
-                    part = bytes(view[start:start + _PIECE + length - 1])
-                    held.append((part, doc, start))
-                    size += len(part)
-                    if size >= _FLUSH:
-                        yield _emit(contexts(*map(list, zip(*held)), length), buckets)
-                        held, size = [], 0
-        if held:
-            yield _emit(contexts(*map(list, zip(*held)), length), buckets)
+        for flush in _flushes(batches, length):
+            yield _emit(contexts(*flush, length, frequent), buckets)
 
     return map_arrow(rows, run, *_BLOB)
 
 
+def frequent_anchors(rows: DataFrame, length: int, buckets: int) -> np.ndarray:
+    """Anchors with more different contexts than a bucket has room for, judged by a sample of documents: at most ``buckets`` of them.
+
+    This decides only by which way windows travel, not which are found.
+    """
+    def run(batches):
+        for flush in _flushes(batches, length):
+            h, n = np.unique(split_copies(contexts(*flush, length))[0]["h"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(_SAMPLE)) == 0)
+    counts = stored(map_arrow(sample, run, T.StructField("h", _LONG), T.StructField("n", _LONG)).groupBy("h").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0  # one number
+    often = counts.where(F.col("n") > max(_FREQUENT, total // buckets)).select("h").toArrow().column("h").to_numpy()
+    return often.astype(np.int64).view(np.uint64)
+
+
 def _settled(blobs: DataFrame) -> DataFrame:
     """Per bucket: ``kind`` 0, spans of windows that have started before; 1, contexts to be compared byte by byte; 2, contexts of an
     anchor that has very many."""
@@ -217,7 +257,7 @@ def _windows(fetched: DataFrame, length: int, buckets: int) -> DataFrame:
                     letters = _TABLE[x[at[:, None] + np.arange(length)]]
                     out = np.zeros(len(at), _CONTEXT)
                     out["h"] = _mix((letters * _powers(_BASE, length)).sum(axis=1, dtype=np.uint64))
-                    out["content"] = _mix((letters * _powers(_BASE ^ (1 << 40), length)).sum(axis=1, dtype=np.uint64))
+                    out["content"] = _mix((letters * _powers(_BASE_2, length)).sum(axis=1, dtype=np.uint64))
                     out["doc"], out["lo"], out["n"] = batch.column("doc")[i].as_py(), at, 1
                     held.append(out)
                     size += len(out)
@@ -322,7 +362,7 @@ def repeated_windows(rows: DataFrame, length: int = 100) -> DataFrame:
     """``doc``, ``lo``, ``n``: runs of windows that also start earlier. ``rows``: ``doc`` (long, unique, gives the order), ``text``."""
     tasks = shuffle_partitions(rows)
     buckets = 4 * tasks
-    found = stored(_settled(_dealt(_hashed(rows, length, buckets), tasks)))
+    found = stored(_settled(_dealt(_hashed(rows, length, buckets, frequent_anchors(rows, length, buckets)), tasks)))
     near = _context_bytes(_fetched(rows, found.where("kind = 1")), length).repartition(tasks, "h").sortWithinPartitions("h")
     crowded = _settled(_dealt(_windows(_fetched(rows, found.where("kind = 2")), length, buckets), tasks))
     return found.where("kind = 0").select("doc", "lo", "n").union(_sorted(near, length)).union(crowded.where("kind = 0").select("doc", "lo", "n"))

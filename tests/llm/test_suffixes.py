@@ -42,8 +42,10 @@ def want(rows):
     return sorted(repr((r[0], hashlib.sha256(k).hexdigest(), len((r[1] or "").encode()))) for r, k in zip(rows, brute(rows)))
 
 
-@pytest.mark.parametrize("crowd, flush", [(256, 1 << 21), (1, 2000), (3, 500)])
-def test_kept_bytes(docs_of, monkeypatch, crowd, flush):
+@pytest.mark.parametrize("crowd, flush, sample, frequent", [(256, 1 << 21, 64, 32), (1, 2000, 64, 32), (3, 500, 64, 32), (256, 2000, 1, 0), (4, 1 << 21, 2, 1)])
+def test_kept_bytes(docs_of, monkeypatch, crowd, flush, sample, frequent):
+    monkeypatch.setattr(suffix_dedup, "_SAMPLE", sample)
+    monkeypatch.setattr(suffix_dedup, "_FREQUENT", frequent)  # 0: every anchor's windows travel alone
     monkeypatch.setattr(suffix_dedup, "_CROWD", crowd)  # 1: all windows one by one
     monkeypatch.setattr(suffix_dedup, "_FLUSH", flush)
     monkeypatch.setattr(suffix_dedup, "_PIECE", 300 if flush < 1000 else 1 << 22)
