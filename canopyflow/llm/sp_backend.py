@@ -130,6 +130,9 @@ class Backend(Segments):
             self.model = parse_model(f.read())
         self.tokenizer = build(self.model)
         m = self.model
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(m.pieces, m.kinds)]
+        self.piece_size = np.asarray([len(r) for r in raw], np.int64)
+        self.piece_begin, self.piece_bytes = np.cumsum(self.piece_size) - self.piece_size, np.frombuffer(b"".join(raw), np.uint8)
         self.by_words = spaces_begin_pieces(m) and m.dummy_prefix and not m.charsmap and not m.remove_extra_spaces and USER_DEFINED not in m.kinds
         super().__init__(memo_words)
 
@@ -162,7 +165,18 @@ class Backend(Segments):
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """The pieces' bytes, joined; byte pieces that form no characters, and unknown ids, are left to the library."""
+        out = []
+        for x in ids:
+            try:
+                size = self.piece_size[x]
+                ends = np.cumsum(size)
+                raw = self.piece_bytes[np.repeat(self.piece_begin[x] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+                text = raw.decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except (UnicodeDecodeError, IndexError):
+                out.append(self.tokenizer.decode(x.tolist(), skip_special_tokens=False))
+        return out
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 1) -> DataFrame:

@@ -30,6 +30,12 @@ def test_decode(docs_of, odd):
     assert [r.text for r in decode(coded.limit(1).selectExpr("doc_id", "cast(null as binary) as ids", "'old' as text"), MODEL).collect()] == [None]
 
 
+def test_decoding_any_ids():
+    backend, rnd = sp_backend.Backend(MODEL), np.random.default_rng(1)
+    ids = [rnd.integers(0, 32_000 if i % 2 else 400, rnd.integers(0, 30)) for i in range(400)] + [np.asarray([5, 99_999, 300])]
+    assert backend.decode(ids) == backend.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+
+
 def test_hard_texts():
     backend, lib = sp_backend.Backend(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = ["", " ", "  a", "a  b", "\n\n", "<s> </s> <unk> <0x0A>", "\x00é😀", "▁x ▁", "trail ", "x" * 400, "l'été naïve\tüber", "aaa aaaa aaaaa"]
