@@ -8,8 +8,8 @@ neighbours comes in one of two ways:
                   next known values, run positions),
 * ``row_halo``  - the few rows next to the slice are copied in (lags, row frames).
 
-Both are exact for every slice width. A slice width is a multiple of a second, and a series holds one row per microsecond
-at most (points are upserted by time), so the narrowest rung bounds every slice.
+Both are exact for every slice width. The narrowest width is a second: rows of one key and one second always share a slice, so a
+slice holds more than ``MAX_ROWS`` rows only where a single second of a key does.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from canopyflow.session import materialise
+
 SLICE = "_slice"
 HALO = "_halo"
 _WIDTH = "_slice_width"
@@ -43,8 +45,7 @@ class Slicing:
         seconds = F.unix_seconds(self.time)
         if self.hot is None:
             return df.withColumn(SLICE, F.floor(seconds / F.lit(self.width_s)))
-        hot = F.broadcast(self.hot)  # at most rows / MAX_ROWS keys, see fit()
-        joined = df.join(hot, list(self.key), "left") if self.key else df.crossJoin(hot)
+        joined = df.join(self.hot, list(self.key), "left")  # a row per hot key; adaptive execution picks the join by its size
         width = F.coalesce(F.col(_WIDTH), F.lit(self.width_s))
         return joined.withColumn(SLICE, F.floor(seconds / width)).drop(_WIDTH)
 
@@ -66,33 +67,30 @@ class Slicing:
 def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int | None = None) -> Slicing:
     """Measure ``df`` and choose slice widths so that no slice holds more than ``max_rows`` (MAX_ROWS) rows.
 
-    One hash aggregation on two columns. Keys that overflow a width get the next narrower one; only
-    keys with more than ``max_rows`` rows can overflow, so the driver sees at most rows / max_rows keys.
+    One hash aggregation on two columns. Keys that overflow a width get the next narrower one; they stay a stored table.
     """
     key, max_rows = tuple(key), max_rows or MAX_ROWS
-    spark = df.sparkSession
     todo = df.select(*key, time)
-    widths: dict[tuple, int] = {}
+    widths: list[DataFrame] = []
+    narrowest = RUNGS[0]
     for i, width in enumerate(RUNGS[:-1]):
         full = (
             todo.groupBy(*key, F.floor(F.unix_seconds(time) / F.lit(width)).alias(SLICE))
-            .count().where(F.col("count") > max_rows).select(*key).distinct()
+            .count().where(F.col("count") > max_rows).select(*key, F.lit(1).alias("_one")).distinct().drop("_one")
         )
-        over = [tuple(r) for r in full.collect()] if key else ([()] if full.count() else [])
-        if not over:
+        if full.isEmpty():
             break
-        for k in over:
-            widths[k] = RUNGS[i + 1]
+        narrowest = RUNGS[i + 1]
         if key:
-            schema = df.select(*key).schema
-            todo = todo.join(F.broadcast(spark.createDataFrame(over, schema)), list(key), "left_semi")
+            full = materialise(full)
+            widths.append(full.withColumn(_WIDTH, F.lit(narrowest).cast("long")))
+            todo = todo.join(full, list(key), "left_semi")
     if not widths:
-        return Slicing(key, time)
-    if not key:
-        return Slicing(key, time, widths[()])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.select(*key).schema)}, {_WIDTH} bigint"
-    hot = spark.createDataFrame([(*k, w) for k, w in widths.items()], schema)
-    return Slicing(key, time, hot=hot)
+        return Slicing(key, time, narrowest)
+    hot = widths[0]
+    for w in widths[1:]:
+        hot = hot.unionByName(w)
+    return Slicing(key, time, hot=materialise(hot.groupBy(*key).agg(F.min(_WIDTH).alias(_WIDTH))))
 
 
 def position(order: Sequence[str]) -> Column:
