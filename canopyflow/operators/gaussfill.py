@@ -61,9 +61,12 @@ def _solve(pdf: pd.DataFrame, sigma: float, as_map: bool) -> tuple[pd.DataFrame,
     if len(at):
         wb, wa, a = _weights(t, w, at, ot, ow, sigma)
         const = (wa * (ov[a] if len(ov) else 0.0)).sum(1)
-        for k, i in enumerate(at):
-            lo = max(0, i - C.FILL_BEFORE)
-            x[i] = wb[k, C.FILL_BEFORE - (i - lo):] @ x[lo:i]
+        # a fill with none among the values before it begins an island: the first fills of all islands are made together, then the second ones
+        begins = np.append(True, np.diff(at) > C.FILL_BEFORE)
+        rank = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        for k in np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1]):
+            i = at[k]
+            x[i] = np.einsum("kb,kbw->kw", wb[k], x[np.maximum(i[:, None] - C.FILL_BEFORE + np.arange(C.FILL_BEFORE), 0)])
             x[i, -1] += const[k]
     return seq, x
 
