@@ -31,11 +31,19 @@ _SEQUENCES, _DOCS = 256, 16_384
 def _open(path: str):
     """File system and path; what a cluster's executors share has to be reachable by pyarrow (local or mounted, hdfs, s3, gs)."""
     from pyarrow import fs
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
         return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return fs.LocalFileSystem(), path
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, so that executors do not take a path of the cluster's default store for a local one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _id_type(tokenizer_size: int) -> pa.DataType:
     return pa.uint16() if tokenizer_size <= 1 << 16 else pa.uint32()
 
@@ -102,6 +110,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
     text is the end id alone; other columns are not read; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
+    folder = _qualified(spark, folder)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     n = partitions or shuffle_partitions(docs)
     rows = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
@@ -128,6 +137,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
 
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest, one row per file pair, with the ids of all shards before; dealt one shard to a task."""
+    folder = _qualified(spark, folder)
     found = sorted(spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").collect())  # a row per shard
     rows, base = [], 0
     for r in found:
