@@ -79,11 +79,11 @@ def drop_nulls(spark, sf):
         filters.drop_nulls(w, ["leaf_temp", "tds", "humidity"], "all").select("id_board", us(), F.lit(True).alias("all_null")))
 
 
-@query("dedupe_last", """SELECT id_board, epoch_us(date_trunc('minute', _time)) AS t_us, max(seq) AS seq, arg_max(_value, seq) AS _value FROM points
-WHERE _field = 'soil_moisture' GROUP BY id_board, date_trunc('minute', _time)""", "points")
+@query("dedupe_last", """SELECT id_board, _field, epoch_us(date_trunc('minute', _time)) AS t_us, max(seq) AS seq, arg_max({'v': _value}, seq).v AS _value FROM points
+GROUP BY id_board, _field, date_trunc('minute', _time)""", "points")
 def dedupe_last(spark, sf):
-    p = filters.filter_tag(events.points(spark, sf), "_field", "soil_moisture").withColumn("_time", F.date_trunc("minute", "_time"))
-    return filters.dedupe_last(p, ["id_board", "_time"], "seq").select("id_board", us(), "seq", "_value")
+    p = events.points(spark, sf).withColumn("_time", F.date_trunc("minute", "_time"))
+    return filters.dedupe_last(p, ["id_board", "_field", "_time"], "seq").select("id_board", "_field", us(), "seq", "_value")
 
 
 @query("override_latest", """SELECT id_board, epoch_us(_time) AS t_us, CASE WHEN newest THEN 21.5 ELSE air_temp END AS air_temp, humidity,
@@ -167,15 +167,18 @@ def to_points(spark, sf):
     return reshape.to_points(events.wide(spark, sf)).select("id_board", us(), "_field", "_value")
 
 
-@query("regroup", """SELECT id_board, epoch_us(_time) AS t_us, arg_max(v, src) AS air_temp FROM (
-  SELECT id_board, _time, _value + 1 AS v, 1 AS src FROM points WHERE _field = 'air_temp' UNION ALL
-  SELECT id_board, _time, _value, 0 FROM points WHERE _field = 'air_temp') GROUP BY 1, 2""", "points")
+SENT = ["air_temp", "humidity", "tds", "leaf_temp", "water_temp", "soil_moisture"]  # the fields that the points have
+
+
+@query("regroup", f"""SELECT id_board, epoch_us(_time) AS t_us, {', '.join(f"arg_max(v, src) FILTER (WHERE _field = '{f}') AS {f}" for f in SENT)} FROM (
+  SELECT id_board, _field, _time, _value + 1 AS v, 1 AS src FROM points UNION ALL
+  SELECT id_board, _field, _time, _value, 0 FROM points) GROUP BY 1, 2""", "points")
 def regroup(spark, sf):
     """Sources that differ in their tags fall into one row once the tags leave the key."""
-    p = filters.filter_tag(events.points(spark, sf), "_field", "air_temp")
+    p = events.points(spark, sf)
     both = tables.as_points(p.withColumn("seq", F.lit(0))).unionByName(
         tables.as_points(p.withColumn("_value", F.col("_value") + 1).withColumn("seq", F.lit(1)), model_source="T5", freq="6m"))
-    return reshape.pivot_fields(both, ["air_temp"]).select("id_board", us(), "air_temp")
+    return reshape.pivot_fields(both, SENT).select("id_board", us(), *SENT)
 
 
 @query("field_index", "SELECT seq, _field, dense_rank() OVER (ORDER BY _field) - 1 AS \"table\" FROM points", "points")
@@ -189,11 +192,10 @@ def union_all(spark, sf):
     return reshape.union_all(e.select("event_id", "value"), e.select("k", "event_id"))
 
 
-@query("sort_series", "SELECT id_board, epoch_us(_time) AS t_us, seq FROM points WHERE _field = 'soil_moisture' ORDER BY id_board, _time", "points")
+@query("sort_series", "SELECT id_board, _field, epoch_us(_time) AS t_us, seq FROM points ORDER BY id_board, _field, _time", "points")
 def sort_series(spark, sf):
     """A range sort: partitions are cut at sampled keys, so a large board spreads over many."""
-    p = filters.filter_tag(events.points(spark, sf), "_field", "soil_moisture")
-    return p.orderBy("id_board", "_time", "seq").select("id_board", us(), "seq")
+    return events.points(spark, sf).orderBy("id_board", "_field", "_time", "seq").select("id_board", "_field", us(), "seq")
 
 
 @query("vpd_scoring", """SELECT event_id, round(CASE WHEN d > 0 THEN d ELSE 0.0 END, 9) AS vpd FROM (

@@ -188,11 +188,10 @@ def upsert_points(spark, sf):
     return _shown(joins.upsert_points(hourly(p, 0, 0.0, 0), hourly(p, 30, 1.0, 0)))
 
 
-@query("merge_dumps", """SELECT count(*) AS n, round(sum(_value), 4) AS total, max(seq) AS newest FROM (""" + _UPSERTED + ")", "points", _HOURLY)
+@query("merge_dumps", _UPSERTED, "points", _HOURLY)
 def merge_dumps(spark, sf):
     p = events.points(spark, sf)
-    m = joins.merge_dumps(hourly(p, 0, 0.0, 0), hourly(p, 30, 1.0, 0))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("_value"), 4).alias("total"), F.max("seq").alias("newest"))
+    return _shown(joins.merge_dumps(hourly(p, 0, 0.0, 0), hourly(p, 30, 1.0, 0)))
 
 
 @query("upsert_table", _UPSERTED, "points", _HOURLY)
