@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,10 @@ def weigh(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts / total * 1000)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Space:
     """Labelled texts as unit vectors of a latent-semantic space."""
@@ -68,8 +73,7 @@ class Space:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        x = (weigh(counts) * self.idf) @ self.basis
-        return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        return unit((weigh(counts) * self.idf) @ self.basis)
 
     def vote(self, x: np.ndarray, neighbours: int, sharpness: float) -> np.ndarray:
         """Mean label of the nearest labelled vectors, each weighted by its cosine."""
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, dimensions: int =
     """Learn from at most ``bound`` labelled documents (the smallest hashes of their ids) that are not held out.
 
     Documents with several different labels, and null labels, are left out; of documents that share an id the least text counts.
-    The driver gets ``bound`` vectors of hashed terms at most, 8 kB each.
+    The driver gets ``bound`` vectors of hashed terms at most, compressed, and holds them once, 8 kB each.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most")
@@ -102,23 +106,25 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, dimensions: int =
 
     def run(batches):
         for part in text_slices(batches, "text"):
-            x = [terms(t).astype(np.float32).tobytes() for t in part.column("text").to_pylist()]
+            x = [zlib.compress(terms(t).astype(np.float32).tobytes(), 1) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
 
     got = map_arrow(rows, run, field(rows, "id"), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())).toArrow()
     got = got.sort_by("id")
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, _TERMS)
+    x = np.empty((got.num_rows, _TERMS), np.float32)
+    for i, raw in enumerate(got.column("x")):
+        x[i] = np.frombuffer(zlib.decompress(raw.as_buffer()), np.float32)
     y = got.column("label").to_numpy().astype(np.float64)
     if not len(x):
         return Space(np.ones(_TERMS), np.zeros((_TERMS, 1)), np.zeros((0, 1), np.float32), y)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    weighted = (weigh(x) * idf).astype(np.float32)
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    for i in range(0, len(x), 256):  # in place
+        x[i:i + 256] = weigh(x[i:i + 256]) * idf
     # the leading right singular vectors, by subspace iteration
     basis = np.random.default_rng(seed).standard_normal((_TERMS, min(dimensions, *x.shape))).astype(np.float32)
     for _ in range(6):
-        basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
-    space = Space(idf, basis, np.zeros((0, 1), np.float32), y)
-    return Space(idf, basis, space.project(x), y)
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    return Space(idf, basis, unit(x @ basis), y)
 
 
 def score(docs: DataFrame, space: Space, neighbours: int = 15, sharpness: float = 16.0, threshold: float = 0.7, id_col: str = "doc_id",
