@@ -120,7 +120,7 @@ class Encoder(Segments):
     ``memo_words`` bounds the remembered segments: beyond it, those met only once are forgotten.
     """
 
-    def __init__(self, path: str, memo_words: int = 800_000, parallel: bool = False):
+    def __init__(self, path: str, memo_words: int = 400_000, parallel: bool = False):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
         from tokenizers import Tokenizer
