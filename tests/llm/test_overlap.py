@@ -1,0 +1,60 @@
+import random
+
+import numpy as np
+import pytest
+
+from canopyflow.llm import overlap, stages
+from canopyflow.llm.overlap import common_counts, near_copies
+
+from .test_simhash import components
+
+
+def slow_set(text):
+    words = [w.lower() for w in (text or "").split()]
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def wanted(rows):
+    sets = [slow_set(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) * 10 >= 8 * len(sets[i] | sets[j])]
+    label = components(len(rows), links)
+    smallest = {c: min((r[0] for r, x in zip(rows, label) if x == c and r[0] is not None), default=None) for c in label}
+    return label, [(r[0], smallest[c]) for r, c in zip(rows, label)]
+
+
+def texts(share, n=120, groups=5):
+    rnd = random.Random(2)
+    base = [" ".join(rnd.choice("abcdefghij") + str(rnd.randint(0, 99)) for _ in range(300)) for _ in range(groups)]
+    return [(i, None if i == 7 else "" if i % 50 == 9 else " ".join(f"new{i}" if rnd.random() < share else w for w in base[i % groups].split())) for i in range(n)]
+
+
+@pytest.mark.parametrize("shard,share", [(256, 0.01), (4, 0.02), (4, 0.03)])
+def test_near_copies(docs_of, monkeypatch, shard, share):
+    monkeypatch.setattr(overlap, "_SHARD", shard)
+    rows = texts(share)
+    rows += [(3, rows[3][1]), (None, rows[4][1]), (None, "alone"), (5, "one two"), (6, "ONE\ttwo")]
+    label, want = wanted(rows)
+    assert sorted(map(repr, map(tuple, near_copies(docs_of(rows)).collect()))) == sorted(map(repr, want)) and 5 < len(set(label)) < 120
+
+
+def test_empty(docs_of):
+    assert near_copies(docs_of([])).count() == 0
+
+
+def test_counts(monkeypatch):
+    monkeypatch.setattr(overlap, "_COLUMNS", 7)
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)] + [np.zeros(0, np.uint64)]
+    got = common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+
+
+def test_stage_finds_near_copies_many_bits_apart(docs_of, spark):
+    """Sentences moved and words changed: five-word shingles overlap by 0.8 or more, fingerprints of three words differ in more than 3 bits."""
+    from canopyflow.llm.simhash import fingerprint
+    rows = texts(0.015, 60, 30)
+    far = [i for i in range(10, 30) if (int(fingerprint(rows[i][1])) ^ int(fingerprint(rows[i + 30][1]))).bit_count() > 3]
+    label, want = wanted(rows)
+    assert any(label[i + 30] == i for i in far)
+    stay = {r.doc_id for r in stages.near_dedup(spark, docs_of(rows), "").collect()}
+    assert stay == {i for i, c in want if i == c}
