@@ -21,13 +21,14 @@ from canopyflow.sources import tables
 
 def newer_raw(spark: SparkSession, raw_path: str, clean: DataFrame, halo_min: int = C.OVERLAP_MIN) -> DataFrame:
     """Raw points that can give new clean ones: from the least of the boards' newest clean stamps on, and all points of boards that
-    are seen since then but have no clean point. The stamp reaches the scan as a literal, so older days are not read."""
+    have no clean point, however old they are. The stamp reaches the scan as a literal; of older days only the boards' names are read."""
     marks = materialise(max_time(filter_fields(clean, "pred", negate=True), ["id_board"]))
     least = marks.agg(F.min("max_time")).first()[0]  # one row
     if least is None:
         return tables.read_table(spark, raw_path)
     recent = tables.read_table(spark, raw_path, since=str(least - timedelta(minutes=halo_min)))
-    unseen = materialise(recent.select("id_board").distinct().join(marks, "id_board", "left_anti"))
+    boards = tables.read_table(spark, raw_path).where("id_board is not null").select("id_board").distinct()
+    unseen = materialise(boards.join(marks, "id_board", "left_anti"))
     if unseen.isEmpty():
         return recent
     return recent.join(unseen, "id_board", "left_anti").unionByName(tables.read_table(spark, raw_path).join(unseen, "id_board", "left_semi"))

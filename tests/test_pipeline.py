@@ -105,6 +105,19 @@ def test_sync_reads_only_the_days_it_needs(spark, tmp_path):
     assert tables.read_table(spark, clean_path).where("id_board = 'b7'").agg(F.min("_time")).first()[0] == T0
 
 
+def test_sync_cleans_a_new_board_with_old_points_only(spark, tmp_path):
+    raw_path, clean_path = str(tmp_path / "raw"), str(tmp_path / "clean")
+    raw = raw_points(spark, n=3000)  # four days
+    tables.write_points(raw, raw_path)
+    whole = clean.sync_clean(tables.read_table(spark, raw_path), raw.limit(0))
+    tables.write_points(whole, clean_path)
+    dump = raw.where(F.col("_time") < F.lit(T0 + timedelta(days=1))).withColumn("id_board", F.lit("b9"))
+    tables.write_points(dump, raw_path)
+    cycle.sync(spark, raw_path, clean_path, 6)
+    first, last = tables.read_table(spark, clean_path).where("id_board = 'b9'").agg(F.min("_time"), F.max("_time")).first()
+    assert first == T0 and last >= T0 + timedelta(hours=23)
+
+
 def test_history_prunes_days(spark, tmp_path):
     tables.write_points(raw_points(spark, n=1500), str(tmp_path / "t"))
     now = T0 + timedelta(days=200)
