@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: folders of local applications without the setting, which cannot be set once a session runs
+_own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -19,15 +22,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only where none is named."""
-    named = spark.conf.get(_CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(_CHECKPOINT_CONF)
+    context = spark.sparkContext
+    named = spark.conf.get(_CHECKPOINT_CONF, None) or context.getConf().get(_CHECKPOINT_CONF)
     if named:
         return named
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_CONF} to a folder every executor can reach (master {master})")
-    folder = tempfile.mkdtemp(prefix="canopyflow-")
-    spark.conf.set(_CHECKPOINT_CONF, folder)
-    return folder
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"set {_CHECKPOINT_CONF} to a folder every executor can reach (master {context.master})")
+    if not _own.get(context.applicationId):
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="canopyflow-")
+    return _own[context.applicationId]
 
 
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -42,4 +45,13 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables that ``materialise`` returned; nothing that is still to be computed may read them."""
+    for df in frames:
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
