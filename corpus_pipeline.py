@@ -9,7 +9,7 @@ from canopyflow.llm.common import stored
 
 STAGES = [("quality_classifier", stages.quality), ("simhash_near_dedup", stages.near_dedup),
           ("suffix_array_dedup", stages.repeats), ("best_fit_packing", stages.packing)]
-ORACLE_SQL = None  # fingerprints, learned scores and tokens are beyond SQL; see tests/llm
+ORACLE_SQL = None  # fingerprints, learned scores and tokens are beyond SQL; tests/llm/test_pipeline.py has brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

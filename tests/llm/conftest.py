@@ -8,7 +8,8 @@ import canopyflow
 
 cloudpickle.register_pickle_by_value(canopyflow)
 #: columns whose names the operators use themselves
-CLASH = {c: "x" for c in ("id", "text_", "doc", "h", "lo", "n", "bucket", "meet", "node", "label", "task", "nth", "length", "piece", "score", "_id", "keep_lang")}
+CLASH = {c: "x" for c in ("id", "text_", "doc", "h", "lo", "n", "bucket", "meet", "node", "label", "task", "nth", "length", "piece", "score", "_id", "keep_lang", "predicted", "held_out",
+                            "kept", "spans", "n_bytes", "component_id", "doc_column_0", "recipe", "term", "terms", "tf", "phrase", "rank")}
 
 
 @pytest.fixture(scope="session")

@@ -78,3 +78,12 @@ def test_packing(steps):
 def test_run_gives_the_stages_result(spark, steps):
     rows = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect()
     assert sorted(map(tuple, rows)) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in steps[4])
+
+
+def test_columns_of_any_name(spark, docs_of, odd):
+    docs = docs_of(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert out.count() > 0 and stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count() >= len(odd)
