@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,3 +97,25 @@ def local_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
     return label
+
+
+def first_rows(rows: DataFrame, n: int, group: list[str], order: list, by: str) -> DataFrame:
+    """The first ``n`` rows of each group, and their ``rank``. Groups are cut in shards by a hash of ``by``, whose winners meet in fewer
+    shards, so no task sorts a whole group. The order has to be total."""
+    shards = shuffle_partitions(rows)
+    while shards > 1:
+        w = Window.partitionBy(*group, F.pmod(F.xxhash64(F.lit(shards), by), F.lit(shards))).orderBy(*order)
+        rows = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
+        shards //= 32
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def word_blocks(data: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """What lies between single spaces, in lists out of about ``size`` bytes; a list ends where a space does."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size) if at + size < len(data) else -1
+        yield data[at:end if end >= 0 else len(data)].split(b" ")
+        if end < 0:
+            return
+        at = end + 1

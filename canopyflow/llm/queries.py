@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from canopyflow.llm import embedding_dedup, packing, quality, sequences, simhash, sp_backend, suffix_dedup, token_counts, topk, urlfilter
+from canopyflow.llm import chunk_dedup, embedding_dedup, packing, quality, sequences, simhash, sp_backend, suffix_dedup, token_counts, topk, urlfilter
 from canopyflow.llm.common import stored
 from canopyflow.session import shared_dir
 
@@ -105,3 +105,13 @@ def op10(spark, sf_dir):
     capacity = packing.Capacity(tokens=1024, documents=1024, attention=1024 * 1024)
     pieces = packing.cut(table(spark, sf_dir, "documents"), byte_bpe(), end_id=2, longest=capacity.longest)
     return packing.place(stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), capacity)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op13_exact_dedup", f"""WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
+def op13(spark, sf_dir):
+    return chunk_dedup.exact_copies(table(spark, sf_dir, "documents"))
