@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from canopyflow.llm import chunk_dedup, embedding_dedup, packing, quality, sequences, simhash, sp_backend, suffix_dedup, token_counts, topk, urlfilter
+from canopyflow.llm import chunk_dedup, embedding_dedup, lexical, packing, phrases, quality, sequences, simhash, sp_backend, suffix_dedup, token_counts, topk, urlfilter
 from canopyflow.llm.common import stored
 from canopyflow.session import shared_dir
 
@@ -115,3 +115,42 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""")
 def op13(spark, sf_dir):
     return chunk_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+@query("op12_ranked_search", f"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS term FROM documents),
+size AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM size),
+m AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // total AS m FROM size, corpus),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, {_TERMS})) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50""")
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op11_collocations", f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+  regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM p, range(1, 5) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, words, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, range(2, 4) s(m), range(1, 4) t(i)
+  WHERE m < words AND i + m - 1 <= words GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM c, range(1, 4) t(k) WHERE k < words) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y),
+best AS (SELECT lang, phrase, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS b FROM cuts GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, b.l AS l, b.r AS r, n, b.score AS score
+  FROM kept JOIN n USING (lang))
+SELECT * FROM r WHERE rank <= 2000""")
+def op11(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
