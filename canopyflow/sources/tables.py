@@ -1,17 +1,18 @@
-"""Point tables: Parquet partitioned by day, written by replacing whole days."""
+"""Point tables: versioned, with day folders in each part."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyflow import config as C
-from canopyflow.operators.joins import upsert_points
 from canopyflow.session import materialise
+from canopyflow.sources.versions import COMMIT, VersionedTable
 
 POINT = T.StructType([
     T.StructField("measurement", T.StringType()), T.StructField("id_board", T.StringType()),
@@ -19,7 +20,10 @@ POINT = T.StructType([
     T.StructField("_field", T.StringType()), T.StructField("_value", T.DoubleType()),
     T.StructField("_time", T.TimestampType()), T.StructField("seq", T.LongType()),
 ])
+POINT_KEY = ("measurement", "id_board", "model_source", "freq", "_field", "_time")
 DAY = "day"
+#: parts from which a write merges the newest ones
+_MOST_PARTS = 8
 
 
 def as_points(df: DataFrame, **tags: str) -> DataFrame:
@@ -37,52 +41,38 @@ def as_points(df: DataFrame, **tags: str) -> DataFrame:
 
 
 def ensure_table(spark: SparkSession, name: str, location: str | None = None) -> None:
-    """Create the point table when it is missing."""
+    """Create a catalog table of points, in day folders, when it is missing; Spark's own writers fill it."""
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in POINT)
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({cols}, `{DAY}` date) USING parquet PARTITIONED BY (`{DAY}`){where}")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    schema = T.StructType([*POINT.fields, T.StructField(DAY, T.DateType())])
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def point_table(spark: SparkSession, path: str, key: Sequence[str] = POINT_KEY) -> VersionedTable:
+    """The points stored at ``path``: of points with one key the one written last counts, then the greatest ``seq``."""
+    return VersionedTable(spark, path, POINT, key, [COMMIT, "seq"], (DAY, F.to_date("_time"), T.DateType()))
 
 
 def read_table(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Points of a path; the bounds prune day folders and are pushed into the scan."""
-    df = _stored(spark, path)
-    if df is None:
-        return spark.createDataFrame([], POINT)
+    """Points of a path; the bounds prune day folders and are pushed into the scan. A missing table is empty."""
+    bounds = []
     if since is not None:
-        df = df.where((F.col(DAY) >= F.to_date(F.lit(since))) & (F.col("_time") >= F.lit(since).cast("timestamp")))
+        bounds += [F.col(DAY) >= F.to_date(F.lit(since)), F.col("_time") >= F.lit(since).cast("timestamp")]
     if until is not None:
-        df = df.where((F.col(DAY) <= F.to_date(F.lit(until))) & (F.col("_time") < F.lit(until).cast("timestamp")))
-    return df.drop(DAY)
+        bounds += [F.col(DAY) <= F.to_date(F.lit(until)), F.col("_time") < F.lit(until).cast("timestamp")]
+    return point_table(spark, path).read(reduce(and_, bounds) if bounds else None)
 
 
-def write_points(points: DataFrame, path: str, key: Sequence[str] | None = None) -> None:
-    """Upsert into the table at ``path``: only the days that got points are rewritten.
+def write_points(points: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> None:
+    """Upsert into the table at ``path``. The cost is that of the points given: stored days are neither read nor rewritten, and readers
+    see the points all at once. Null values are not written. Small parts are merged, and old ones dropped, now and then.
 
-    The merged days are written aside first and then replace the stored ones, so no job overwrites what it reads.
-    The rebalance lets Spark merge small days into one task and split a large day over many.
+    A streaming ``writer`` numbers its batches; a batch that comes again is left out.
     """
-    spark = points.sparkSession
-    keys = {"key": key} if key else {}
-    stored = _stored(spark, path)
-    if stored is None:
-        merged = upsert_points(as_points(points).limit(0), as_points(points), **keys).withColumn(DAY, F.to_date("_time"))
-    else:
-        fresh = materialise(as_points(points).withColumn(DAY, F.to_date("_time")))
-        days = fresh.select(DAY).distinct()  # one row per day
-        touched = stored.join(F.broadcast(days), DAY, "left_semi")
-        merged = materialise(upsert_points(touched.drop(DAY), fresh.drop(DAY), **keys).withColumn(DAY, F.to_date("_time")))
-    (merged.hint("rebalance", DAY).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path))
+    table = point_table(points.sparkSession, path)
+    version = table.append(as_points(points).where("_value is not null"), writer, batch)
+    if len(version.parts) > _MOST_PARTS:
+        table.compact()
+        table.vacuum()
 
 
 def save_predictions(preds: DataFrame, clean_path: str, archive_path: str, model_source: str | None, freq_min: int) -> DataFrame:

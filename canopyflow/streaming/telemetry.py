@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from canopyflow import config as C
@@ -15,9 +16,13 @@ from canopyflow.operators.reshape import to_points
 from canopyflow.plans.cycle import sync
 from canopyflow.sources import tables
 from canopyflow.sources.uplink import decode_uplink
+from canopyflow.sources.versions import COMMIT, VersionedTable
 from canopyflow.streaming.state import stream_fallback
 
-TOPOLOGY = "node_id string, star_id string, _time timestamp, seq long, version int"
+TOPOLOGY = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("star_id", T.StringType()),
+                         T.StructField("_time", T.TimestampType()), T.StructField("seq", T.LongType())])
+#: parts from which the topology's newest ones are merged
+_MOST_PARTS = 8
 
 
 def with_event_time(df: DataFrame, lateness: str = "10 minutes", device: str | None = "timestamp", arrival: str | None = None) -> DataFrame:
@@ -64,45 +69,48 @@ def run(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name a stream keeps over restarts; a stream with a new checkpoint is another one and numbers its batches anew."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
 def store_points(points: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert every micro-batch into a point table; a repeated batch writes the same points again."""
-    return run(points, lambda b, _: tables.write_points(b, path), checkpoint, once)
+    """Upsert every micro-batch into a point table; a batch that was committed is not written again."""
+    def each(batch: DataFrame, i: int) -> None:
+        tables.write_points(batch, path, stream_id(batch.sparkSession, checkpoint), i)
 
+    return run(points, each, checkpoint, once)
 
-def live_topology(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest version of the topology table (older than ``before``), None when there is none."""
-    try:
-        versions = spark.read.schema(TOPOLOGY).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    newest = versions.agg(F.max("version")).first()[0]
-    return None if newest is None else versions.where(F.col("version") == newest).drop("version")
 
+def topology_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Where each node was heard, the newest report of a node counts."""
+    return VersionedTable(spark, path, TOPOLOGY, ["node_id"], ["_time", "seq", COMMIT])
 
-def merge_topology(batch: DataFrame, version: int, path: str) -> None:
-    """Newest hub per node of a batch and the version before (one row per node), written as a new version.
 
-    A version is only read once it is complete, and a repeated batch writes its own version again.
-    """
-    fresh = latest_per(batch.where(F.col("star_id").isNotNull()).select("node_id", "star_id", "_time", "seq"), ["node_id"], ["_time", "seq"])
-    stored = live_topology(batch.sparkSession, path, version)
-    merged = fresh if stored is None else latest_per(stored.unionByName(fresh), ["node_id"], ["_time", "seq"])
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
+def live_topology(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The newest hub of each node, of a version or the newest; None when nothing has been stored."""
+    table = topology_table(spark, path)
+    return table.read(version=version) if table.version().number else None
 
 
 def stream_topology(packets: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the live topology table."""
-    return run(packets, lambda b, i: merge_topology(b, i, path), checkpoint, once)
+    """Keep the live topology table: a micro-batch adds its nodes' newest hubs, and now and then small parts are merged."""
+    def each(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        table = topology_table(spark, path)
+        heard = batch.where(F.col("star_id").isNotNull()).select(*TOPOLOGY.names)
+        version = table.append(latest_per(heard, ["node_id"], ["_time", "seq"]), stream_id(spark, checkpoint), i)
+        if len(version.parts) > _MOST_PARTS:
+            table.compact()
+            table.vacuum()
+
+    return run(packets, each, checkpoint, once)
 
 
 def stream_clean(points: DataFrame, raw_path: str, clean_path: str, checkpoint: str, freq_min: int = C.FREQ_MIN, once: bool = True, **kw) -> StreamingQuery:
     """Store every micro-batch of raw points and bring the clean table up to it."""
-    def each(batch: DataFrame, _: int) -> None:
-        tables.write_points(batch, raw_path)
+    def each(batch: DataFrame, i: int) -> None:
+        tables.write_points(batch, raw_path, stream_id(batch.sparkSession, checkpoint), i)
         sync(batch.sparkSession, raw_path, clean_path, freq_min, **kw)
 
     return run(points, each, checkpoint, once)
