@@ -42,14 +42,19 @@ def stream_window_mean(points: DataFrame, minutes: int) -> DataFrame:
     return g.select("id_board", "_field", F.col("_w.end").alias("_time"), "_value")
 
 
-def telemetry_rows(frames: DataFrame, lateness: str = "10 minutes", col: str = "payload") -> DataFrame:
-    """Decoded telemetry of radio frames: broken frames, clock requests and rows without a node are left out."""
+def decoded_rows(frames: DataFrame, col: str = "payload") -> DataFrame:
+    """Telemetry of radio frames with its time and board: broken frames, clock requests and rows without a node are left out."""
     good, _ = decode_uplink(frames, col)
     tel, _ = split_sync(good)
-    tel = with_event_time(tel.where(required("node_id")), lateness)
+    tel = tel.where(required("node_id")).withColumn("_time", F.timestamp_seconds("timestamp"))
     return tel.withColumn("id_board", F.col("node_id").cast("string")).withColumn("seq", F.unix_micros("_time"))
 
 
+def telemetry_rows(frames: DataFrame, lateness: str = "10 minutes", col: str = "payload") -> DataFrame:
+    """Decoded telemetry of radio frames, with a watermark."""
+    return decoded_rows(frames, col).withWatermark("_time", lateness)
+
+
 def telemetry_points(rows: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """Points of telemetry rows. With ``readings`` (board, temp, reading_id) missing leaf values are replaced first.
 

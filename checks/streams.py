@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopyflow.session import prepare
+from canopyflow.session import materialise, prepare
 from canopyflow.sources import events, tables
-from canopyflow.streaming import state, telemetry
+from canopyflow.streaming import controller, state, telemetry
 from checks import sequences
 from checks.basics import r
 from checks.registry import SQL, query
@@ -107,3 +107,105 @@ def stream_commands(spark, sf):
     s = source(spark, sf).where(F.col("event_type").isin("purchase", "signup")).withWatermark("_time", "1 hour")
     d = s.select("node_id", "seq", "_time", (F.col("event_type") == "purchase").alias("is_command"))
     return taken(spark, state.stream_commands(d, 3 * HOUR // 1000, time_mode="EventTime"))
+
+
+class Arrivals:
+    """A frame that arrives as a stream, in four lots: in time order, but every third row a lot too late."""
+
+    def __init__(self, spark, df, lo, hi):
+        lot = F.floor((F.unix_micros("_time") - lo) * 4 / (hi - lo + 1)) + F.when(F.col("seq") % 3 == 0, 1).otherwise(0)
+        self.spark, self.path, self.lots = spark, scratch(spark), materialise(df.withColumn("lot", F.least(lot, F.lit(3)).cast("int")), "lot")
+        self.schema = df.schema
+
+    def stream(self):
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def arrive(self, i):
+        self.lots.where(F.col("lot") == i).drop("lot").write.mode("append").parquet(self.path)
+
+
+LATE = "20 days"  # more than two lots
+
+
+def end_of(packets):
+    """A packet of another board long after all others, so that the watermark passes those."""
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema if f.name not in ("id_board", "_time", "seq")]
+    end = packets.agg(F.max("_time").alias("_last")).select(F.lit("end").alias("id_board"), (F.col("_last") + F.expr("INTERVAL 90 DAYS")).alias("_time"), F.lit(0).cast("long").alias("seq"), *rest)
+    return packets.unionByName(end)
+
+
+def controlled(spark, packets, readings, rules, run):
+    """Let packets and readings arrive lot by lot; ``run`` starts the query that works them through."""
+    t = F.unix_micros("_time")
+    bounds = packets.agg(F.min(t), F.max(t)).first()  # one row
+    sources = [Arrivals(spark, d, *bounds) for d in (end_of(packets), readings) if d is not None]
+    for i in range(4):
+        for s in sources:
+            s.arrive(i)
+        run(controller.controlled(*[s.stream() for s in sources], rules=rules, lateness=LATE)).awaitTermination()
+
+
+def to_files(spark):
+    out, marks = scratch(spark), scratch(spark)
+    return out, lambda d: d.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out)
+
+
+@query("stream_readings")
+def stream_readings(spark, sf):
+    """Readings in force and their uses, though packets and readings come out of order in several micro-batches."""
+    tel, readings = sequences.leaf_packets(spark, sf)
+    out, run = to_files(spark)
+    controlled(spark, tel, readings, (), run)
+    return spark.read.parquet(out).where("id_board <> 'end'").select("seq", "leaf_temp", "use_no", "leaf_source")
+
+
+SQL["stream_readings"] = SQL["apply_fallback"]
+
+RULES = (controller.LOW_MOISTURE,
+         controller.Rule("hot_air", ("air_temp",), lambda p: p["air_temp"] > 30, 3, ("fan", 128, 30)),
+         controller.Rule("damp_and_wet", ("humidity", "soil_moisture"), lambda p: (p["humidity"] > 20) & (p["soil_moisture"] >= 50), 2, ("fan", 255, 120)),
+         controller.Rule("broken", ("soil_moisture",), lambda p: p["not a column"] > 0, 1, ("pump", 1, 1)))
+
+_RULED = """r AS (SELECT id_board, seq, _time, 'low_soil_moisture' AS rule, soil < 70 AS holds, 5 AS patience FROM b WHERE soil IS NOT NULL
+  UNION ALL SELECT id_board, seq, _time, 'hot_air', air > 30, 3 FROM b WHERE air IS NOT NULL
+  UNION ALL SELECT id_board, seq, _time, 'damp_and_wet', humidity > 20 AND soil >= 50, 2 FROM b WHERE humidity IS NOT NULL AND soil IS NOT NULL),
+ i AS (SELECT *, sum(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY rule, id_board ORDER BY _time, seq ROWS UNBOUNDED PRECEDING) AS island FROM r),
+ fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule, id_board, island ORDER BY _time, seq) AS n FROM i WHERE holds) WHERE n % patience = 0)"""
+_BOARD_ROWS = """b AS (SELECT event_id AS seq, 'n' || (user_id % 20) AS id_board, ts AS _time, k AS soil, CASE WHEN event_type = 'view' THEN value END AS air,
+  CASE WHEN event_type = 'click' THEN value END AS humidity FROM ev)"""
+
+
+@query("stream_rules", "SELECT id_board, rule, seq, epoch_us(_time) AS t_us FROM fired", "ev", f"{_BOARD_ROWS}, {_RULED}")
+def stream_rules(spark, sf):
+    """Three rules and a broken one, for every node, over several micro-batches."""
+    out, run = to_files(spark)
+    controlled(spark, node_packets(spark, sf), None, RULES, run)
+    return spark.read.parquet(out).select("id_board", F.explode("fired").alias("rule"), "seq", us())
+
+
+def node_packets(spark, sf):
+    p = events.packets(spark, sf)
+    told = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    return p.select(F.col("node_id").alias("id_board"), "_time", "seq", "star_id", F.col("k").alias("soil_moisture"), told("view").alias("air_temp"),
+                    told("click").alias("humidity"), told("signup").alias("leaf_temp"))
+
+
+@query("stream_controller", """SELECT 'command' AS kind, id_board, rule AS name, epoch_us(_time) AS t_us, CASE WHEN rule = 'hot_air' THEN 128.0 ELSE 255.0 END AS value FROM fired
+ UNION ALL SELECT 'point', id_board, f.name, epoch_us(_time), f.v FROM b JOIN leaf USING (seq),
+  LATERAL (VALUES ('soil_moisture', soil), ('air_temp', air), ('humidity', humidity), ('leaf_temp', leaf_temp)) f(name, v) WHERE f.v IS NOT NULL
+ UNION ALL SELECT 'hub', node_id, arg_max(star_id, {'t': _time, 's': seq}), epoch_us(max(_time)), NULL FROM packets GROUP BY node_id""", "ev packets",
+       f"""{_BOARD_ROWS}, {_RULED}, {sequences._READ.replace("'b' || (user_id % 2)", "'n' || (user_id % 20)").replace("PARTITION BY user_id % 2", "PARTITION BY user_id % 20")},
+ leaf AS (SELECT seq, CASE WHEN use_no <= 14 THEN temp WHEN use_no IS NULL AND leaf < 5 THEN NULL ELSE leaf END AS leaf_temp FROM applied)""")
+def stream_controller(spark, sf):
+    """Points, commands and topology that one stream leaves behind."""
+    points, commands, hubs, marks = (scratch(spark) for _ in range(4))
+    _, readings = sequences.leaf_packets(spark, sf)
+    nodes = events.packets(spark, sf).select("seq", F.col("node_id").alias("node"))
+    readings = readings.join(nodes, "seq").withColumn("id_board", F.col("node")).drop("node")
+    controlled(spark, node_packets(spark, sf), readings, RULES, lambda d: controller.run_controller(d, points, commands, marks, hubs, RULES))
+    value = lambda c: c.cast("double").alias("value")
+    fired = controller.command_table(spark, commands).read()
+    live = telemetry.topology_table(spark, hubs).read()
+    return fired.select(F.lit("command").alias("kind"), "id_board", F.col("rule").alias("name"), us(), value(F.col("val"))).unionByName(
+        tables.read_table(spark, points).select(F.lit("point").alias("kind"), "id_board", F.col("_field").alias("name"), us(), value(F.col("_value")))).unionByName(
+        live.select(F.lit("hub").alias("kind"), F.col("node_id").alias("id_board"), F.col("star_id").alias("name"), us(), value(F.lit(None))))
