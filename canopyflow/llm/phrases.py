@@ -86,24 +86,48 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[byte
 
 # -- summaries ---------------------------------------------------------------------------------------------------------------------
 
-def pack(keys: np.ndarray, counts: np.ndarray, kind: np.dtype) -> bytes:
-    """Ascending keys as differences, and their counts: of a byte, or, from 255 on, of eight more."""
-    full = np.uint64(np.iinfo(kind).max)
+def _planes(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits, a multiple of four: their bytes from the lowest on, one plane after the other, then half bytes."""
+    out = [(numbers >> np.uint32(8 * i)).astype(np.uint8).tobytes() for i in range(width // 8)]
+    if width % 8:
+        half = np.append(numbers >> np.uint32(width - 4), np.zeros(len(numbers) % 2, np.uint32)).astype(np.uint8) & 15
+        out.append((half[::2] | half[1::2] << 4).tobytes())
+    return b"".join(out)
+
+
+def _planes_bytes(n: int, width: int) -> int:
+    return n * (width // 8) + (n + 1) // 2 * (width % 8 > 0)
+
+
+def _numbers(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros(n, np.uint32)
+    for i in range(width // 8):
+        out |= np.frombuffer(data, np.uint8, n, i * n).astype(np.uint32) << np.uint32(8 * i)
+    if width % 8:
+        half = np.frombuffer(data, np.uint8, (n + 1) // 2, n * (width // 8))
+        out |= np.stack([half & 15, half >> 4], axis=1).ravel()[:n].astype(np.uint32) << np.uint32(width - 4)
+    return out
+
+
+def pack(keys: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """Ascending keys as differences of ``width`` bits, and their counts: of half a byte, or, from 15 on, of eight more."""
+    full = np.uint64((1 << width) - 1)
     steps = np.diff(keys, prepend=np.uint64(0))
     jumps = (steps // full).astype(np.int64)  # each adds ``full`` and stands for no key
-    stream = np.full(len(keys) + int(jumps.sum()), full, kind)
+    stream = np.full(len(keys) + int(jumps.sum()), full, np.uint32)
     stream[np.arange(len(keys)) + np.cumsum(jumps)] = steps % full
-    large = counts >= 255
+    large = counts >= 15
     sizes = np.asarray([len(keys), len(stream)], _U4)
-    return b"".join([sizes.tobytes(), stream.tobytes(), np.where(large, 255, counts).astype(np.uint8).tobytes(), counts[large].astype("<i8").tobytes()])
+    return b"".join([sizes.tobytes(), _planes(stream, width), _planes(np.where(large, 15, counts).astype(np.uint32), 4), counts[large].astype("<i8").tobytes()])
 
 
-def unpack(data: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     n, m = np.frombuffer(data, _U4, 2).tolist()
-    stream = np.frombuffer(data, kind, m, 8)
-    keys = np.cumsum(stream, dtype=np.uint64)[stream != np.iinfo(kind).max]
-    counts = np.frombuffer(data, np.uint8, n, 8 + m * kind.itemsize).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(data, "<i8", offset=8 + m * kind.itemsize + n)
+    at = 8 + _planes_bytes(m, width)
+    stream = _numbers(data[8:at], m, width)
+    keys = np.cumsum(stream, dtype=np.uint64)[stream != (1 << width) - 1]
+    counts = _numbers(data[at:], n, 4).astype(np.int64)
+    counts[counts == 15] = np.frombuffer(data, "<i8", offset=at + _planes_bytes(n, 4))
     return keys, counts
 
 
@@ -142,7 +166,7 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
 
     A summary holds no more counters than phrases were gathered. That is far below its share of the capacity, so none is dropped here.
     """
-    kind = _kind(bits)
+    width = _width(bits)
 
     def summary(gathered):
         keys = np.sort(np.concatenate(gathered)) >> np.uint64(64 - bits)
@@ -158,7 +182,7 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
                 continue
             part.append(p)
             mass.append([int(done[cut[r + 1]] - done[cut[r]]) for r in ranges])
-            packed.append([pack(keys[cut[r]:cut[r + 1]] - edges[r], counts[cut[r]:cut[r + 1]], kind) for r in ranges])
+            packed.append([pack(keys[cut[r]:cut[r + 1]] - edges[r], counts[cut[r]:cut[r + 1]], width) for r in ranges])
         for i in range(0, len(part), 256):
             s = slice(i, i + 256)
             yield pa.RecordBatch.from_arrays([pa.array(part[s], pa.int32()), pa.array(mass[s], pa.list_(pa.int64())), pa.array(packed[s], pa.list_(pa.binary()))], ["part", "mass", "packed"])
@@ -183,15 +207,16 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
     return map_arrow(rows, run, T.StructField("part", T.IntegerType()), T.StructField("mass", T.ArrayType(T.LongType())), T.StructField("packed", T.ArrayType(T.BinaryType())))
 
 
-def _kind(bits: int) -> np.dtype:
-    """A type that most differences of two neighbours of a task's keys fit in."""
-    return np.dtype("<u2") if bits <= 37 else _U4
+def _width(bits: int) -> int:
+    """Bits, a multiple of four, that nearly all differences of neighbours fit in, if half of what a task gathers are different keys."""
+    mean = (1 << bits) // (_FLUSH // 2)
+    return min(max(-(-((8 * mean).bit_length()) // 4) * 4, 8), 32)
 
 
 def _survivors(summaries: DataFrame, threshold: int, bits: int, parts: int) -> DataFrame:
     """Merge the summaries of each hash partition: ``key`` of all that may reach the threshold. A task holds its partition packed, and
     unpacks a range at a time."""
-    kind = _kind(bits)
+    width = _width(bits)
 
     def merged(part, mass, packed):
         edges = _edges(bits, parts)[part * _RANGES:]
@@ -200,7 +225,7 @@ def _survivors(summaries: DataFrame, threshold: int, bits: int, parts: int) -> D
             room = max(4 * summary.capacity, 1 << 16)
             held, n = [], 0
             for p in packed:
-                held.append(unpack(p[r], kind))
+                held.append(unpack(p[r], width))
                 n += len(held[-1][0])
                 if n >= room:
                     summary.merge(held)
@@ -255,9 +280,11 @@ def _counted(rows: DataFrame, longest: int, sieve: np.ndarray) -> DataFrame:
         new[1:] = (at[1:] != at[:-1]) | (words[1:] != words[:-1]).any(axis=1)
         first = np.flatnonzero(new)
         names = list(numbers)
-        phrases = [b" ".join([names[i] for i in row]) for row in words[first].tolist()]
+        phrases = pa.array([b" ".join([names[i] for i in row]) for row in words[first].tolist()], pa.binary()).cast(pa.string())
         lang = pa.DictionaryArray.from_arrays(pa.array(at[first], pa.int32()), pa.array(langs)).cast(pa.string())
-        return _rows(lang, pa.array(phrases, pa.binary()).cast(pa.string()), n, np.diff(first, append=len(order)))
+        sums = np.diff(first, append=len(order))
+        beside = pc.array_sort_indices(phrases)  # what begins alike stands side by side, and is shuffled in fewer bytes
+        return _rows(lang.take(beside), phrases.take(beside), n, sums[beside.to_numpy()])
 
     def run(batches):
         bitmap, numbers, table, totals, langs = held.value, Numbers(), np.zeros(0, np.uint64), {}, {}
@@ -301,8 +328,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = 30, longest: int = 4, tex
     more, stored; and with ``words`` 0 and no phrase the number of all words of each language."""
     rows = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), docs[text_col].alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # keys wide enough to tell apart all phrases of the corpus but for one in some hundred
-    bits = min(max((longest * size // 4).bit_length() + 7, 32), 62)
+    # about a key for each phrase of the corpus: two rare ones that share one seldom reach the threshold, and are told apart later
+    bits = min(max((longest * size // 6).bit_length(), _SIEVE_BITS), 62)
     parts = max(shuffle_partitions(docs), size // _PART_BYTES)
     survivors = _survivors(_summaries(rows, longest, bits, parts), threshold, bits, parts)
     counted = _counted(rows, longest, _sieve(survivors, bits))
