@@ -18,7 +18,7 @@ from canopyflow.llm.common import first_rows, map_arrow, shuffle_partitions, sto
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _PART, _SKIP = 0, 1  # numbers of the word "\n", which parts pieces, and of the empty word
 #: phrases that a task gathers before it sends them on
-_FLUSH, _FLUSH_EXACT = 6_000_000, 2_000_000
+_FLUSH, _FLUSH_EXACT = 12_000_000, 2_000_000
 #: words that a task gives numbers to before it starts anew
 _WORDS = 1_000_000
 #: text of one hash partition, and ranges that its summaries are made for, one by one
@@ -166,10 +166,12 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
 
     A summary holds no more counters than phrases were gathered. That is far below its share of the capacity, so none is dropped here.
     """
-    width = _width(bits)
+    width, kind = _width(bits), np.uint32 if bits <= 32 else np.uint64
 
     def summary(gathered):
-        keys = np.sort(np.concatenate(gathered)) >> np.uint64(64 - bits)
+        keys = np.concatenate(gathered)
+        gathered.clear()
+        keys.sort()
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         counts = np.diff(first, append=len(keys))
         keys, edges = keys[first], _edges(bits, parts)
@@ -196,11 +198,11 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
             for words, own in word_numbers(texts, numbers, longest):
                 table = np.append(table, np.asarray(numbers.hashes[len(table):], np.uint64))
                 for _, _, x in hashes(words, own, table, seed, longest):
-                    gathered.append(x)
+                    gathered.append((x >> np.uint64(64 - bits)).astype(kind))
                     n += len(x)
                 if n >= _FLUSH:
                     yield from summary(gathered)
-                    gathered, n = [], 0
+                    n = 0
         if n:
             yield from summary(gathered)
 
