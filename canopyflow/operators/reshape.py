@@ -73,7 +73,10 @@ def series(time: str, value: str, digits: int = 4) -> Column:
 
 
 def forecast_document(history: DataFrame, forecast: DataFrame, freq_min: int) -> DataFrame:
-    """One nested document per board from the bounded history tail and the forecast steps."""
+    """One nested document per board from the bounded history tail and the forecast steps.
+
+    A blended forecast (columns forecast_env, forecast_auto, weight_env, weight_auto) also says what was blended, and how.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
         cols = [c for c in ("leaf_temp", "air_temp", "humidity", "vpd") if c in df.columns]
         return df.groupBy("id_board").agg(F.struct(*[series("_time", c).alias(c) for c in cols]).alias(name))
@@ -81,12 +84,18 @@ def forecast_document(history: DataFrame, forecast: DataFrame, freq_min: int) ->
 
     def pair(c: str) -> Column:
         return F.struct(F.col(f"historical.{c}").alias("historical"), F.col(f"forecast.{c}").alias("forecast"))
-    return both.select(
+    out = both.select(
         "id_board", F.lit(f"{freq_min}m").alias("frequency"), pair("leaf_temp").alias("leaf_temperature"),
         F.struct(*[F.struct(F.col(f"{s}.air_temp").alias("air_temp"), F.col(f"{s}.humidity").alias("humidity")).alias(s)
                    for s in ("historical", "forecast")]).alias("environmental_data"),
         pair("vpd").alias("vpd"),
     )
+    if "forecast_env" not in forecast.columns:
+        return out
+    weights = F.struct(F.max("weight_auto").alias("autoregressive"), F.max("weight_env").alias("environmental"))
+    details = forecast.groupBy("id_board").agg(F.struct(
+        weights.alias("weights"), series("_time", "forecast_env").alias("forecast_env"), series("_time", "forecast_auto").alias("forecast_auto")).alias("ensemble_details"))
+    return out.join(details, "id_board", "left")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from canopyflow.operators.joins import reintegrate
 from canopyflow.operators.reshape import pivot_fields
 from canopyflow.plans import forecast
 from canopyflow.plans.clean import sync_clean
+from canopyflow.plans.store import ModelStore
 from canopyflow.session import materialise
 from canopyflow.sources import tables
 
@@ -35,14 +35,14 @@ def newer_raw(spark: SparkSession, raw_path: str, clean: DataFrame, halo_min: in
 
 
 def sync(spark: SparkSession, raw_path: str, clean_path: str, freq_min: int = C.FREQ_MIN, archive_path: str | None = None,
-         now: datetime | None = None, **kw) -> None:
+         now: datetime | None = None, halo_min: int = C.OVERLAP_MIN, **kw) -> None:
     """Upsert new clean points, and archived forecasts newer than the stored ones, into the clean table.
 
     With ``now`` clean points older than the look-back are not looked at, so a board without newer ones is done whole again.
     """
     since = None if now is None else str(now - timedelta(days=C.CLEAN_LOOKBACK_DAYS))
     clean = tables.read_table(spark, clean_path, since=since)
-    tables.write_points(sync_clean(newer_raw(spark, raw_path, clean), clean, freq_min, **kw), clean_path)
+    tables.write_points(sync_clean(newer_raw(spark, raw_path, clean, halo_min), clean, freq_min, halo_min=halo_min, **kw), clean_path)
     if archive_path is not None:
         if now is None:
             raise ValueError("forecasts are copied back relative to a time: give now")
@@ -52,13 +52,15 @@ def sync(spark: SparkSession, raw_path: str, clean_path: str, freq_min: int = C.
         tables.write_points(tables.as_points(fresh), clean_path)
 
 
-def run_forecasts(spark: SparkSession, clean_path: str, archive_path: str, trained: Mapping, freq_min: int, now: datetime, **kw) -> DataFrame:
+def run_forecasts(spark: SparkSession, clean_path: str, archive_path: str, model_path: str, freq_min: int, now: datetime, **kw) -> DataFrame:
     """Forecast every board by every group and task from the last week of the clean table, and save to the clean and the archive table.
 
-    ``trained`` is what ``retrain`` returns (season, models, mae). Returns the saved points; each carries its source.
+    Models are those in force at ``model_path``; nothing of the training run has to be at hand. Returns the saved points; each carries its
+    source.
     """
+    trained = ModelStore(spark, model_path).load(freq_min)
     week = str(now - timedelta(days=C.FORECAST_LOOKBACK_DAYS))
     measured = filter_fields(tables.read_table(spark, clean_path, since=week), "pred", negate=True)
     wide = materialise(pivot_fields(measured))
-    scored = forecast.score_all(wide, trained["season"], trained["models"], trained["mae"], freq_min, now=now, **kw)
+    scored = forecast.score_all(wide, trained.season, trained.models, trained.mae, freq_min, now=now, **kw)
     return tables.save_predictions(forecast.prediction_columns(scored, "model_source"), clean_path, archive_path, None, freq_min)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +16,13 @@ from canopyflow.operators import sequence as seq
 from canopyflow.operators import slicing as sl
 from canopyflow.operators.filters import dedupe_last, override_latest, tail
 from canopyflow.operators.joins import align
-from canopyflow.plans.features import extended, lagged
-from canopyflow.plans.portable import Portable
+from canopyflow.operators.reshape import forecast_document
+from canopyflow.plans.recursion import recursive_forecast
 from canopyflow.plans.season import env_forecast
 from canopyflow.session import materialise
 
-MIN_US = 60_000_000
+#: a fitted pipeline and its input columns
+Model = tuple[PipelineModel, Sequence[str]]
 
 
 def history_rows(freq_min: int) -> int:
@@ -73,83 +72,15 @@ def context(clean: DataFrame, freq_min: int, what_if: Mapping[str, float | None]
     return materialise(tail(d, need, ["id_board"], ["_time"]))
 
 
-def _fill_down(m: np.ndarray) -> np.ndarray:
-    """Last known value of each column at every row."""
-    rows = np.where(np.isnan(m), -1, np.arange(len(m))[:, None])
-    at = np.maximum.accumulate(rows, axis=0)
-    return np.where(at >= 0, np.take_along_axis(m, np.maximum(at, 0), axis=0), np.nan)
-
-
-def _fill_up(m: np.ndarray) -> np.ndarray:
-    return _fill_down(m[::-1])[::-1]
-
-
-def _last_row(t: np.ndarray, values: np.ndarray, task: C.Task, freq_us: float, lags: int) -> dict[str, float]:
-    """Model inputs of the newest row. ``values``: features, then the target, one row per stamp."""
-    minutes = (t // MIN_US) % 1440
-    n = len(task.features)
-    day = 2 * math.pi * minutes[-1] / 1440
-    filled = _fill_up(_fill_down(values))
-    row = {f: filled[-1, i] for i, f in enumerate(task.features)} | {"time_sin": math.sin(day), "time_cos": math.cos(day)}
-    if not task.use_lags:
-        return row
-    ff = _fill_down(values[:, :n])
-    diff = np.vstack([np.full(n, np.nan), np.diff(ff, axis=0)])
-    diff[1:][np.diff(t) > freq_us * C.GAP_FACTOR] = np.nan
-    diff = _fill_up(_fill_down(diff))
-    row |= {f"{f}_diff": diff[-1, i] for i, f in enumerate(task.features)}
-    source = {**{f: filled[:, i] for i, f in enumerate(task.features)}, **{f"{f}_diff": diff[:, i] for i, f in enumerate(task.features)},
-              task.target: filled[:, n]}
-    names = lagged(task)
-    m = np.column_stack([source[c] for c in names])
-    for i in range(1, lags + 1):
-        # a lag that reaches over a gap repeats the newest one that does not
-        ok = np.flatnonzero((t[i:] - t[:-i]) <= freq_us * i * C.GAP_FACTOR) if len(t) > i else np.array([], int)
-        usable = m[:-i] if len(t) > i else m[:0]
-        got = _fill_down(usable[ok])[-1] if len(ok) else np.full(len(names), np.nan)
-        row |= {f"{c}_lag_{i}": v for c, v in zip(names, got)}
-    return row
-
-
-def recursive_forecast(history: DataFrame, env: DataFrame, model: Portable, task: C.Task, freq_min: int, lags: int | None = None) -> DataFrame:
-    """Step by step: the environment forecast of a step becomes a row, the model predicts its target, the row joins the history.
-
-    One small group per board: at most the history rows and the horizon's steps. ``env``: (id_board, step, feature columns).
-    """
-    lags = lags or task.lags(freq_min)
-    steps = task.steps(freq_min)
-    features = list(task.features)
-    cols = [*features, task.target]
-
-    def run(past: pd.DataFrame, future: pd.DataFrame) -> pd.DataFrame:
-        if past.empty or future.empty:
-            return pd.DataFrame({"id_board": [], "step": [], "_time": [], "value": []})
-        past = past.sort_values("t")
-        future = future.sort_values("step").head(steps)
-        t, m = past["t"].to_numpy(float), past[cols].to_numpy(float)
-        out = []
-        for r in future.to_dict("records"):
-            now = past["t"].iloc[-1] + r["step"] * freq_min * MIN_US
-            row = np.array([*(r[f] for f in features), 0.0], float)
-            t, m = np.append(t, now), np.vstack([m, row])
-            x = _last_row(t, m, task, freq_min * MIN_US, lags)
-            y = model.predict(np.nan_to_num(np.array([x[c] for c in model.cols], float)))
-            m[-1, -1] = y
-            out.append((past["id_board"].iloc[0], int(r["step"]), int(now), round(float(y), 3)))
-            t, m = t[-(lags + 2):], m[-(lags + 2):]
-        return pd.DataFrame(out, columns=["id_board", "step", "t", "value"])
-
-    a = history.select("id_board", F.unix_micros("_time").alias("t"), *cols).groupBy("id_board")
-    b = env.select(F.col("id_board").alias("_board"), "step", *features).groupBy("_board")  # a new name: both may share a lineage
-    d = a.cogroup(b).applyInPandas(run, "id_board string, step int, t long, value double")
-    return d.select("id_board", "step", F.timestamp_micros("t").alias("_time"), "value")
-
-
 def env_columns(env: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Long environment forecast to one row per board and step."""
     return env.groupBy("id_board", "step", "_time").agg(*[F.max(F.when(F.col("_field") == f, F.col("value"))).alias(f) for f in fields])
 
 
+#: what a blended forecast says besides its value
+ENSEMBLE = ("forecast_env", "forecast_auto", "weight_env", "weight_auto")
+
+
 def blend_weights(mae_env: float | None, mae_auto: float | None) -> tuple[float, float]:
     """Inverse-error weights; equal ones when an error is not known."""
     if mae_env is None or mae_auto is None:
@@ -171,50 +102,71 @@ def with_forecast_vpd(forecast: DataFrame, env: DataFrame) -> DataFrame:
     return j.withColumn("vpd", vpd("value", "air_temp", "humidity"))
 
 
-def ensemble(history: DataFrame, env: DataFrame, group: str, models: Mapping[str, tuple[PipelineModel, Portable]], mae: Mapping[str, float | None], freq_min: int,
+def ensemble(history: DataFrame, env: DataFrame, group: str, models: Mapping[str, Model], mae: Mapping[str, float | None], freq_min: int,
              tasks: Mapping[str, C.Task] = C.TASKS, groups: Mapping[str, tuple[str, str, str]] = C.GROUPS) -> DataFrame:
-    """Soft-sensor patched autoregressive forecast blended with the environmental one."""
+    """Soft-sensor patched autoregressive forecast blended with the environmental one; with both and their weights."""
     soft, by_env, auto = groups[group]
-    model, small = models[soft]
-    patched = materialise(soft_sensor(history, sl.Slicing(("id_board",)), model, small.cols, tasks[soft]))
-    a = recursive_forecast(patched, env, models[auto][1], tasks[auto], freq_min)
-    b = recursive_forecast(history, env, models[by_env][1], tasks[by_env], freq_min)
-    return blend(b, a, mae.get(by_env), mae.get(auto))
+    patched = materialise(soft_sensor(history, sl.Slicing(("id_board",)), *models[soft], tasks[soft]))
+    a = recursive_forecast(patched, env, *models[auto], tasks[auto], freq_min)
+    b = recursive_forecast(history, env, *models[by_env], tasks[by_env], freq_min)
+    w_env, w_auto = blend_weights(mae.get(by_env), mae.get(auto))
+    return blend(b, a, mae.get(by_env), mae.get(auto)).withColumns({"weight_env": F.round(F.lit(w_env), 3), "weight_auto": F.round(F.lit(w_auto), 3)})
 
 
-def score_all(clean: DataFrame, season: DataFrame, models: Mapping[str, tuple[PipelineModel, Portable]], mae: Mapping[str, float | None], freq_min: int,
+def forecasts(clean: DataFrame, season: DataFrame, models: Mapping[str, Model], mae: Mapping[str, float | None], freq_min: int,
               groups: Sequence[str] = tuple(C.GROUPS), single: Sequence[str] = tuple(C.TASKS), tasks: Mapping[str, C.Task] = C.TASKS,
               group_tasks: Mapping[str, tuple[str, str, str]] = C.GROUPS, what_if: Mapping[str, float | None] | None = None,
-              use_measured: bool = False, now: datetime | None = None) -> DataFrame:
-    """Forecasts of every group and task for every board: model_source, board, step, value, environment and deficit.
+              use_measured: bool = False, now: datetime | None = None, threads: int = 4) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By source, the bounded history that every board is forecast from and the stored forecast of every group and task.
 
-    The loop is over the catalogue; boards are rows. Pass the result per ``model_source`` to save_predictions.
+    The loop is over the catalogue, some of it at a time; boards are rows. A group or a task without its models gets none.
     """
-    out, contexts = [], {}
+    contexts = {}
 
     def ready(name: str) -> tuple[DataFrame, DataFrame]:
         soft = C.soft_task(name) if C.soft_task(name) in models else group_tasks[name][0] if name in group_tasks else None
         if soft not in contexts:
-            patch = None if use_measured or soft not in models else (models[soft][0], models[soft][1].cols, tasks[soft])
+            patch = None if use_measured or soft not in models else (*models[soft], tasks[soft])
             h = context(clean, freq_min, what_if, patch, now)
             fields = [f for f in C.ENV_FEATURES if f in h.columns]
             steps = int(C.HORIZON_MIN / freq_min)
             contexts[soft] = (h, materialise(env_columns(env_forecast(h, season, freq_min, steps, fields), fields)))
         return contexts[soft]
 
-    for g in groups:
-        h, env = ready(g)
-        f = ensemble(h, env, g, models, mae, freq_min, tasks, group_tasks)
-        out.append(with_forecast_vpd(f.select("id_board", "step", "_time", "value"), env).withColumn("model_source", F.lit(f"ENSEMBLE_{g}")))
-    for name in single:
-        if name in models:
-            h, env = ready(name)
-            f = recursive_forecast(h, env, models[name][1], tasks[name], freq_min)
-            out.append(with_forecast_vpd(f, env).withColumn("model_source", F.lit(name.upper())))
+    def of_group(g: str, h: DataFrame, env: DataFrame) -> DataFrame:
+        return with_forecast_vpd(ensemble(h, env, g, models, mae, freq_min, tasks, group_tasks), env)
+
+    def of_task(name: str, h: DataFrame, env: DataFrame) -> DataFrame:
+        return with_forecast_vpd(recursive_forecast(h, env, *models[name], tasks[name], freq_min), env)
+
+    jobs: list[tuple[str, Callable[..., DataFrame], str]] = [(f"ENSEMBLE_{g}", of_group, g) for g in groups if all(t in models for t in group_tasks[g])]
+    jobs += [(name.upper(), of_task, name) for name in single if name in models]
+    given = [ready(name) for _, _, name in jobs]
+    with ThreadPoolExecutor(threads) as pool:
+        done = list(pool.map(lambda job, at: materialise(job[1](job[2], *at)), jobs, given))
+    return {source: (h, rows) for (source, _, _), (h, _), rows in zip(jobs, given, done)}
+
+
+def score_all(*args, **kw) -> DataFrame:
+    """Forecasts of every group and task for every board (arguments as for ``forecasts``): model_source, board, step, value, environment and
+    deficit; for groups also the two forecasts that were blended and their weights."""
+    out = [rows.withColumn("model_source", F.lit(source)) for source, (_, rows) in forecasts(*args, **kw).items()]
+    if not out:
+        raise ValueError("no group and no task has its models")
     d = out[0]
     for o in out[1:]:
-        d = d.unionByName(o)
-    return d
+        d = d.unionByName(o, allowMissingColumns=True)
+    details = {c: F.lit(None).cast("double") for c in ENSEMBLE if c not in d.columns}
+    return d.withColumns(details) if details else d
+
+
+def documents(given: Mapping[str, tuple[DataFrame, DataFrame]], freq_min: int) -> DataFrame:
+    """A nested document for each board and source of ``forecasts``; those of groups hold what was blended."""
+    out = None
+    for source, (history, rows) in given.items():
+        doc = forecast_document(history, rows.withColumnRenamed("value", "leaf_temp"), freq_min).withColumn("model_source", F.lit(source))
+        out = doc if out is None else out.unionByName(doc, allowMissingColumns=True)
+    return out
 
 
 def prediction_columns(scored: DataFrame, *keep: str) -> DataFrame:

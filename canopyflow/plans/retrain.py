@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from canopyflow import config as C
 from canopyflow.operators import slicing as sl
 from canopyflow.operators.filters import filter_fields
 from canopyflow.operators.reshape import pivot_fields
 from canopyflow.plans import features, learn, season
-from canopyflow.plans.clean import BOARD_STEPS, sync_clean
-from canopyflow.plans.portable import portable
+from canopyflow.plans.clean import BOARD_STEPS
+from canopyflow.plans.cycle import sync
+from canopyflow.plans.store import ModelStore
 from canopyflow.session import materialise
 from canopyflow.sources import documents, tables
 
@@ -31,33 +33,30 @@ def train_task(frame: DataFrame, task: C.Task, freq_min: int, specs: Sequence[le
                              task.target, learn.folds_for(freq_min), threads)
 
 
-def retrain(raw: DataFrame, clean_path: str, model_path: str, freq_min: int = C.FREQ_MIN, tasks: Mapping[str, C.Task] = C.TASKS,
+def retrain(spark: SparkSession, raw_path: str, clean_path: str, model_path: str, freq_min: int = C.FREQ_MIN, tasks: Mapping[str, C.Task] = C.TASKS,
             boards: Sequence[str] | None = None, specs: Sequence[learn.Spec] | None = None,
-            steps: Mapping[str, Sequence[str]] = BOARD_STEPS) -> dict:
-    """Sync the clean table, fit the season models, search every task's models, store reports and winners.
+            steps: Mapping[str, Sequence[str]] = BOARD_STEPS, archive_path: str | None = None, now: datetime | None = None) -> DataFrame:
+    """Bring the clean table up to date, fit the season models, search every task's models, store reports and put the winners in force.
 
-    ``boards`` limits the training to some boards. Returns the season models, the winners as (pipeline, numpy form) and their errors, as score_all takes them.
+    The clean table is brought up to date as ``cycle.sync`` does, from the days it needs and with archived forecasts copied back if
+    ``archive_path`` and ``now`` are given. ``boards`` limits the training to some boards. Returns the reports.
     """
     check_freq(freq_min)
-    spark = raw.sparkSession
-    tables.write_points(sync_clean(raw, tables.read_table(spark, clean_path), freq_min, steps), clean_path)
+    sync(spark, raw_path, clean_path, freq_min, archive_path, now, steps=steps)
     clean = filter_fields(tables.read_table(spark, clean_path), "pred", negate=True)
     if boards is not None:
         clean = clean.where(clean.id_board.isin(list(boards)))
     wide = materialise(pivot_fields(clean))
     slicing = sl.fit(wide, ["id_board"])
     season_models, season_errors = season.season_fit(wide, freq_min)
-    for name, df in (("season", season_models), ("season_errors", season_errors)):
-        df.write.mode("overwrite").parquet(f"{model_path.rstrip('/')}/{freq_min}m/{name}")
-    models, mae, reports = {}, {}, None
+    folder = f"{model_path.rstrip('/')}/{freq_min}m"
+    season_errors.write.mode("overwrite").parquet(f"{folder}/season_errors")
+    winners, reports = {}, None
     for name, task in tasks.items():
-        frame = features.training_frame(wide, slicing, task, freq_min)
-        fitted = train_task(frame, task, freq_min, specs or learn.model_grid(freq_min))
-        best = learn.winner(fitted)
-        learn.register(spark, model_path, freq_min, task, best)
-        models[name] = (best.model, portable(best.model, best.cols, list(task.features) if best.spec.poly else None))
-        mae[name] = best.metrics["MAE"]
+        fitted = train_task(features.training_frame(wide, slicing, task, freq_min), task, freq_min, specs or learn.model_grid(freq_min))
+        winners[name] = learn.winner(fitted)
         rows = learn.report_frame(spark, name, fitted)
         reports = rows if reports is None else reports.unionByName(rows)
-    documents.write_reports(reports, f"{model_path.rstrip('/')}/{freq_min}m/reports")
-    return {"season": season_models, "models": models, "mae": mae, "reports": reports, "clean": wide}
+    documents.write_reports(reports, f"{folder}/reports")
+    ModelStore(spark, model_path).save(freq_min, season_models, winners, tasks)
+    return reports

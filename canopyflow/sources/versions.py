@@ -42,7 +42,7 @@ class Version:
     batches: dict[str, int] = field(default_factory=dict)
 
 
-class _Files:
+class Files:
     """The few calls to the shared file system that commits need."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -104,7 +104,7 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], order: Sequence[str],
                  folder: tuple[str, Column, T.DataType] | None = None):
         self.spark, self.schema, self.key, self.order, self.folder = spark, schema, list(key), list(order), folder
-        self.files = _Files(spark, path)
+        self.files = Files(spark, path)
 
     # -- versions ----------------------------------------------------------------------------------------------------------------------
 

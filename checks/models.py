@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from canopyflow import config as C
 from canopyflow.operators import aggregates as agg
 from canopyflow.operators import reshape
 from canopyflow.operators import sequence as seq
-from canopyflow.plans import cycle, features, forecast, learn, retrain, season
-from canopyflow.plans.portable import portable
+from canopyflow.plans import cycle, features, forecast, learn, recursion, retrain, ridge, season
+from canopyflow.plans.store import ModelStore
 from canopyflow.session import materialise
 from canopyflow.sources import documents, events, tables
 from checks.aggregates import reports
@@ -21,8 +22,8 @@ from checks.scans import scratch, us
 from checks.sequences import BEFORE, FROM, MIN, UPTO
 
 FEATURES = ("air_temp", "humidity", "water_temp", "tds", "soil_moisture")
-# fixed values: a soft, an environmental and an autoregressive task small enough for the check tables
-TASKS = {"t4": C.Task("t4", FEATURES, False, False), "t8": C.Task("t8", FEATURES, True, False, 3), "t9": C.Task("t9", FEATURES, True, True, 3)}
+#: every task of the catalogue over the measures that events has (no pressure, no light)
+TASKS = {n: replace(t, features=tuple(f for f in t.features if f in FEATURES)) for n, t in C.TASKS.items()}
 FREQ = 60
 
 
@@ -39,7 +40,7 @@ _HOURLY = f"""hb AS (SELECT id_board, time_bucket(INTERVAL '60 minutes', _time)
  hj AS (SELECT * FROM hg LEFT JOIN hb USING (id_board, _time)),
  hourly AS (SELECT id_board, _time, {', '.join(f'coalesce(last_value({c} IGNORE NULLS) OVER {UPTO}, first_value({c} IGNORE NULLS) OVER {FROM}) AS {c}' for c in _COLS)} FROM hj),
  hd AS (SELECT *, {', '.join(f'{c} - last_value({c}) OVER {BEFORE} AS {c}_diff' for c in FEATURES)} FROM hourly),
- hl AS (SELECT *, {', '.join(f'lag({c}, {i}) OVER (PARTITION BY id_board ORDER BY _time) AS {c}_lag_{i}' for c in [*FEATURES, *[f'{f}_diff' for f in FEATURES], 'leaf_temp'] for i in (1, 2, 3))} FROM hd)"""
+ hl AS (SELECT *, {', '.join(f'lag({c}, {i}) OVER (PARTITION BY id_board ORDER BY _time) AS {c}_lag_{i}' for c in [*FEATURES, *[f'{f}_diff' for f in FEATURES], 'leaf_temp'] for i in range(1, 16))} FROM hd)"""
 _FRAME = [c for c in features.model_columns(TASKS["t9"], FREQ) if not c.startswith("time_")]
 
 
@@ -52,11 +53,38 @@ def training_frame(spark, sf):
     return d.select("id_board", us(), *[r(c, 6).alias(c) for c in [*_FRAME, "leaf_temp"]], r("time_sin").alias("time_sin"), r("time_cos").alias("time_cos"), "is_train")
 
 
-@query("season_fit")
+def solved(name: str, src: str, n: int) -> str:
+    """CTEs that solve ``src`` (g, m: n rows of n + 1 numbers) by elimination; the result is ``name`` (g, coef)."""
+    return f"""{name}_r AS (SELECT g, 0 AS k, m FROM {src} UNION ALL SELECT g, k + 1, list_transform(range(1, {n + 1}), lambda i:
+  CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+  ELSE list_transform(range(1, {n + 2}), lambda j: m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END) FROM {name}_r WHERE k < {n}),
+ {name} AS MATERIALIZED (SELECT g, list_transform(m, lambda x: x[{n + 1}]) AS coef FROM {name}_r WHERE k = {n})"""
+
+
+def dot(columns) -> str:
+    return " + ".join(f"coef[{i}] * ({c})" for i, c in enumerate(columns, 1))
+
+
+_N_SEASON = 2 + 2 * season.PAIRS
+_DAY = "(hour(_time) * 60 + minute(_time) + second(_time) / 60.0)"
+_DESIGN = ["1.0", "(epoch_us(_time) / 1e6 - t0) / span", *[f"{f}(2 * pi() * {k} / 1440 * {_DAY})" for k in range(1, season.PAIRS + 1) for f in ("sin", "cos")]]
+_X = [f"x{i}" for i in range(1, _N_SEASON + 1)]
+_SEASON = f"""sp AS (SELECT *, epoch_us(_time) <= floor(quantile_cont(epoch_us(_time), 0.8) OVER (PARTITION BY _field)) AS is_train FROM (
+  SELECT * FROM (UNPIVOT hourly ON {', '.join(FEATURES)} INTO NAME _field VALUE y) QUALIFY row_number() OVER (PARTITION BY id_board, _field ORDER BY _time DESC) <= 336)),
+ sr AS (SELECT _field || '/all' AS g, * FROM sp UNION ALL SELECT _field || '/train', * FROM sp WHERE is_train),
+ se AS (SELECT g, min(epoch_us(_time)) / 1e6 AS t0, greatest((max(epoch_us(_time)) - min(epoch_us(_time))) / 1e6, 1) AS span FROM sr GROUP BY g),
+ sx AS (SELECT g, y, {', '.join(f'{d} AS {x}' for d, x in zip(_DESIGN, _X))} FROM sr JOIN se USING (g)),
+ sm AS (SELECT g, [{', '.join('[' + ', '.join(f'sum({x} * {z})' for z in [*_X, 'y']) + ']' for x in _X)}] AS m FROM sx GROUP BY g),
+ {solved('ss', 'sm', _N_SEASON)}"""
+
+
+@query("season_fit", f"""SELECT _field, {_N_SEASON} AS terms, round(avg(abs(y - yhat)), 6) AS MAE, round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS RMSE, count(*) AS n FROM (
+ SELECT _field, y, {dot(_DESIGN)} AS yhat FROM sp JOIN se ON se.g = _field || '/train' JOIN ss ON ss.g = se.g WHERE NOT is_train) GROUP BY _field""",
+       "wide", f"{_HOURLY}, {_SEASON}", recursive=True)
 def season_fit(spark, sf):
     """Season models of all variables and their held-out errors."""
     models, errors = season.season_fit(hourly(spark, sf), FREQ, fields=FEATURES)
-    return models.join(errors, "_field").select("_field", F.size("coef").alias("terms"), "MAE", "RMSE", "n")
+    return models.join(errors, "_field").select("_field", F.size("coef").alias("terms"), r("MAE", 6).alias("MAE"), r("RMSE", 6).alias("RMSE"), "n")
 
 
 _TERMS = 2 + 2 * season.PAIRS
@@ -75,70 +103,133 @@ def season_residuals(spark, sf):
     return moments.select("_field", F.col("term").cast("long").alias("term"), "n", (F.bround("moment", 6) + 0.0).alias("moment"))
 
 
-@query("env_forecast")
+@query("env_forecast", f"""SELECT id_board, step, epoch_us(_time) AS t_us, _field, round(value, 6) AS value, from_model FROM (
+ SELECT id_board, step, _time, _field, {dot(_DESIGN)} AS value, true AS from_model FROM ahead JOIN se ON true JOIN ss USING (g), LATERAL (SELECT replace(g, '/all', '') AS _field) WHERE g LIKE '%/all'
+ UNION ALL SELECT id_board, step, _time, 'light_lux', 0.0, false FROM ahead)""", "wide",
+       f"{_HOURLY}, {_SEASON}, ahead AS (SELECT id_board, step::INTEGER AS step, last + step * INTERVAL 60 MINUTE AS _time FROM (SELECT id_board, max(_time) AS last FROM hourly GROUP BY 1), range(1, 4) t(step))", recursive=True)
 def env_forecast(spark, sf):
     h = hourly(spark, sf)
     models, _ = season.season_fit(h, FREQ, fields=FEATURES)
-    return season.env_forecast(h, models, FREQ, 3, [*FEATURES, "light_lux"]).select("id_board", "step", us(), "_field", "value", "from_model")
+    return season.env_forecast(h, models, FREQ, 3, [*FEATURES, "light_lux"]).select("id_board", "step", us(), "_field", r("value", 6).alias("value"), "from_model")
+
+
+POINT_TASKS = ("t1", "t4")
+ALPHAS = learn.RIDGE["alpha"]
+
+
+def _ridge_ctes(task: str) -> str:
+    """Training rows of a point task, and the solutions of every fold and penalty (fold 3: all training rows)."""
+    x = [*TASKS[task].features, "time_sin", "time_cos"]
+    scale = {c: f"(max({c}) - min({c}))" for c in x}
+    rows = ", ".join("[" + ", ".join([*(f"covar_pop({a}, {b}) * count(*) / ({scale[a]} * {scale[b]})" for b in x), f"covar_pop({a}, leaf_temp) * count(*) / {scale[a]}"]) + "]" for a in x)
+    own = ", ".join(f"list_transform(range(1, {len(x) + 2}), lambda j: m[{i}][j] + CASE WHEN j = {i} THEN alpha ELSE 0 END)" for i in range(1, len(x) + 1))
+    return f"""{task}_f AS (SELECT *, sin(2 * pi() * (hour(_time) * 60 + minute(_time)) / 1440) AS time_sin, cos(2 * pi() * (hour(_time) * 60 + minute(_time)) / 1440) AS time_cos FROM hourly),
+ {task}_t AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY _time, id_board) AS rk, count(*) OVER () AS n FROM (
+  SELECT * FROM {task}_f QUALIFY row_number() OVER (PARTITION BY id_board ORDER BY _time) <= floor(count(*) OVER (PARTITION BY id_board) * 0.9))),
+ {task}_n AS (SELECT fold, [{rows}] AS m, [{', '.join(scale.values())}] AS span, [{', '.join(f'avg({c})' for c in x)}] AS mean, avg(leaf_temp) AS y0
+  FROM {task}_t, range(0, 4) t(fold) WHERE fold = 3 OR rk <= n - n // 4 * (3 - fold) GROUP BY fold),
+ {task}_m AS (SELECT fold || '/' || alpha AS g, [{own}] AS m FROM {task}_n, (SELECT unnest({ALPHAS}::DOUBLE[]) AS alpha)),
+ {solved(f'{task}_s', f'{task}_m', len(x))},
+ {task}_c AS MATERIALIZED (SELECT fold, split_part(g, '/', 2)::DOUBLE AS alpha, list_transform(range(1, {len(x) + 1}), lambda i: s.coef[i] / span[i]) AS coef,
+  y0 - list_sum(list_transform(range(1, {len(x) + 1}), lambda i: s.coef[i] / span[i] * mean[i])) AS c0 FROM {task}_n JOIN {task}_s s ON split_part(g, '/', 1)::BIGINT = fold)"""
+
 
+def _ridge_errors(task: str) -> str:
+    x = [*TASKS[task].features, "time_sin", "time_cos"]
+    return f"""SELECT '{task}' AS task, fold, alpha, round(avg(abs(leaf_temp - c0 - ({dot(x)}))), 6) AS mae FROM {task}_t, {task}_c
+ WHERE fold < 3 AND rk > n - n // 4 * (3 - fold) AND rk <= n - n // 4 * (2 - fold) GROUP BY fold, alpha"""
 
-def _trained(spark, sf, specs, names=tuple(TASKS)):
-    h, s = hourly(spark, sf), events.board_slices(spark, sf)
-    out = {}
-    for name in names:
-        task = TASKS[name]
-        out[name] = retrain.train_task(features.training_frame(h, s, task, FREQ), task, FREQ, specs)
-    return h, out
 
+@query("ridge_grid", " UNION ALL ".join(_ridge_errors(t) for t in POINT_TASKS), "wide", f"{_HOURLY}, " + ", ".join(_ridge_ctes(t) for t in POINT_TASKS), recursive=True)
+def ridge_grid(spark, sf):
+    """The error of every penalty on every time fold, from one set of normal equations a task."""
+    h, s, out = hourly(spark, sf), events.board_slices(spark, sf), []
+    for name in POINT_TASKS:
+        train = features.training_frame(h, s, TASKS[name], FREQ).where("is_train")
+        cols = features.model_columns(TASKS[name], FREQ)
+        out += [(name, x.fold, x.penalty, round(x.mae, 6)) for x in ridge.grid(train, {"r": ridge.linear(cols)}, {"r": ALPHAS}, "leaf_temp", 3)]  # 15 numbers a task
+    return spark.createDataFrame(out, "task string, fold long, alpha double, mae double")
 
-_RIDGE = [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})]
 
+_SOFT = [*TASKS["t4"].features, "time_sin", "time_cos"]
 
-def _models(fitted):
-    best = {n: learn.winner(f) for n, f in fitted.items()}
-    return {n: (b.model, portable(b.model, b.cols)) for n, b in best.items()}, {n: b.metrics["MAE"] for n, b in best.items()}
+
+@query("soft_sensor", f"""SELECT id_board, epoch_us(_time) AS t_us, round(coalesce(last_value(v IGNORE NULLS) OVER {UPTO}, first_value(v IGNORE NULLS) OVER {FROM}), 6) AS leaf_temp FROM (
+ SELECT id_board, _time, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in TASKS['t4'].features)} THEN c0 + {dot(_SOFT)} ELSE leaf_temp END AS v FROM (
+  SELECT *, sin(2 * pi() * (hour(_time) * 60 + minute(_time)) / 1440) AS time_sin, cos(2 * pi() * (hour(_time) * 60 + minute(_time)) / 1440) AS time_cos FROM hj),
+  (SELECT * FROM t4_c WHERE fold = 3 AND alpha = 1.0))""", "wide", f"{_HOURLY}, {_ridge_ctes('t4')}", recursive=True)
+def soft_sensor(spark, sf):
+    """Leaf values estimated where all inputs are known, on the hourly grid with its gaps."""
+    task, cols = TASKS["t4"], features.model_columns(TASKS["t4"], FREQ)
+    train = materialise(features.training_frame(hourly(spark, sf), events.board_slices(spark, sf), task, FREQ).where("is_train"))
+    model = learn.estimator(learn.Spec("r", "ridge", {}), {"alpha": 1.0}, cols, task.features, "leaf_temp", *learn._stats(train, "leaf_temp")).fit(train)
+    grid = materialise(agg.resample(events.wide(spark, sf), [*FEATURES, "leaf_temp"], FREQ))
+    d = forecast.soft_sensor(grid, events.board_slices(spark, sf), model, cols, task)
+    return d.select("id_board", us(), r("leaf_temp", 6).alias("leaf_temp"))
+
+
+#: ridge models of every task with all their penalties; forests and boosted trees are in grid_search_reports (times in the README)
+_RIDGES = [s for s in learn.model_grid(FREQ) if s.family == "ridge" and not s.poly]
+_stores: dict[tuple[str, str], str] = {}
+
+
+def model_store(spark, sf) -> str:
+    """Season models and the winners of all tasks, trained once an application and read from the store by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stores:
+        h, s, path = hourly(spark, sf), events.board_slices(spark, sf), scratch(spark)
+        best = {n: learn.winner(retrain.train_task(features.training_frame(h, s, t, FREQ), t, FREQ, _RIDGES)) for n, t in TASKS.items()}
+        ModelStore(spark, path).save(FREQ, season.season_fit(h, FREQ, fields=FEATURES)[0], best, TASKS)
+        _stores[key] = path
+    return _stores[key]
+
+
+def loaded(spark, sf):
+    return ModelStore(spark, model_store(spark, sf)).load(FREQ)
 
 
 @query("grid_search_reports")
 def grid_search_reports(spark, sf):
-    """Ridge, forest and boosting of the point task, with and without differences, over time folds."""
+    """All penalties of the ridge models, with cubic terms and without, and a forest and boosted trees, over time folds."""
     task = TASKS["t4"]
     frame = features.training_frame(hourly(spark, sf), events.board_slices(spark, sf), task, FREQ)
-    specs = [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.1, 10.0]}), learn.Spec("Ridge_poly", "ridge", {"alpha": [1.0]}, poly=True),
-             learn.Spec("RandomForest", "forest", {"n_estimators": [10], "max_depth": [5], "min_samples_split": [2], "max_features": [1.0]}),
-             learn.Spec("Boosted", "boosted", {"n_estimators": [5], "learning_rate": [0.1], "num_leaves": [31]})]
+    specs = [s for s in learn.model_grid(FREQ) if s.family == "ridge" and not s.drop_diff]
+    specs += [learn.Spec("RandomForest", "forest", {"n_estimators": [10], "max_depth": [5], "min_samples_split": [2], "max_features": [1.0]}),
+              learn.Spec("Boosted", "boosted", {"n_estimators": [5], "learning_rate": [0.1], "num_leaves": [31]})]
     return learn.report_frame(spark, "t4", retrain.train_task(frame, task, FREQ, specs))
 
 
+@query("model_store", f"SELECT unnest({[*sorted(TASKS)]}) AS task, 'leaf_temp' AS target, true AS inputs_known, true AS has_error")
+def model_registry(spark, sf):
+    """The models in force, as another process finds them; each task makes all that its model takes."""
+    made = F.create_map(*[x for n, t in TASKS.items() for x in (F.lit(n), F.array(*[F.lit(c) for c in features.model_columns(t, FREQ)]))])
+    rows = ModelStore(spark, model_store(spark, sf)).registry(FREQ).where("task <> 'season'")
+    return rows.select("task", "target", (F.size(F.array_except("columns", made[F.col("task")])) == 0).alias("inputs_known"), F.col("mae").isNotNull().alias("has_error"))
+
+
 @query("recursive_forecast")
 def recursive_forecast(spark, sf):
-    h, fitted = _trained(spark, sf, _RIDGE, ["t9"])
-    models, _ = _models(fitted)
+    h, trained = hourly(spark, sf), loaded(spark, sf)
     past = forecast.context(h, FREQ)
-    env = materialise(forecast.env_columns(season.env_forecast(past, season.season_fit(h, FREQ, fields=FEATURES)[0], FREQ, 3, FEATURES), FEATURES))
-    return forecast.recursive_forecast(past, env, models["t9"][1], TASKS["t9"], FREQ).select("id_board", "step", us(), "value")
+    env = materialise(forecast.env_columns(season.env_forecast(past, trained.season, FREQ, 3, FEATURES), FEATURES))
+    return recursion.recursive_forecast(past, env, *trained.models["t9"], TASKS["t9"], FREQ).select("id_board", "step", us(), "value")
 
 
 @query("score_all_boards")
 def score_all_boards(spark, sf):
-    """Every board by group C and its tasks."""
-    h, fitted = _trained(spark, sf, _RIDGE)
-    models, mae = _models(fitted)
-    models_season, _ = season.season_fit(h, FREQ, fields=FEATURES)
-    d = forecast.score_all(h, models_season, models, mae, FREQ, ["C"], list(TASKS), TASKS, {"C": ("t4", "t8", "t9")})
-    return d.select("model_source", "id_board", "step", us(), "value", "vpd")
+    """Every board by every group and every task of the catalogue, from stored models; groups with what was blended."""
+    t = loaded(spark, sf)
+    d = forecast.score_all(hourly(spark, sf), t.season, t.models, t.mae, FREQ, tasks=TASKS)
+    return d.select("model_source", "id_board", "step", us(), "value", "vpd", *forecast.ENSEMBLE)
 
 
 @query("forecast_cycle")
 def forecast_cycle(spark, sf):
-    """Points that the forecast job leaves in the clean and in the archive table."""
-    h, fitted = _trained(spark, sf, _RIDGE)
-    models, mae = _models(fitted)
-    trained = {"season": season.season_fit(h, FREQ, fields=FEATURES)[0], "models": models, "mae": mae}
-    clean, archive = scratch(spark), scratch(spark)
+    """Points that the forecast job, which has only the paths of tables and models, leaves in the clean and in the archive table."""
+    h, models, clean, archive = hourly(spark, sf), model_store(spark, sf), scratch(spark), scratch(spark)
     tables.write_points(tables.as_points(reshape.to_points(h.withColumn("seq", F.unix_micros("_time")), ("id_board", "_time", "seq"), [*FEATURES, "leaf_temp"])), clean)
     now = h.agg(F.max("_time")).first()[0] + timedelta(minutes=FREQ)
-    cycle.run_forecasts(spark, clean, archive, trained, FREQ, now, groups=["C"], single=list(TASKS), tasks=TASKS, group_tasks={"C": ("t4", "t8", "t9")})
+    cycle.run_forecasts(spark, clean, archive, models, FREQ, now, tasks=TASKS)
     saved = [tables.read_table(spark, p).where("_field rlike 'pred'").withColumn("kept_in", F.lit(n)) for n, p in (("clean", clean), ("archive", archive))]
     return saved[0].unionByName(saved[1]).select("kept_in", "id_board", "model_source", "freq", "_field", us(), "_value")
 
@@ -161,15 +252,12 @@ def report_round_trip(spark, sf):
 
 @query("forecast_document")
 def forecast_document(spark, sf):
-    h = hourly(spark, sf)
-    past = forecast.context(h, FREQ)
-    models_season, _ = season.season_fit(h, FREQ, fields=FEATURES)
-    env = forecast.env_columns(season.env_forecast(past, models_season, FREQ, 3, FEATURES), FEATURES)
-    fut = env.withColumn("leaf_temp", F.col("air_temp"))
-    fut = fut.withColumn("vpd", forecast.vpd("leaf_temp", "air_temp", "humidity"))
-    doc = reshape.forecast_document(past, fut, FREQ)
-    return doc.select("id_board", "frequency", F.size("leaf_temperature.historical").alias("past"), F.size("leaf_temperature.forecast").alias("steps"),
-                      F.to_json(F.struct("leaf_temperature", "environmental_data", "vpd")).alias("document"))
+    """The documents of all groups and of the point tasks, from a real forecast."""
+    t = loaded(spark, sf)
+    given = forecast.forecasts(hourly(spark, sf), t.season, t.models, t.mae, FREQ, single=POINT_TASKS, tasks=TASKS)
+    doc = forecast.documents(given, FREQ)
+    return doc.select("id_board", "model_source", "frequency", F.size("leaf_temperature.historical").alias("past"), F.size("leaf_temperature.forecast").alias("steps"),
+                      F.to_json(F.struct("leaf_temperature", "environmental_data", "vpd", "ensemble_details")).alias("document"))
 
 
 _BLEND = f"""fa AS (SELECT id_board, CAST(hour(_time) AS INT) AS step, avg(leaf_temp) AS v FROM hourly GROUP BY 1, 2), fe AS (SELECT id_board, CAST(hour(_time) AS INT) AS step, avg(air_temp) AS v FROM hourly GROUP BY 1, 2)"""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from canopyflow import config as C
 from canopyflow.operators import slicing as sl
-from canopyflow.plans import features, forecast, learn, retrain, season
-from canopyflow.plans.portable import Portable, portable
+from canopyflow.plans import features, forecast, learn, recursion, retrain, ridge, season
+from canopyflow.plans.store import ModelStore
 
 T0 = datetime(2024, 5, 1)
 TASK = C.Task("t9", ("air_temp", "humidity"), True, True, 3)
@@ -48,22 +48,6 @@ def test_ridge_equals_closed_form(spark, frame):
     assert np.allclose(model.stages[-1].coefficients.toArray(), want, rtol=1e-6)
 
 
-@pytest.mark.parametrize("spec, params", [
-    (learn.Spec("r", "ridge", {}), {"alpha": 1.0}),
-    (learn.Spec("p", "ridge", {}, poly=True), {"alpha": 1.0}),
-    (learn.Spec("f", "forest", {}), {"n_estimators": 5, "max_depth": 4, "min_samples_split": 2, "max_features": 1.0}),
-    (learn.Spec("g", "boosted", {}), {"n_estimators": 4, "learning_rate": 0.1, "num_leaves": 31}),
-])
-def test_numpy_form_predicts_the_same(frame, spec, params):
-    cols = features.model_columns(POINT, 6)
-    model = learn.estimator(spec, params, cols, POINT.features, "leaf_temp", *learn._stats(frame, "leaf_temp")).fit(frame)
-    small = portable(model, cols, list(POINT.features) if spec.poly else None)
-    rows = model.transform(frame).limit(50).collect()
-    for r in rows:
-        assert small.predict(np.array([r[c] for c in cols])) == pytest.approx(r["prediction"], rel=1e-9)
-    assert len(learn.importances(model, cols, POINT.features if spec.poly else [])) >= len(cols)
-
-
 def test_poly_names_match_the_terms(spark):
     from pyspark.ml.feature import PolynomialExpansion
     d = VectorAssembler(inputCols=["a", "b"], outputCol="v").transform(spark.createDataFrame([(2.0, 3.0)], "a double, b double"))
@@ -72,19 +56,73 @@ def test_poly_names_match_the_terms(spark):
     assert [value(n) for n in learn.poly_names(["a", "b"])] == got
 
 
-def test_grid_search_and_registry(spark, frame, tmp_path):
+def test_grid_search_and_store(spark, wide, frame, tmp_path):
     specs = [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.01, 100.0]}), learn.Spec("RandomForest", "forest", {
         "n_estimators": [3], "max_depth": [2], "min_samples_split": [2], "max_features": [1.0]})]
     fitted = retrain.train_task(frame, POINT, 6, specs)
     best = learn.winner(fitted)
     assert best.spec.name == "Ridge_linear" and best.params == {"alpha": 0.01}
-    learn.register(spark, str(tmp_path), 6, POINT, best)
-    row = learn.load_registry(spark, str(tmp_path), 6).first()
-    assert (row.task, row.best_model, row.target) == ("t4", "Ridge_linear", "leaf_temp")
-    again = learn.load_model(str(tmp_path), 6, "t4")
-    assert again.transform(frame).first()["prediction"] == pytest.approx(best.model.transform(frame).first()["prediction"])
     reports = learn.report_frame(spark, "t4", fitted)
     assert reports.count() == 2 and reports.where("MAE IS NULL").count() == 0
+    store = ModelStore(spark, str(tmp_path))
+    with pytest.raises(LookupError):
+        store.load(6)
+    models, _ = season.season_fit(wide, 6, fields=["air_temp"])
+    first = store.save(6, models, {"t4": best}, {"t4": POINT})
+    store.save(30, models, {"t4": best}, {"t4": POINT})
+    got = ModelStore(spark, str(tmp_path)).load(6)
+    model, cols = got.models["t4"]
+    assert cols == best.cols and got.mae == {"t4": best.metrics["MAE"]} and got.season.count() == 1
+    assert model.transform(frame).first()["prediction"] == pytest.approx(best.model.transform(frame).first()["prediction"])
+    assert {(r.task, r.best_model, r.target) for r in store.registry(6).collect()} == {("t4", "Ridge_linear", "leaf_temp"), ("season", None, None)}
+    other = fitted[1]
+    second = store.save(6, models, {"t8": other}, {"t8": POINT})  # t4 keeps its model, the season models are new
+    assert {r.task: r.run for r in store.registry(6).collect()} == {"t4": first, "t8": second, "season": second}
+    assert store.load(6).models["t8"][1] == other.cols
+    third = store.save(6, models, {"t4": best}, {"t4": POINT})
+    store.prune(grace_s=0)
+    assert {p.name for p in (tmp_path / "runs").iterdir()} >= {second, third} and first not in {p.name for p in (tmp_path / "runs").iterdir()}
+    assert set(store.load(6).models) == {"t4", "t8"} and set(store.load(30).models) == {"t4"}
+
+
+def test_a_training_run_that_dies_leaves_the_old_models(spark, frame, wide, tmp_path, monkeypatch):
+    best = learn.winner(retrain.train_task(frame, POINT, 6, [learn.Spec("Ridge_linear", "ridge", {"alpha": [0.01]})]))
+    models, _ = season.season_fit(wide, 6, fields=["air_temp"])
+    store = ModelStore(spark, str(tmp_path))
+    run = store.save(6, models, {"t4": best}, {"t4": POINT})
+    with monkeypatch.context() as m:
+        m.setattr(store.table, "append", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.save(6, models, {"t4": best}, {"t4": POINT})
+    assert {r.run for r in store.registry(6).collect()} == {run} and set(store.load(6).models) == {"t4"}
+
+
+@pytest.mark.parametrize("poly", [False, True])
+def test_ridge_grid_equals_a_fit_for_each_fold_and_penalty(frame, poly):
+    cols = features.model_columns(POINT, 6)
+    train = frame.where("is_train").drop("is_train")
+    specs = {n: learn.Spec(n, "ridge", {"alpha": [0.01, 1.0, 100.0]}, drop, poly) for n, drop in (("all", False), ("no_diff", True))}
+    terms = {n: (ridge.cubic if poly else lambda c, _: ridge.linear(c))(learn._own(s, cols), POINT.features) for n, s in specs.items()}
+    got = ridge.grid(train, terms, {n: [0.01, 1.0, 100.0] for n in specs}, "leaf_temp", 3)
+    assert len(got) == 18
+    from canopyflow.operators.aggregates import regression_metrics
+    from canopyflow.operators.sequence import ts_folds
+    marked = ts_folds(train, sl.fit(train, []), 3).persist()
+    for s in got[::5]:
+        a, b = (marked.where(f"fold = {s.fold} and role = '{r}'") for r in ("train", "test"))
+        model = learn.estimator(specs[s.variant], {"alpha": s.penalty}, cols, POINT.features, "leaf_temp", *learn._stats(a, "leaf_temp")).fit(a)
+        assert s.mae == pytest.approx(regression_metrics(model.transform(b), "leaf_temp", "prediction").first()["MAE"], rel=1e-5)
+        pdf = b.toPandas()
+        own = sum(w * np.prod([pdf[c] for c in t], axis=0) for t, w in zip(s.terms, s.coef)) + s.constant
+        assert np.abs(own - pdf["leaf_temp"]).mean() == pytest.approx(s.mae, rel=1e-9)
+
+
+def test_ridge_with_a_constant_column_and_small_groups(spark, frame, monkeypatch):
+    monkeypatch.setattr(ridge, "_ROWS", 7)
+    train = frame.where("is_train").withColumn("flat", F.lit(3.0)).repartition(5)
+    with_flat, without = (ridge.grid(train, {"r": ridge.linear(c)}, {"r": [1.0]}, "leaf_temp", 2) for c in (["air_temp", "flat"], ["air_temp"]))
+    assert [s.mae for s in with_flat] == pytest.approx([s.mae for s in without]) and all(s.coef[1] == 0 for s in with_flat)
+    assert ridge.grid(train.limit(0), {"r": ridge.linear(["air_temp"])}, {"r": [1.0]}, "leaf_temp", 2) == []
 
 
 def test_permutation_importance_finds_the_driver(frame):
@@ -106,7 +144,7 @@ def test_season_equals_least_squares(wide):
     assert errors.first()["MAE"] < 0.5  # far below the daily swing of 10
 
 
-def pandas_forecast(past, env, model, task, freq, lags):
+def pandas_forecast(past, env, predict, cols, task, freq, lags):
     """The recursion as data-frame steps: append, build, fill, predict."""
     hist = past.set_index("_time")[[*task.features, "leaf_temp"]]
     out = []
@@ -126,7 +164,7 @@ def pandas_forecast(past, env, model, task, freq, lags):
                 far = (d.index.to_series() - d.index.to_series().shift(i)).dt.total_seconds() / 60
                 new[f"{c}_lag_{i}"] = d[c].shift(i).where(far <= freq * i * 1.5)
         d = pd.concat([d, pd.DataFrame(new, index=d.index)], axis=1).ffill().bfill().fillna(0)
-        y = model.predict(d[model.cols].iloc[-1].to_numpy(float))
+        y = predict(d[cols].iloc[-1].to_numpy(float))
         out.append(round(y, 3))
         row["leaf_temp"] = y
         hist = pd.concat([hist, row]).tail(lags + 2)
@@ -134,24 +172,35 @@ def pandas_forecast(past, env, model, task, freq, lags):
 
 
 @pytest.mark.parametrize("holes", [False, True])
-def test_recursive_forecast_equals_loop(spark, holes):
+def test_recursive_forecast_equals_loop(spark, wide, holes):
     rng = np.random.default_rng(3)
     cols = features.model_columns(TASK, 6)
-    model = Portable(cols, coef=rng.normal(0, .2, len(cols)), intercept=1.0)
-    minutes = [6 * i for i in range(12) if not (holes and i in (7, 8))]
-    past = pd.DataFrame({"id_board": "b0", "_time": [T0 + timedelta(minutes=m) for m in minutes], "air_temp": rng.normal(20, 2, len(minutes)),
-                         "humidity": rng.normal(60, 2, len(minutes)), "leaf_temp": rng.normal(18, 2, len(minutes))})
-    if holes:
-        past.loc[[0, 4], "air_temp"] = None
-        past.loc[[5], "leaf_temp"] = None
-    steps = TASK.steps(6)
-    env = pd.DataFrame({"id_board": "b0", "step": range(1, steps + 1), "air_temp": rng.normal(20, 2, steps), "humidity": rng.normal(60, 2, steps)})
-    a = spark.createDataFrame([(r[0], r[1].to_pydatetime(), *(None if v != v else float(v) for v in r[2:])) for r in past.itertuples(index=False)],
-                              "id_board string, _time timestamp, air_temp double, humidity double, leaf_temp double")
-    b = spark.createDataFrame([(r.id_board, int(r.step), float(r.air_temp), float(r.humidity)) for r in env.itertuples()],
-                              "id_board string, step int, air_temp double, humidity double")
-    got = [r.value for r in forecast.recursive_forecast(a, b, model, TASK, 6).orderBy("step").collect()]
-    assert got == pytest.approx(pandas_forecast(past, env, model, TASK, 6, 3), abs=2e-3)
+    train = features.training_frame(wide, sl.fit(wide, ["id_board"]), TASK, 6)
+    model = learn.estimator(learn.Spec("r", "ridge", {}), {"alpha": 1.0}, cols, TASK.features, "leaf_temp", *learn._stats(train, "leaf_temp")).fit(train)
+    scaler, linear = model.stages[-2:]
+    low, span = scaler.originalMin.toArray(), scaler.originalMax.toArray() - scaler.originalMin.toArray()
+    predict = lambda x: float(linear.coefficients.toArray() @ ((x - low) / span) + linear.intercept)
+    pasts, envs, want = [], [], {}
+    for board in ("b0", "b1"):
+        minutes = [6 * i for i in range(12) if not (holes and i in (7, 8))]
+        past = pd.DataFrame({"id_board": board, "_time": [T0 + timedelta(minutes=m) for m in minutes], "air_temp": rng.normal(20, 2, len(minutes)),
+                             "humidity": rng.normal(60, 2, len(minutes)), "leaf_temp": rng.normal(18, 2, len(minutes))})
+        if holes:
+            past.loc[[0, 4], "air_temp"] = None
+            past.loc[[5], "leaf_temp"] = None
+        steps = TASK.steps(6) if board == "b0" else 4  # a board with a short environment forecast
+        env = pd.DataFrame({"id_board": board, "step": range(1, steps + 1), "air_temp": rng.normal(20, 2, steps), "humidity": rng.normal(60, 2, steps)})
+        want |= {(board, i + 1): v for i, v in enumerate(pandas_forecast(past, env, predict, cols, TASK, 6, 3))}
+        pasts += [(r[0], r[1].to_pydatetime(), *(None if v != v else float(v) for v in r[2:])) for r in past.itertuples(index=False)]
+        envs += [(r.id_board, int(r.step), float(r.air_temp), float(r.humidity)) for r in env.itertuples()]
+    a = spark.createDataFrame(pasts, "id_board string, _time timestamp, air_temp double, humidity double, leaf_temp double")
+    b = spark.createDataFrame(envs, "id_board string, step int, air_temp double, humidity double")
+    rows = recursion.recursive_forecast(a, b, model, cols, TASK, 6).collect()
+    got = {(r.id_board, r.step): r.value for r in rows}
+    assert len(rows) == len(want) and got == pytest.approx(want, abs=2e-3)
+    assert all(r._time == T0 + timedelta(minutes=66 + 6 * r.step) for r in rows)
+    with pytest.raises(ValueError):
+        recursion.recursive_forecast(a, b, model, [*cols, "unheard_of"], TASK, 6)
 
 
 def test_blend_weights():

@@ -10,7 +10,9 @@ from canopyflow import config as C
 from canopyflow.operators import slicing as sl
 from canopyflow.operators import joins
 from canopyflow.operators import sequence as seq
+from canopyflow.operators.reshape import pivot_fields
 from canopyflow.plans import clean, cycle, forecast, history, learn, retrain
+from canopyflow.plans.store import ModelStore
 from canopyflow.sources import documents, tables
 from canopyflow.streaming import state, telemetry
 
@@ -58,31 +60,42 @@ def test_alias_gives_way_to_the_stored_name(spark):
 
 def test_retrain_and_score(spark, tmp_path):
     tasks = {"t4": C.TASKS["t4"], "t8": C.Task("t8", C.TASKS["t8"].features, True, False, 2), "t9": C.Task("t9", C.TASKS["t9"].features, True, True, 2)}
-    out = retrain.retrain(raw_points(spark, n=700), str(tmp_path / "clean"), str(tmp_path / "models"), 6, tasks, None,
-                          [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})], {"b0": clean.BOARD_STEPS[C.BOARDS[0]]})
-    assert set(out["mae"]) == set(tasks) and out["reports"].count() == 3
-    assert learn.load_registry(spark, str(tmp_path / "models"), 6).count() == 3
-    scored = forecast.score_all(out["clean"], out["season"], out["models"], out["mae"], 6, ["C"], ["t8"], tasks, {"C": ("t4", "t8", "t9")}, {"air_temp": 30.0})
-    counts = {tuple(r) for r in scored.groupBy("model_source", "id_board").count().collect()}
-    assert counts == {(m, b, 30) for m in ("ENSEMBLE_C", "T8") for b in ("b0", "b1")}
-    assert set(forecast.prediction_columns(scored).columns) == {"id_board", "_time", *C.PRED_FIELDS}
+    raw_path, clean_path, archive, models = (str(tmp_path / n) for n in ("raw", "clean", "archive", "models"))
+    tables.write_points(raw_points(spark, n=700), raw_path)
+    ridge = [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})]
+    steps = {"b0": clean.BOARD_STEPS[C.BOARDS[0]]}
+    out = retrain.retrain(spark, raw_path, clean_path, models, 6, tasks, None, ridge, steps)
+    assert out.count() == 3
     with pytest.raises(ValueError):
         retrain.check_freq(4)
-    clean_path, archive = str(tmp_path / "clean"), str(tmp_path / "archive")
-    now = out["clean"].agg(F.max("_time")).first()[0] + timedelta(minutes=6)
-    saved = cycle.run_forecasts(spark, clean_path, archive, out, 6, now, groups=["C"], single=["t8"], tasks=tasks, group_tasks={"C": ("t4", "t8", "t9")})
+    now = tables.read_table(spark, clean_path).agg(F.max("_time")).first()[0] + timedelta(minutes=6)
+    catalogue = {"groups": ["C"], "single": ["t8"], "tasks": tasks, "group_tasks": {"C": ("t4", "t8", "t9")}}
+    saved = cycle.run_forecasts(spark, clean_path, archive, models, 6, now, **catalogue)  # from the stored models alone
     stored = tables.read_table(spark, archive)
     assert stored.count() == saved.count() == 2 * 2 * 30 * 3 and {r.model_source for r in stored.select("model_source").distinct().collect()} == {"ENSEMBLE_C", "T8"}
     assert tables.read_table(spark, clean_path).where("_field rlike 'pred'").count() == saved.count()
-    silent = forecast.context(out["clean"], 6, now=now + timedelta(days=8))
-    assert silent.count() == 0
-    # a second training run replaces models and reports
-    again = retrain.retrain(raw_points(spark, n=720), clean_path, str(tmp_path / "models"), 6, {"t4": tasks["t4"]}, None,
-                            [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})], {"b0": clean.BOARD_STEPS[C.BOARDS[0]]})
-    assert set(again["mae"]) == {"t4"}
-    reports = documents.read_report_lines(spark, str(tmp_path / "models" / "6m" / "reports"))
+    wide = pivot_fields(tables.read_table(spark, clean_path).where("_field not rlike 'pred'"))
+    assert forecast.context(wide, 6, now=now + timedelta(days=8)).count() == 0  # silent for a week
+    trained = ModelStore(spark, models).load(6)
+    given = forecast.forecasts(wide, trained.season, trained.models, trained.mae, 6, what_if={"air_temp": 30.0}, **catalogue)
+    for history_rows, rows in given.values():
+        assert {tuple(r) for r in rows.groupBy("id_board").count().collect()} == {("b0", 30), ("b1", 30)}
+        assert {r[0] for r in history_rows.groupBy("id_board").agg(F.max_by("air_temp", "_time")).select("max_by(air_temp, _time)").collect()} == {30.0}
+    docs = {(r.id_board, r.model_source): r for r in forecast.documents(given, 6).collect()}
+    assert set(docs) == {(b, s) for b in ("b0", "b1") for s in ("ENSEMBLE_C", "T8")}
+    blended, plain = docs["b0", "ENSEMBLE_C"], docs["b0", "T8"]
+    assert plain.ensemble_details is None and len(blended.ensemble_details.forecast_env) == len(blended.leaf_temperature.forecast) == 30
+    w = blended.ensemble_details.weights
+    for v, e, a in zip(blended.leaf_temperature.forecast, blended.ensemble_details.forecast_env, blended.ensemble_details.forecast_auto):
+        assert v.timestamp == e.timestamp == a.timestamp and v.value == pytest.approx(w.environmental * e.value + w.autoregressive * a.value, abs=0.05)
+    # a second training run replaces models and reports, copies archived forecasts back, and reads only newer raw points
+    tables.write_points(raw_points(spark, n=720), raw_path)
+    again = retrain.retrain(spark, raw_path, clean_path, models, 6, {"t4": tasks["t4"]}, None, ridge, steps, archive, now)
+    assert [r.task for r in again.collect()] == ["t4"]
+    reports = documents.read_report_lines(spark, f"{models}/6m/reports")
     assert sorted(r.task for r in reports.collect()) == ["t4", "t8", "t9"]
-    assert spark.read.parquet(str(tmp_path / "models" / "6m" / "season")).count() > 0
+    runs = {r.task: r.run for r in ModelStore(spark, models).registry(6).collect()}
+    assert runs["t4"] == runs["season"] != runs["t8"] == runs["t9"]
 
 
 def test_sync_reads_only_the_days_it_needs(spark, tmp_path):
