@@ -109,8 +109,13 @@ def metric_matrix(spark, sf):
     return d.select("task", *[c for m in _MODELS for c in (r(m).alias(m), F.col(f"{m}_text"))])
 
 
-@query("nested_summary", """SELECT task, count(*) AS models, string_agg(model_name || '=' || printf('%.3f', round(RMSE, 3)), ',' ORDER BY model_name) AS text FROM reports GROUP BY 1""", "reports")
+_SHOWN = ("MAE", "RMSE", "train_MAE")
+
+
+@query("nested_summary", f"""SELECT task, count(*) AS models, string_agg(model_name || '=' || {" || '/' || ".join(f"printf('%.3f', round({m}, 3))" for m in _SHOWN)}, ',' ORDER BY model_name) AS text
+FROM reports GROUP BY 1""", "reports")
 def nested_summary(spark, sf):
-    d = reshape.summary(reports(spark, sf), ["MAE", "RMSE"])
-    pairs = F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.3f", e["value"]["RMSE"])))
+    d = reshape.summary(reports(spark, sf), _SHOWN)
+    text = lambda e: F.concat_ws("/", *[F.format_string("%.3f", e["value"][m]) for m in _SHOWN])
+    pairs = F.transform(F.map_entries("details"), lambda e: F.concat(e["key"], F.lit("="), text(e)))
     return d.select("task", F.size("details").cast("long").alias("models"), F.array_join(pairs, ",").alias("text"))

@@ -12,7 +12,7 @@ from canopyflow.sources import events, tables
 from checks.basics import r
 from checks.registry import query
 from checks.scans import us
-from checks.sequences import MIN
+from checks.sequences import MIN, SIX
 
 R6 = 6
 
@@ -63,11 +63,11 @@ _CLEANED = _WEIGHTED + """,
   UNION ALL SELECT id_board, 'soil_moisture', epoch_us(_time)::DOUBLE, soil_moisture FROM wide)"""
 
 
-@query("clean_series", "SELECT id_board, CAST(t AS BIGINT) AS t_us, f AS _field, round(v, 6) AS _value FROM cleaned WHERE f IN ('tds', 'leaf_temp', 'water_temp')",
+@query("clean_series", "SELECT id_board, CAST(t AS BIGINT) AS t_us, f AS _field, round(v, 6) AS _value FROM cleaned",
        "wide", _CLEANED, recursive=True)
 def clean_series(spark, sf):
     d = clean.clean_series(events.wide(spark, sf), events.board_slices(spark, sf), STEPS)
-    long = d.unpivot(["id_board", "_time"], ["tds", "leaf_temp", "water_temp"], "_field", "_value")
+    long = d.unpivot(["id_board", "_time"], SIX, "_field", "_value")
     return long.select("id_board", us(), "_field", r("_value", R6).alias("_value"))
 
 
@@ -91,3 +91,20 @@ def sync_clean(spark, sf):
     raw = events.points(spark, sf)
     none = tables.as_points(raw).limit(0)
     return clean.sync_clean(raw, none, 6, STEPS).select("id_board", "_field", us(), r("_value", R6).alias("_value"))
+
+
+#: newest clean stamps of the boards, far apart
+CLEAN_MARKS = {"b0": "2024-01-09 06:00:00", "b1": "2024-01-20 18:00:00"}
+_NEAR = f"""marks(id_board, mark) AS (VALUES {', '.join(f"('{b}', TIMESTAMP '{t}')" for b, t in CLEAN_MARKS.items())}),
+ near AS (SELECT wide.* FROM wide JOIN marks USING (id_board) WHERE _time >= mark - INTERVAL 60 MINUTE)"""
+
+
+@query("sync_clean_newer", f"""SELECT id_board, f AS _field, b * {6 * MIN} AS t_us, round(v, 6) AS _value FROM gi JOIN marks USING (id_board)
+ WHERE v IS NOT NULL AND b * {6 * MIN} > epoch_us(mark)""", "wide", _NEAR + ", " + _CLEANED.replace("FROM wide", "FROM near") + _grid_ctes(6, 7), recursive=True)
+def sync_clean_newer(spark, sf):
+    """A later run: each board is cleaned from an hour before its own newest clean stamp, and what is newer comes out."""
+    raw = events.points(spark, sf)
+    marks = spark.createDataFrame(list(CLEAN_MARKS.items()), "id_board string, mark string")
+    stored = tables.as_points(marks.select("id_board", F.col("mark").cast("timestamp").alias("_time"), F.lit("air_temp").alias("_field"), F.lit(1.0).alias("_value")))
+    forecasts = stored.withColumn("_field", F.lit("air_temp_pred")).withColumn("_time", F.col("_time") + F.expr("INTERVAL 5 DAYS"))  # not measured
+    return clean.sync_clean(raw, stored.unionByName(forecasts), 6, STEPS).select("id_board", "_field", us(), r("_value", R6).alias("_value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -35,11 +36,10 @@ def scan_points(spark, sf):
 @query("time_bounds_lookback", """SELECT seq, _field, _value, epoch_us(_time) AS t_us FROM points
 WHERE _time >= (SELECT max(ts) FROM ev) - INTERVAL 21 DAY AND _time < (SELECT max(ts) FROM ev)""", "points")
 def time_bounds_lookback(spark, sf):
+    """The three weeks before the newest point; the bounds are literals, so they reach the scan."""
     p = events.points(spark, sf)
-    anchor = p.agg(F.max("_time").alias("_anchor"))  # one row
-    near = p.crossJoin(F.broadcast(anchor))
-    near = filters.scan_points(near, F.col("_anchor") - F.expr("INTERVAL 21 DAYS"), F.col("_anchor"))
-    return near.select("seq", "_field", "_value", us())
+    newest = p.agg(F.max("_time")).first()[0]  # one value
+    return filters.scan_points(p, *filters.time_bounds(newest, timedelta(days=21))).select("seq", "_field", "_value", us())
 
 
 def uplink_frames(spark, sf):

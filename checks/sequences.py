@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from canopyflow import config as C
 from canopyflow.operators import aggregates as agg
 from canopyflow.operators import filters, slicing
 from canopyflow.operators import joins
 from canopyflow.operators import sequence as seq
 from canopyflow.plans import history
+from canopyflow.session import materialise
 from canopyflow.sources import events
 from checks.basics import r
 from checks.registry import query
@@ -165,24 +169,32 @@ def ts_folds(spark, sf):
     return seq.ts_folds(w, s, 3).select("id_board", us(), "fold", "role")
 
 
-GRID = """bins AS (SELECT id_board, time_bucket(INTERVAL '60 minutes', _time) AS _time, avg(leaf_temp) AS leaf_temp, avg(tds) AS tds FROM wide GROUP BY 1, 2),
+#: the measures that events has
+SIX = [f for f in C.FIELDS if f in (*events.EVENT_FIELDS.values(), "soil_moisture")]
+GRID = f"""bins AS (SELECT id_board, time_bucket(INTERVAL '60 minutes', _time) AS _time, {', '.join(f'avg({c}) AS {c}' for c in SIX)} FROM wide GROUP BY 1, 2),
  grid AS (SELECT id_board, unnest(generate_series(min(_time), max(_time), INTERVAL '60 minutes')) AS _time FROM bins GROUP BY id_board),
- g AS (SELECT id_board, _time, leaf_temp, tds FROM grid LEFT JOIN bins USING (id_board, _time))"""
+ g AS (SELECT id_board, _time, {', '.join(SIX)} FROM grid LEFT JOIN bins USING (id_board, _time))"""
 
 
 def _grid(spark, sf):
-    return agg.resample(events.wide(spark, sf), ["leaf_temp", "tds"], 60)
+    return agg.resample(events.wide(spark, sf), SIX, 60)
+
+
+def _rounded(cols) -> str:
+    return ", ".join(f"round({c}, 9) AS {n}" for n, c in cols.items())
 
 
-@query("resample", "SELECT id_board, epoch_us(_time) AS t_us, round(leaf_temp, 9) AS leaf_temp, round(tds, 9) AS tds FROM g", "wide", GRID)
+@query("resample", f"SELECT id_board, epoch_us(_time) AS t_us, {_rounded({c: c for c in SIX})} FROM g", "wide", GRID)
 def resample(spark, sf):
-    return _grid(spark, sf).select("id_board", us(), r("leaf_temp").alias("leaf_temp"), r("tds").alias("tds"))
+    return _grid(spark, sf).select("id_board", us(), *[r(c).alias(c) for c in SIX])
 
 
-@query("gap_size", f"""SELECT id_board, epoch_us(_time) AS t_us, CASE WHEN tds IS NULL THEN sum(CASE WHEN tds IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id_board, run) ELSE 0 END::BIGINT AS gap FROM (
- SELECT *, count(tds) OVER {UPTO} AS run FROM g)""", "wide", GRID)
+@query("gap_size", " UNION ALL ".join(f"""SELECT id_board, '{c}' AS _field, epoch_us(_time) AS t_us,
+ CASE WHEN {c} IS NULL THEN sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id_board, run) ELSE 0 END::BIGINT AS gap FROM (SELECT *, count({c}) OVER {UPTO} AS run FROM g)""" for c in SIX), "wide", GRID)
 def gap_size(spark, sf):
-    return seq.gap_size(_grid(spark, sf), events.board_slices(spark, sf), "tds", 60).select("id_board", us(), "gap")
+    grid, slices = materialise(_grid(spark, sf)), events.board_slices(spark, sf)
+    sizes = [seq.gap_size(grid, slices, c, 60).select("id_board", F.lit(c).alias("_field"), us(), "gap") for c in SIX]
+    return reduce(lambda a, b: a.unionByName(b), sizes)
 
 
 def _line(c: str) -> str:
@@ -196,13 +208,12 @@ def _marks(c: str) -> str:
       first_value({c} IGNORE NULLS) OVER {FROM} AS nv_{c}, first_value({t} IGNORE NULLS) OVER {FROM} AS nt_{c}, count({c}) OVER {UPTO} AS run_{c}"""
 
 
-@query("interpolate", f"""SELECT id_board, epoch_us(_time) AS t_us, round({_line('leaf_temp')}, 9) AS leaf_temp, round({_line('tds')}, 9) AS tds FROM (
- SELECT *, sum(CASE WHEN leaf_temp IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id_board, run_leaf_temp) AS gap_leaf_temp,
-  sum(CASE WHEN tds IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id_board, run_tds) AS gap_tds FROM (
- SELECT *, {_marks('leaf_temp')}, {_marks('tds')} FROM g))""", "wide", GRID)
+@query("interpolate", f"""SELECT id_board, epoch_us(_time) AS t_us, {_rounded({c: _line(c) for c in SIX})} FROM (
+ SELECT *, {', '.join(f'sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY id_board, run_{c}) AS gap_{c}' for c in SIX)} FROM (
+ SELECT *, {', '.join(map(_marks, SIX))} FROM g))""", "wide", GRID)
 def interpolate(spark, sf):
-    d = seq.interpolate(_grid(spark, sf), events.board_slices(spark, sf), ["leaf_temp", "tds"], 60)
-    return d.select("id_board", us(), r("leaf_temp").alias("leaf_temp"), r("tds").alias("tds"))
+    d = seq.interpolate(_grid(spark, sf), events.board_slices(spark, sf), SIX, 60)
+    return d.select("id_board", us(), *[r(c).alias(c) for c in SIX])
 
 
 @query("range_rules", """SELECT id_board, epoch_us(_time) AS t_us, CASE WHEN NOT water_temp < 10 THEN water_temp END AS water_temp,
