@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler, PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyflow import config as C
@@ -163,7 +163,7 @@ def grid_search(train: DataFrame, test: DataFrame, specs: Sequence[Spec], cols:
         metrics |= _evaluate(model, train, target, "train_")
         own = _own(s, cols)
         fitted = Fitted(s, model, params, own, metrics, {"training_time_seconds": t1 - t0, "inference_time_seconds": t2 - t1})
-        fitted.importance = importances(model, own, base if s.poly else [])
+        fitted.importance = importances(model, own, base if s.poly else []) or permutation_importance(model, test, own, target)
         out.append(fitted)
     return out
 
@@ -184,36 +184,42 @@ def poly_names(base: Sequence[str]) -> list[str]:
 
 
 def importances(model: PipelineModel, cols: Sequence[str], base: Sequence[str]) -> dict[str, float]:
-    """Tree importances or coefficients, strongest first."""
+    """Tree importances or coefficients, strongest first; none for a model that has neither."""
     names = [*poly_names([c for c in cols if c in base]), *[f"remainder__{c}" for c in cols if c not in base]] if base else list(cols)
     last = model.stages[-1]
+    if not hasattr(last, "coefficients") and not hasattr(last, "featureImportances"):
+        return {}
     values = last.coefficients.toArray() if hasattr(last, "coefficients") else last.featureImportances.toArray()
     return dict(sorted(zip(names, map(float, values)), key=lambda kv: -abs(kv[1])))
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[str], target: str, order: Sequence[str] = ("_time", "id_board"),
                            repeats: int = 5, seed: int = SEED) -> dict[str, float]:
-    """Mean rise of the error when a column is shuffled, for models without own importances.
+    """Mean fall of R2 when a column is shuffled, for models without own importances; strongest first.
 
-    Rows are numbered once; a shuffle is a bijection of the numbers, i -> (a * i + b) mod n with a and n coprime, so each
-    shuffled column is one join on the number.
+    Rows are numbered once; a shuffle is a bijection of the numbers, i -> (a * i + b) mod n with a and n coprime. The values of all columns
+    and repeats travel to the numbers they move to in one exchange; each row then stands once for each of them, with one value
+    replaced, and all are scored in one pass.
     """
     numbered = materialise(sl.ranked(df.select(*order, *cols, target), sl.fit(df, []), order, "_i"))
     n = numbered.count()
+    if not n:
+        return dict.fromkeys(cols, 0.0)
     rng = random.Random(seed)
+    shuffles = [(next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1), rng.randrange(n)) for _ in cols for _ in range(repeats)]
     base = regression_metrics(model.transform(numbered), target, "prediction").first()["R_squared"] or 0.0
-    out = {}
-    for c in cols:
-        drops = []
-        for _ in range(repeats):
-            a = next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1)
-            b = rng.randrange(n)
-            # decimal arithmetic: a * i exceeds 64 bits for large n
-            moved = ((F.col("_i").cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + b) % n + 1).cast("long")
-            other = numbered.select(moved.alias("_i"), F.col(c).alias("_moved"))
-            d = numbered.join(other, "_i").withColumn(c, F.col("_moved"))
-            drops.append(base - (regression_metrics(model.transform(d), target, "prediction").first()["R_squared"] or 0.0))
-        out[c] = sum(drops) / repeats
+
+    def moved(a: int, b: int) -> Column:
+        # decimal arithmetic: a * i exceeds 64 bits for large n
+        return ((F.col("_i").cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + b) % n + 1).cast("long")
+
+    sent = [F.struct(moved(a, b).alias("_i"), F.lit(v).alias("_v"), F.col(cols[v // repeats]).cast("double").alias("_x")) for v, (a, b) in enumerate(shuffles)]
+    got = numbered.select(F.inline(F.array(*sent))).groupBy("_i").agg(F.collect_list(F.struct("_v", "_x")).alias("_got"))
+    rows = numbered.join(got, "_i").select(*numbered.columns, F.inline("_got").alias("_v", "_x"))
+    rows = rows.withColumns({c: F.when(F.floor(F.col("_v") / repeats) == i, F.col("_x")).otherwise(F.col(c)) for i, c in enumerate(cols)})
+    scores = regression_metrics(model.transform(rows), target, "prediction", ["_v"]).select("_v", "R_squared").collect()  # a row per column and repeat
+    drops = {r["_v"]: base - (r["R_squared"] or 0.0) for r in scores}
+    out = {c: sum(drops[i * repeats + k] for k in range(repeats)) / repeats for i, c in enumerate(cols)}
     return dict(sorted(out.items(), key=lambda kv: -kv[1]))
 
 

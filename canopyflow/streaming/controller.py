@@ -25,7 +25,7 @@ from canopyflow.session import materialise
 from canopyflow.sources import tables
 from canopyflow.sources.versions import VersionedTable
 from canopyflow.streaming import telemetry
-from canopyflow.streaming.state import use_rocksdb
+from canopyflow.streaming.state import count_rule, count_uses, use_rocksdb
 
 
 @dataclass(frozen=True)
@@ -46,25 +46,6 @@ class Rule:
 LOW_MOISTURE = Rule("low_soil_moisture", ("soil_moisture",), lambda p: p["soil_moisture"] < C.SOIL_LOW, C.SOIL_PATIENCE, C.PUMP)
 
 
-def count_rule(holds: np.ndarray, patience: int, before: int) -> tuple[np.ndarray, int]:
-    """Where a rule fires, and its count afterwards. ``before``: the count of the packets seen so far."""
-    at = np.arange(len(holds))
-    reset = np.maximum.accumulate(np.where(holds, -1, at)) if len(at) else at
-    count = at - reset + np.where(reset < 0, before, 0)
-    return holds & (count % patience == 0), int(count[-1] % patience) if len(at) and holds[-1] else 0 if len(at) else before
-
-
-def count_uses(readings: np.ndarray, before: tuple[str | None, int]) -> tuple[np.ndarray, tuple[str | None, int]]:
-    """The how-manieth use of its reading each packet makes; a reading that comes back after another one counts from the start."""
-    if not len(readings):
-        return np.zeros(0, np.int64), before
-    at = np.arange(len(readings))
-    new = np.append(readings[0] != before[0], readings[1:] != readings[:-1])
-    start = np.maximum.accumulate(np.where(new, at, -1))
-    uses = at - start + np.where(start < 0, before[1], 1)
-    return uses, (readings[-1], int(uses[-1]))
-
-
 class _Controller(StatefulProcessor):
     def __init__(self, columns: list[str], kinds: list[str], rules: Sequence[Rule], uses: int):
         self.columns, self.kinds, self.rules, self.uses = columns, kinds, rules, uses

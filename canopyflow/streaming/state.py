@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,28 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def count_rule(holds: np.ndarray, patience: int, before: int) -> tuple[np.ndarray, int]:
+    """Where a condition has held for the ``patience``-th time since it failed or fired last, and the count afterwards. ``before``: the
+    count of what was seen so far."""
+    if not len(holds):
+        return holds, before
+    at = np.arange(len(holds))
+    reset = np.maximum.accumulate(np.where(holds, -1, at))
+    count = at - reset + np.where(reset < 0, before, 0)
+    return holds & (count % patience == 0), int(count[-1] % patience) if holds[-1] else 0
+
+
+def count_uses(readings: np.ndarray, before: tuple[str | None, int]) -> tuple[np.ndarray, tuple[str | None, int]]:
+    """The how-manieth use of its reading each row makes; a reading that comes back after another one counts from the start."""
+    if not len(readings):
+        return np.zeros(0, np.int64), before
+    at = np.arange(len(readings))
+    new = np.append(readings[0] != before[0], readings[1:] != readings[:-1])
+    start = np.maximum.accumulate(np.where(new, at, -1))
+    uses = at - start + np.where(start < 0, before[1], 1)
+    return uses, (readings[-1], int(uses[-1]))
+
+
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values(by, kind="stable")
 
@@ -38,20 +61,12 @@ class _Moisture(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = self.low.get()
-        n = state[0] if state else 0
         pdf = _ordered(rows, ["at", "seq"])
-        values = pdf[self.col].to_numpy(float)
-        fired = []
-        for i, v in enumerate(values):
-            if v != v:
-                continue
-            n = n + 1 if v < self.threshold else 0
-            if n == self.patience:
-                n = 0
-                fired.append(i)
+        pdf = pdf[pdf[self.col].notna()]
+        fires, n = count_rule(pdf[self.col].to_numpy(float) < self.threshold, self.patience, state[0] if state else 0)
         self.low.update((n,))
         act, val, dur = C.PUMP
-        hit = pdf.iloc[fired]
+        hit = pdf[fires]
         yield pd.DataFrame({"node_id": hit["node_id"], "at": hit["at"], "seq": hit["seq"], self.col: hit[self.col], "act": act, "val": val, "dur": dur})
 
     def close(self) -> None:
@@ -75,18 +90,14 @@ class _Fallback(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = self.seen.get()
-        reading, n = (state[0], state[1]) if state else (None, 0)
         pdf = _ordered(rows, ["at", "seq"])
-        uses = []
-        for leaf, rid in zip(pdf["leaf_temp"].to_numpy(float), pdf["reading_id"]):
-            if not (leaf != leaf or leaf < C.LEAF_MIN_VALID) or rid is None:
-                uses.append(None)
-                continue
-            n = n + 1 if rid == reading else 1
-            reading = rid
-            uses.append(n)
-        self.seen.update((reading, n))
+        tries = np.flatnonzero(~(pdf["leaf_temp"].to_numpy(float) >= C.LEAF_MIN_VALID) & pdf["reading_id"].notna().to_numpy())
+        made, state = count_uses(pdf["reading_id"].to_numpy(object)[tries], (state[0], state[1]) if state else (None, 0))
+        self.seen.update(state)
+        uses = np.zeros(len(pdf), np.int64)
+        uses[tries] = made
         pdf["use_no"] = pd.array(uses, dtype="Int64")
+        pdf.loc[uses == 0, "use_no"] = pd.NA
         yield pdf
 
     def close(self) -> None:

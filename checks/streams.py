@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyflow.session import materialise, prepare
-from canopyflow.sources import events, tables
+from canopyflow.sources import events, packets, rings, tables
 from canopyflow.streaming import controller, state, telemetry
 from checks import sequences
 from checks.basics import r
 from checks.registry import SQL, query
-from checks.scans import scratch, us
+from checks.scans import packet_rows, scratch, us
 
 MIN = 60_000_000
 HOUR = 60 * MIN
@@ -209,3 +212,31 @@ def stream_controller(spark, sf):
     return fired.select(F.lit("command").alias("kind"), "id_board", F.col("rule").alias("name"), us(), value(F.col("val"))).unionByName(
         tables.read_table(spark, points).select(F.lit("point").alias("kind"), "id_board", F.col("_field").alias("name"), us(), value(F.col("_value")))).unionByName(
         live.select(F.lit("hub").alias("kind"), F.col("node_id").alias("id_board"), F.col("star_id").alias("name"), us(), value(F.lit(None))))
+
+
+@query("stream_packets", """SELECT event_id % 3 AS poll, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS stamp, user_id AS node_id, value AS air_temp FROM ev""")
+def stream_packets(spark, sf):
+    """Hub logs that grow between three polls; each record is decoded once."""
+    rows, folder = packet_rows(spark, sf), scratch(spark).removeprefix("file://")
+    out, marks = scratch(spark), scratch(spark)
+    for poll in range(3):
+        log_records(rows.where(F.col("event_id") % 3 == poll).select("data"), folder, poll)
+        d = packets.decode_packets(rings.stream_rings(spark, folder))
+        d.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+    d = spark.read.parquet(out)
+    return d.select(F.substring_index("hub", "-", 1).cast("long").alias("poll"), F.col("timestamp").alias("stamp"), "node_id", "air_temp")
+
+
+def log_records(rows, folder, poll):
+    """A log for each task; a task that runs again writes the same bytes."""
+    uri = folder if "://" in folder else f"file://{folder}"
+
+    def write(batches):
+        system, root = fs.FileSystem.from_uri(uri)
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{poll}-{TaskContext.get().partitionId()}.bin") as f:
+            for batch in batches:
+                f.write(b"".join(batch.column("data").to_pylist()))
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    rows.mapInArrow(write, "done boolean").collect()  # a row for each task

@@ -14,7 +14,8 @@ from canopyflow.operators import sequence as seq
 from canopyflow.operators import slicing as sl
 from canopyflow.sources import tables
 from canopyflow.streaming import controller, telemetry
-from canopyflow.streaming.controller import Rule, count_rule, count_uses
+from canopyflow.streaming.controller import Rule
+from canopyflow.streaming.state import count_rule, count_uses
 
 T0 = datetime(2024, 5, 1)
 SLICES = sl.Slicing(("id_board",))

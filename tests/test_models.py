@@ -125,11 +125,33 @@ def test_ridge_with_a_constant_column_and_small_groups(spark, frame, monkeypatch
     assert ridge.grid(train.limit(0), {"r": ridge.linear(["air_temp"])}, {"r": [1.0]}, "leaf_temp", 2) == []
 
 
-def test_permutation_importance_finds_the_driver(frame):
+def test_permutation_importance_equals_one_shuffle_after_the_other(frame):
+    import math
+    import random
     cols = features.model_columns(POINT, 6)
     model = learn.estimator(learn.Spec("r", "ridge", {}), {"alpha": 0.01}, cols, POINT.features, "leaf_temp", *learn._stats(frame, "leaf_temp")).fit(frame)
-    got = learn.permutation_importance(model, frame, cols, "leaf_temp", repeats=1)
-    assert next(iter(got)) == "air_temp" and set(got) == set(cols)
+    rows = frame.orderBy("_time", "id_board").toPandas()
+    n, rng, w = len(rows), random.Random(learn.SEED), model.stages[-1]
+    scaler = model.stages[1]
+    low, span = scaler.originalMin.toArray(), scaler.originalMax.toArray() - scaler.originalMin.toArray()
+    r2 = lambda x: 1 - ((rows["leaf_temp"] - ((x - low) / span @ w.coefficients.toArray() + w.intercept)) ** 2).sum() / (n * rows["leaf_temp"].var(ddof=0))
+    want = {}
+    for k, c in enumerate(cols):
+        drops = []
+        for _ in range(2):
+            a = next(x for x in iter(lambda: rng.randrange(1, n + 1), None) if math.gcd(x, n) == 1)
+            b = rng.randrange(n)
+            x = rows[cols].to_numpy()
+            to = (a * np.arange(1, n + 1) + b) % n
+            moved = x[:, k].copy()
+            moved[to] = x[:, k]
+            shuffled = x.copy()
+            shuffled[:, k] = moved
+            drops.append(r2(x) - r2(shuffled))
+        want[c] = sum(drops) / 2
+    got = learn.permutation_importance(model, frame, cols, "leaf_temp", repeats=2)
+    assert got == pytest.approx(want, abs=1e-9) and next(iter(got)) == "air_temp"
+    assert learn.permutation_importance(model, frame.limit(0), cols, "leaf_temp") == dict.fromkeys(cols, 0.0)
 
 
 def test_season_equals_least_squares(wide):

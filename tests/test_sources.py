@@ -4,6 +4,7 @@ import json
 import struct
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,30 @@ def test_ring_size():
 def test_leading_number(spark, text, want):
     from canopyflow.functions.text import leading_number
     assert spark.createDataFrame([(text,)], "s string").select(leading_number(F.col("s"))).first()[0] == want
+
+
+def test_ring_logs_are_read_once_as_they_grow(spark, tmp_path, monkeypatch):
+    from canopyflow.sources import rings
+    rec = lambda t: np.array([(t, 7, *[1.5] * 8)], packets.RECORD).tobytes()
+    logs, out, marks = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "c")
+    logs.mkdir()
+    (logs / "note.txt").write_text("x")
+    (logs / "h1.bin").write_bytes(rec(1) + rec(2) + rec(3)[:17])
+
+    def poll():
+        d = packets.decode_packets(rings.stream_rings(spark, str(logs)))
+        d.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r.hub, r.timestamp) for r in spark.read.parquet(out).collect())
+
+    assert poll() == [("h1", 1), ("h1", 2)]
+    with (logs / "h1.bin").open("ab") as f:
+        f.write(rec(3)[17:] + rec(4))
+    (logs / "h2.bin").write_bytes(rec(9))
+    want = [("h1", 1), ("h1", 2), ("h1", 3), ("h1", 4), ("h2", 9)]
+    assert poll() == want and poll() == want
+    reader = rings.RingReader(f"file://{logs}")
+    monkeypatch.setattr(rings, "_TASK_RECORDS", 3)
+    monkeypatch.setattr(rings, "_BATCH_RECORDS", 2)
+    parts = reader.partitions({"hubs": '{"h1": 40, "h2": 999}'}, reader.latestOffset())
+    assert [(p.hub, p.start, p.stop) for p in parts] == [("h1", 40, 160), ("h2", 0, 40)]  # h2 was begun anew
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == 4
