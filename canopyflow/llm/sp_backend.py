@@ -182,9 +182,10 @@ class Backend(Segments):
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 1) -> DataFrame:
     """Id, ``ids`` (little-endian unsigned 32-bit), ``n_tokens``, ``rebuilt`` and ``round_trip`` of every whole text.
 
-    ``rebuilt`` tells whether the rebuilt tokenizer gave the ids of the sentencepiece library, which encodes every text too; where it
-    did not, ``ids`` are the sentencepiece library's. ``round_trip``: decoding gives the text back (a model that normalises does not
-    promise that). A null or empty text has no ids; null ids stay null; equal rows give equal rows; other columns are not read.
+    ``ids`` are the rebuilt tokenizer's. The sentencepiece library encodes every text too, to verify parity: ``rebuilt`` is false where
+    its ids differ, and only there ``ids`` are the library's. ``round_trip``: decoding gives the text back (a model that normalises does not
+    promise that). A null or empty text has no ids; very long texts are encoded whole; null ids stay null; equal rows give equal rows; an empty
+    table gives none; other columns are not read.
     """
     def run(batches):
         import sentencepiece
@@ -196,8 +197,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             want = [np.asarray(x, ID) for x in original.encode(texts, num_threads=threads)]
             same = [np.array_equal(a, b) for a, b in zip(got, want)]
             back = [a == b for a, b in zip(backend.decode(got), texts)]
+            ids = [a if ok else b for a, b, ok in zip(got, want, same)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([x.tobytes() for x in want], pa.binary()), pa.array([len(x) for x in want], pa.int64()),
+                [part.column("id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
                  pa.array(same), pa.array(back)], ["id", "ids", "n_tokens", "rebuilt", "round_trip"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

@@ -14,7 +14,7 @@ def brute(rows, k=5):
     out = []
     for q in sorted({i for i, _ in good if i % 50 == 0}):
         v = min(v for i, v in good if i == q)
-        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q)[:k]
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return out
 
@@ -25,6 +25,8 @@ def test_exact_with_ties(spark, monkeypatch, block, bins, scale):
     monkeypatch.setattr(topk, "_BINS", bins)
     rnd = np.random.default_rng(2)
     rows = [(i, (rnd.integers(-3, 4, 8) * scale / 3).tolist()) for i in range(260)] + [(300 + i, rows_i) for i, rows_i in enumerate([[1.0 * scale] * 8] * 12)]
+    monkeypatch.setattr(topk, "_SENT", 200 if bins == 8 else 32 << 20)  # some queries at a time
+    rows += [(1000 + i, rnd.integers(-3, 4, 5).astype(float).tolist()) for i in range(120)]  # another dimension
     rows += [(350, None), (400, [float("nan")] * 8), (401, [float("inf")] * 8), (402, [None] * 8), (403, []), (None, [9.0] * 8), (50, [0.5] * 8), (7, [1.0] * 8), (450, [-0.001] * 8)]
     df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA).repartition(4)
     assert sorted(map(tuple, top_k(df).collect())) == brute(rows)
