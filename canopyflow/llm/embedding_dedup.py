@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,8 @@ from canopyflow.llm.common import keyed_chunks, local_labels, map_arrow, shuffle
 from canopyflow.llm.components import connected_components
 
 _SHARD = 256
+#: vectors of the largest label that a bucket holds, if they lie anywhere
+_BUCKET = 16
 
 
 def usable(vector: Column) -> Column:
@@ -63,15 +67,25 @@ def _pairs(meet, left, right, sign, x, limit):
             yield p[first], q[first]
 
 
-def near_vectors(vectors: DataFrame, limit: float = 0.98, bits: int = 16, tables: int = 24, seed: int = 7, id_col: str = "vec_id",
+def hyperplanes(largest: int, limit: float, missed: float = 3e-5) -> tuple[int, int]:
+    """Bits of a table, and tables: vectors of the largest label that lie anywhere share a bucket with some ``_BUCKET`` others of a table,
+    whatever their number; two just at the limit share none in all tables with probability ``missed`` at most."""
+    bits = min(max(4, math.ceil(math.log2(max(largest, 1) / _BUCKET))), 62)
+    alike = (1 - math.acos(min(max(limit, -1.0), 1.0)) / math.pi) ** bits
+    return bits, 1 if alike >= 1 else math.ceil(math.log(missed) / math.log1p(-alike))
+
+
+def near_vectors(vectors: DataFrame, limit: float = 0.98, missed: float = 3e-5, seed: int = 7, id_col: str = "vec_id",
                  vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Id, ``n_links`` (other vectors with the same label and a cosine of at least ``limit``), ``component_id``, ``kept``.
 
     Equal vectors of a label are one class, linked to each other and looked at once. Two classes are compared where they share the
-    signs of all ``bits`` hyperplanes of a table; a pair just at the default limit is missed in all 24 tables with probability 3e-5.
+    signs of all hyperplanes of a table. Their number grows with the logarithm of the largest label, so that buckets do not, and that of the
+    tables with it, so that a pair just at the limit is missed in all of them with probability ``missed``; nearer ones are missed less often.
     Found pairs are counted per class and returned as stars, never as pairs. Vectors that are null, zero or hold null or
     non-finite components, and those without a label, link with nothing; repeated rows link with each other; a null id counts in
-    its links and names no component; vectors of different dimension do not link; other columns are not read.
+    its links and names no component; vectors of different dimension do not link; other columns are not read; an
+    empty table gives no rows.
     """
     rows = vectors.select(vectors[id_col].alias("id"), vectors[vector_col].cast("array<double>").alias("vector"), vectors[label_col].alias("label"))
     rows = rows.withColumn("ok", usable(F.col("vector")) & F.col("label").isNotNull())
@@ -79,7 +93,8 @@ def near_vectors(vectors: DataFrame, limit: float = 0.98, bits: int = 16, tables
     good = rows.where("ok")
     classes = good.groupBy("label", "h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    signs = stored(signatures(classes, bits, tables, seed))
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # one number
+    signs = stored(signatures(classes, *hyperplanes(largest, limit, missed), seed))
     keyed = signs.join(classes.select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"))
     keyed = keyed.select("node", "label", F.posexplode("signature").alias("table", "s"))
     dealt = stored(split_hot(keyed.select("node", "table", F.xxhash64("label", "table", "s").alias("bucket")), _SHARD).drop("bucket"))

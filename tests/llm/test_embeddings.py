@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from canopyflow.llm import embedding_dedup
-from canopyflow.llm.embedding_dedup import near_vectors
+from canopyflow.llm.embedding_dedup import hyperplanes, near_vectors
 
 from .test_simhash import components
 
@@ -36,3 +36,41 @@ def test_links_and_components(spark, monkeypatch, shard):
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hyperplanes_grow_with_the_largest_label():
+    assert hyperplanes(0, 0.98) == hyperplanes(200, 0.98) == (4, 8)
+    sizes = [hyperplanes(10**k, 0.98) for k in range(3, 10)]
+    assert sizes == sorted(sizes) and sizes[-1][0] == 26 and sizes[-1][1] < 60
+    for bits, tables in sizes:
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 3e-5
+
+
+def test_recall_on_given_vectors(spark):
+    """Every link and component of the table, and of vectors planted close to the limit beside its own, by brute force."""
+    given = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    rnd, rows = np.random.default_rng(4), list(given)
+    for i, v, label in given[::2]:
+        v = np.asarray(v, float)
+        for n in range(3):
+            aside = rnd.standard_normal(len(v))
+            aside -= (aside @ v) / (v @ v) * v
+            cos = rnd.uniform(0.975, 0.99)
+            rows.append((100_000 + 3 * i + n, (v / np.linalg.norm(v) * cos + aside / np.linalg.norm(aside) * np.sqrt(1 - cos * cos)).astype(np.float32).tolist(), label))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(6)).collect()}
+    links, at = np.zeros(len(rows), int), []
+    for label in {r[2] for r in rows}:
+        mine = np.asarray([i for i, r in enumerate(rows) if r[2] == label])
+        x = np.asarray([rows[i][1] for i in mine], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.98, 1))
+        at += list(zip(mine[i], mine[j]))
+        links += np.bincount(np.concatenate([mine[i], mine[j]]), minlength=len(rows))
+    found = sum(n for n, _ in got.values()) / 2
+    assert len(at) > 1500 and found >= 0.999 * len(at)
+    assert all(got[r[0]][0] <= n for r, n in zip(rows, links))
+    if found == len(at):
+        least = {}
+        for r, c in zip(rows, label_of := components(len(rows), at)):
+            least[c] = min(least.get(c, r[0]), r[0])
+        assert all(got[r[0]][1] == least[c] for r, c in zip(rows, label_of))
