@@ -35,9 +35,6 @@ PACKET_FIELDS = [
 ]
 PACKET_BYTES = 40
 
-BOARDS = ["3750846324", "3750866944"]
-INDOOR = {"3750846324": 0, "3750866944": 1}
-
 FREQ_MIN = 6
 CLEAN_LOOKBACK_DAYS = 30
 FORECAST_LOOKBACK_DAYS = 7

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyflow.config import COMMAND_DURATION_MAX, COMMAND_VALUE_MAX, FIELD_ALIASES, FIELDS, INDOOR, PACKET_BYTES
+from canopyflow.config import COMMAND_DURATION_MAX, COMMAND_VALUE_MAX, FIELD_ALIASES, FIELDS, PACKET_BYTES
 
 
 def time_bounds(anchor: datetime, lookback: timedelta | None) -> tuple[datetime, datetime]:
@@ -95,7 +95,10 @@ def split_sync(df: DataFrame, flag: str = "sync") -> tuple[DataFrame, DataFrame]
     return df.where(~is_sync), df.where(is_sync)
 
 
-def with_indoor(df: DataFrame, places: Mapping[str, int] = INDOOR) -> DataFrame:
+def with_indoor(df: DataFrame, places: Mapping[str, int]) -> DataFrame:
+    """1 for boards that stand indoors, by ``places``; 0 for all others."""
+    if not places:
+        return df.withColumn("is_indoor", F.lit(0))
     table = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
     return df.withColumn("is_indoor", F.coalesce(F.element_at(table, F.col("id_board")), F.lit(0)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,22 +19,19 @@ from canopyflow.session import materialise
 from canopyflow.sources import tables
 
 TDS_FLOOR, LEAF_STEPS, LEAF_FILL, ANOMALIES = "tds_floor", "leaf_steps", "leaf_fill", "anomalies"
-# fixed values: the steps of each board, in order; boards not named take the first list
-BOARD_STEPS = {
-    C.BOARDS[0]: (TDS_FLOOR, LEAF_STEPS, LEAF_FILL, ANOMALIES),
-    C.BOARDS[1]: (TDS_FLOOR, LEAF_FILL, ANOMALIES),
-}
+#: the steps in order, as boards run them that are not named
+ALL_STEPS = (TDS_FLOOR, LEAF_STEPS, LEAF_FILL, ANOMALIES)
+#: what is given for boards that run fewer of them
+Steps = Mapping[str, Sequence[str]]
 
 
-def step_condition(step: str, steps: Mapping[str, Sequence[str]]) -> Column:
-    """Whether a row's board runs a step; boards outside the registry run the steps of its first entry."""
-    default = next(iter(steps.values()))
-    odd = [b for b, names in steps.items() if (step in names) != (step in default)]
-    usual = F.lit(step in default)
-    return F.when(F.col("id_board").isin(odd), ~usual).otherwise(usual) if odd else usual
+def step_condition(step: str, steps: Steps) -> Column:
+    """Whether a row's board runs a step; boards that are not named run them all."""
+    without = [b for b, names in steps.items() if step not in names]
+    return ~F.coalesce(F.col("id_board").isin(without), F.lit(False)) if without else F.lit(True)
 
 
-def clean_series(df: DataFrame, slicing: sl.Slicing, steps: Mapping[str, Sequence[str]] = BOARD_STEPS,
+def clean_series(df: DataFrame, slicing: sl.Slicing, steps: Steps = MappingProxyType({}),
                  cap_min: float = C.FILL_CAP_MIN, sigma_min: float = C.FILL_SIGMA_MIN) -> DataFrame:
     """Run every board's steps in one plan over all boards.
 
@@ -54,7 +52,7 @@ def clean_series(df: DataFrame, slicing: sl.Slicing, steps: Mapping[str, Sequenc
     return gaussian_fill(d, slicing, {"tds": None}, cap_min, sigma_min, {"tds": on[ANOMALIES]})
 
 
-def clean_grid(wide: DataFrame, slicing: sl.Slicing, freq_min: int = C.FREQ_MIN, steps: Mapping[str, Sequence[str]] = BOARD_STEPS,
+def clean_grid(wide: DataFrame, slicing: sl.Slicing, freq_min: int = C.FREQ_MIN, steps: Steps = MappingProxyType({}),
                fields: Sequence[str] = C.FIELDS) -> DataFrame:
     """Cleaned, resampled to the grid and linearly filled over short gaps; rows without any value are left out."""
     fields = [f for f in fields if f in wide.columns]
@@ -64,7 +62,7 @@ def clean_grid(wide: DataFrame, slicing: sl.Slicing, freq_min: int = C.FREQ_MIN,
     return materialise(out.na.drop("all", subset=fields))
 
 
-def sync_clean(raw: DataFrame, clean: DataFrame, freq_min: int = C.FREQ_MIN, steps: Mapping[str, Sequence[str]] = BOARD_STEPS,
+def sync_clean(raw: DataFrame, clean: DataFrame, freq_min: int = C.FREQ_MIN, steps: Steps = MappingProxyType({}),
                global_watermark: bool = False, halo_min: int = C.OVERLAP_MIN) -> DataFrame:
     """New clean points: raw points from an hour before the newest clean stamp, cleaned, newer than that stamp.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,7 @@ from canopyflow.operators import slicing as sl
 from canopyflow.operators.filters import filter_fields
 from canopyflow.operators.reshape import pivot_fields
 from canopyflow.plans import features, learn, season
-from canopyflow.plans.clean import BOARD_STEPS
+from canopyflow.plans.clean import Steps
 from canopyflow.plans.cycle import sync
 from canopyflow.plans.store import ModelStore
 from canopyflow.session import materialise
@@ -35,7 +36,7 @@ def train_task(frame: DataFrame, task: C.Task, freq_min: int, specs: Sequence[le
 
 def retrain(spark: SparkSession, raw_path: str, clean_path: str, model_path: str, freq_min: int = C.FREQ_MIN, tasks: Mapping[str, C.Task] = C.TASKS,
             boards: Sequence[str] | None = None, specs: Sequence[learn.Spec] | None = None,
-            steps: Mapping[str, Sequence[str]] = BOARD_STEPS, archive_path: str | None = None, now: datetime | None = None) -> DataFrame:
+            steps: Steps = MappingProxyType({}), archive_path: str | None = None, now: datetime | None = None) -> DataFrame:
     """Bring the clean table up to date, fit the season models, search every task's models, store reports and put the winners in force.
 
     The clean table is brought up to date as ``cycle.sync`` does, from the days it needs and with archived forecasts copied back if

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyflow.config import MEASUREMENT, PACKET_FIELDS
+from canopyflow.operators.joins import upsert_points
 from canopyflow.operators.reshape import field_index, melt
 
 _MEASURES = PACKET_FIELDS[2:]
@@ -42,20 +43,23 @@ def write_dump_csv(df: DataFrame, path: str) -> None:
     df.select(*PLAIN.names).write.csv(path, header=True)
 
 
-def annotated_rows(dump: DataFrame, stop: Column) -> DataFrame:
-    """Long rows of a plain dump with the columns of the annotated form (the first, unnamed one as ``annotation``)."""
-    rows = melt(dump.select("timestamp", "_time", "node_id", *_MEASURES), ["timestamp", "_time", "node_id"], _MEASURES)
-    return field_index(rows).select(
+def _annotated(points: DataFrame, board: Column, stop: Column) -> DataFrame:
+    """Columns of the annotated form (the first, unnamed one as ``annotation``) for points with the number of their field."""
+    return points.select(
         F.lit("").alias("annotation"), F.lit("").alias("result"), F.col("table").cast("long").alias("table"),
         F.lit("1970-01-01T00:00:00Z").alias("_start"), F.date_format(stop, RFC3339).alias("_stop"),
         F.date_format("_time", RFC3339).alias("_time"), "_value", "_field",
-        F.lit(MEASUREMENT).alias("_measurement"), F.col("node_id").cast("string").alias("id_board"),
+        F.lit(MEASUREMENT).alias("_measurement"), board.cast("string").alias("id_board"),
     )
 
 
-def write_annotated_csv(dump: DataFrame, path: str, stop: Column) -> None:
-    """Annotated CSV. The annotation rows and the header lead every part file, so each part can be imported alone."""
-    rows = annotated_rows(dump, stop)
+def annotated_rows(dump: DataFrame, stop: Column) -> DataFrame:
+    """Long rows of a plain dump with the columns of the annotated form."""
+    rows = melt(dump.select("timestamp", "_time", "node_id", *_MEASURES), ["timestamp", "_time", "node_id"], _MEASURES)
+    return _annotated(field_index(rows), F.col("node_id"), stop)
+
+
+def _write_annotated(rows: DataFrame, path: str) -> None:
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("value")
     head = "\n".join([*ANNOTATIONS, ",".join(HEADER)])
 
@@ -70,6 +74,21 @@ def write_annotated_csv(dump: DataFrame, path: str, stop: Column) -> None:
     rows.select(line).mapInArrow(with_head, "value string").write.text(path)
 
 
+def write_annotated_csv(dump: DataFrame, path: str, stop: Column) -> None:
+    """Annotated CSV. The annotation rows and the header lead every part file, so each part can be imported alone."""
+    _write_annotated(annotated_rows(dump, stop), path)
+
+
+def merge_dumps(spark: SparkSession, a: str, b: str, path: str, stop: Column) -> None:
+    """Merge the annotated dump ``b`` into ``a`` and write the result in the same form: points of ``b`` win, none is there twice.
+
+    Of points of one series and second within a dump the greatest value counts: lines of a dump have no order across its parts.
+    """
+    old, new = (read_annotated_csv(spark, p).drop("table").withColumn("seq", F.col("_value")) for p in (a, b))
+    merged = field_index(upsert_points(old, new, key=("id_board", "_field", "_time")).drop("seq"))
+    _write_annotated(_annotated(merged, F.col("id_board"), stop), path)
+
+
 def read_annotated_csv(spark: SparkSession, path: str) -> DataFrame:
     """Long points of annotated CSV; annotation rows and repeated headers are skipped wherever they stand.
 

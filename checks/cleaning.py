@@ -48,7 +48,7 @@ def gaussian_fill_query(spark, sf):
     return gaussian_fill(d, s, {"leaf_temp": F.col("leaf_weight")}).select("id_board", us(), r("leaf_temp", R6).alias("leaf_temp"))
 
 
-STEPS = {"b0": clean.BOARD_STEPS[clean.C.BOARDS[0]], "b1": clean.BOARD_STEPS[clean.C.BOARDS[1]]}
+STEPS = {"b1": (clean.TDS_FLOOR, clean.LEAF_FILL, clean.ANOMALIES)}  # b0 runs them all
 _CLEANED = _WEIGHTED + """,
  s1 AS (SELECT id_board || '/leaf_temp' AS g, us::DOUBLE AS t, v, CASE WHEN id_board = 'b1' THEN 1.0 ELSE w END AS w FROM lw
   UNION ALL SELECT id_board || '/tds', epoch_us(_time)::DOUBLE, CASE WHEN NOT tds < 30 THEN tds END, 1.0 FROM wide

@@ -143,7 +143,7 @@ def valid_packets(spark, sf):
 def dump_rows(spark, sf):
     e = events.events(spark, sf).withColumn("epoch", F.unix_seconds("ts"))
     given = {"air_temp": F.col("value"), "soil_moisture": F.col("k")}
-    return e.select(dumps.local_stamp("epoch").alias("timestamp"), F.col("user_id").alias("node_id"),
+    return e.select("event_id", dumps.local_stamp("epoch").alias("timestamp"), F.col("user_id").alias("node_id"),
                     *[given.get(c, F.lit(0.0)).alias(c) for c in C.PACKET_FIELDS[2:]])
 
 
@@ -194,6 +194,24 @@ def merge_dumps(spark, sf):
     return _shown(joins.merge_dumps(hourly(p, 0, 0.0, 0), hourly(p, 30, 1.0, 0)))
 
 
+_DUMPED = "CAST(user_id AS VARCHAR) AS id_board, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) * 1000000 AS t_us"
+
+
+@query("merge_dump_files", f"""SELECT id_board, _field, t_us, coalesce(max(v) FILTER (WHERE new), max(v)) AS _value FROM (
+ SELECT {_DUMPED}, f.name AS _field, CASE f.name WHEN 'air_temp' THEN value + d.b::INT WHEN 'soil_moisture' THEN k ELSE 0.0 END AS v, d.b AS new
+ FROM ev, (VALUES (false), (true)) d(b), (VALUES ('air_temp'), ('humidity'), ('leaf_temp'), ('light_lux'), ('pressure'), ('soil_moisture'), ('tds_value'), ('water_temp')) f(name)
+ WHERE event_id % 3 <> d.b::INT) GROUP BY ALL""")
+def merge_dump_files(spark, sf):
+    """Two annotated dumps with common points, read, merged and written as a third."""
+    paths, stop = [scratch(spark) for _ in range(3)], F.lit("2024-02-01").cast("timestamp")
+    rows = dump_rows(spark, sf)
+    for new, path in enumerate(paths[:2]):
+        part = rows.where(F.col("event_id") % 3 != new).withColumn("air_temp", F.col("air_temp") + new)
+        dumps.write_annotated_csv(part.withColumn("_time", F.to_timestamp("timestamp", dumps.STAMP)), path, stop)
+    dumps.merge_dumps(spark, *paths, stop)
+    return dumps.read_annotated_csv(spark, paths[2]).select("id_board", "_field", us(), "_value")
+
+
 @query("upsert_table", _UPSERTED, "points", _HOURLY)
 def upsert_table(spark, sf):
     """The same upsert through a versioned table: the second write adds a part, reading merges the two."""

@@ -63,7 +63,7 @@ def test_retrain_and_score(spark, tmp_path):
     raw_path, clean_path, archive, models = (str(tmp_path / n) for n in ("raw", "clean", "archive", "models"))
     tables.write_points(raw_points(spark, n=700), raw_path)
     ridge = [learn.Spec("Ridge_linear", "ridge", {"alpha": [1.0]})]
-    steps = {"b0": clean.BOARD_STEPS[C.BOARDS[0]]}
+    steps = {"b1": (clean.TDS_FLOOR, clean.LEAF_FILL)}
     out = retrain.retrain(spark, raw_path, clean_path, models, 6, tasks, None, ridge, steps)
     assert out.count() == 3
     with pytest.raises(ValueError):
