@@ -8,8 +8,8 @@ neighbours comes in one of two ways:
                   next known values, run positions),
 * ``row_halo``  - the few rows next to the slice are copied in (lags, row frames).
 
-Both are exact for every slice width. The narrowest width is a second: rows of one key and one second always share a slice, so a
-slice holds more than ``MAX_ROWS`` rows only where a single second of a key does.
+Both are exact for every slice width. Stamps have microseconds, and so has the narrowest width: a slice holds more than ``MAX_ROWS`` rows
+only where a single stamp of a key does.
 """
 
 from __future__ import annotations
@@ -27,27 +27,35 @@ SLICE = "_slice"
 HALO = "_halo"
 _WIDTH = "_slice_width"
 DAY = 86_400
-RUNGS = (28 * DAY, DAY, 3_600, 60, 1)
+RUNGS = (28 * DAY, DAY, 3_600, 60, 1, 0.001, 0.000001)
 MAX_ROWS = 2_000_000
 
 
+def micros(seconds: float) -> int:
+    return round(seconds * 1_000_000)
+
+
+def slice_of(time: str, width_us: Column) -> Column:
+    """Number of the slice a stamp falls in. Stamps stay below 2 ** 53 microseconds for centuries, so the quotient is exact enough."""
+    return F.floor(F.unix_micros(time) / width_us)
+
+
 @dataclass(frozen=True)
 class Slicing:
     """How series are cut: key columns, time column, width in seconds, narrower widths of hot keys."""
 
     key: tuple[str, ...]
     time: str = "_time"
-    width_s: int = RUNGS[0]
+    width_s: float = RUNGS[0]
     hot: DataFrame | None = field(default=None, compare=False)
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add the slice number of each row."""
-        seconds = F.unix_seconds(self.time)
         if self.hot is None:
-            return df.withColumn(SLICE, F.floor(seconds / F.lit(self.width_s)))
+            return df.withColumn(SLICE, slice_of(self.time, F.lit(micros(self.width_s))))
         joined = df.join(self.hot, list(self.key), "left")  # a row per hot key; adaptive execution picks the join by its size
-        width = F.coalesce(F.col(_WIDTH), F.lit(self.width_s))
-        return joined.withColumn(SLICE, F.floor(seconds / width)).drop(_WIDTH)
+        width = F.coalesce(F.col(_WIDTH), F.lit(micros(self.width_s)))
+        return joined.withColumn(SLICE, slice_of(self.time, width)).drop(_WIDTH)
 
     def window(self, *order: str | Column) -> WindowSpec:
         return Window.partitionBy(*self.key, SLICE).orderBy(*order)
@@ -75,7 +83,7 @@ def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int |
     narrowest = RUNGS[0]
     for i, width in enumerate(RUNGS[:-1]):
         full = (
-            todo.groupBy(*key, F.floor(F.unix_seconds(time) / F.lit(width)).alias(SLICE))
+            todo.groupBy(*key, slice_of(time, F.lit(micros(width))).alias(SLICE))
             .count().where(F.col("count") > max_rows).select(*key, F.lit(1).alias("_one")).distinct().drop("_one")
         )
         if full.isEmpty():
@@ -83,7 +91,7 @@ def fit(df: DataFrame, key: Sequence[str], time: str = "_time", max_rows: int |
         narrowest = RUNGS[i + 1]
         if key:
             full = materialise(full)
-            widths.append(full.withColumn(_WIDTH, F.lit(narrowest).cast("long")))
+            widths.append(full.withColumn(_WIDTH, F.lit(micros(narrowest)).cast("long")))
             todo = todo.join(full, list(key), "left_semi")
     if not widths:
         return Slicing(key, time, narrowest)
