@@ -39,7 +39,8 @@ class Capacity:
 def cut(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each whole text and ``end_id``; documents of more than ``longest`` ids are cut in pieces of so many, the first being
     what is left over. Per piece: id, ``piece``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), and ``task`` and
-    ``nth``: the piece is the nth of its length in its task. A null or empty text is one piece with the end id. No shuffle."""
+    ``nth``: the piece is the nth of its length in its task. A null or empty text is one piece with the end id; a very long
+    text gives many pieces; null ids stay null, repeated rows are documents of their own; an empty table gives none. No shuffle."""
     def run(batches):
         lib, seen, task = encoder(tokenizer), np.zeros(longest + 1, np.int64), TaskContext.get().partitionId()
         end = np.asarray([end_id], ID)

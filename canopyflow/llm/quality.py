@@ -133,7 +133,8 @@ def score(docs: DataFrame, space: Space, neighbours: int = 15, sharpness: float
 
     The labelled vectors go along with the tasks: their number is bounded by ``fit``. A text without characters has no neighbours and
     takes the share of label 1, as all do if nothing is labelled (then 0.5). A null text is empty, a null id stays null and is not held
-    out, equal rows give equal rows. No shuffle.
+    out, equal rows give equal rows, up to ties between neighbours of one cosine; very long texts are counted whole; an empty table gives
+    none. No shuffle.
     """
     def run(batches):
         for part in text_slices(batches, "_text"):

@@ -132,8 +132,8 @@ def link_prints(prints: DataFrame, radius: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, the smallest id reachable by links of at most ``radius`` bits.
 
-    Copies share a fingerprint and are looked at once. One row per input row; a null text has no words (fingerprint zero); null ids
-    count as no id, so a component of null ids has none; other columns are not read.
+    Copies share a fingerprint and are looked at once. One row per input row; a null text has no words (fingerprint zero); very long texts
+    are read whole; null ids count as no id, so a component of null ids has none; other columns are not read; an empty table gives none.
     """
     rows = stored(fingerprints(docs, words, seed, id_col, text_col))
     prints = stored(rows.groupBy("print").agg(F.min("id").alias("first")))

@@ -399,8 +399,9 @@ def cut_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
 
     Removed is each byte covered by a string of ``length`` bytes that also starts earlier: in a document before (smaller id; rows
     with one id, and rows without an id, which come first, in the order of their texts' hashes) or earlier in the same one. Matches never cross
-    documents; strings are judged on the input. ``whole_characters`` leaves a character that a span would cut. A null text is empty.
-    One row per input row; of equal rows the first one keeps its text. Contexts are compared by 128 bits of hashes before bytes are.
+    documents; strings are judged on the input. ``whole_characters`` leaves a character that a span would cut. A null text is empty;
+    very long texts are cut like others, in windows. One row per input row, none for an empty table; of equal rows the first one keeps its text.
+    Contexts that are equal, or around very frequent or crowded anchors, are told apart by 128 bits of hashes; the others by their bytes.
     """
     if length <= _ANCHOR:
         raise ValueError(f"strings must be longer than {_ANCHOR} bytes")

@@ -17,7 +17,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``tokenizer`` is a tokenizers ``.json`` or a sentencepiece ``.model`` file that every executor can open. A ``.json`` text of more
     than ``chunk_chars`` characters is encoded in overlapping chunks with offsets, spliced where both chunks begin a word; overlaps
     without such a place are doubled (``n_chunks``, ``n_widened``). One row per input row, in any order: equal rows give equal
-    rows, a null or empty text has 0 bytes and 0 tokens, a null id stays null, other columns are not read. No shuffle.
+    rows, a null or empty text has 0 bytes and 0 tokens, a null id stays null, other columns are not read; an
+    empty table gives none. No shuffle.
     """
     def run(batches):
         counter = _pieces(tokenizer) if tokenizer.endswith(".model") else _by_chunks(encoder(tokenizer), chunk_chars, overlap_chars)

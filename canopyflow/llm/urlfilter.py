@@ -20,7 +20,7 @@ _STATES = 64 * 64
 
 @dataclass(frozen=True)
 class Rule:
-    """``host/path`` with ``*`` (any run of characters, within the host or within the path) and ``?`` (one character).
+    """``host/path`` with ``*`` (any run of characters, within the host or within the path) and ``?`` (one byte, so one ASCII character).
 
     A rule fits its host and all subdomains, and every path that begins with the rule's.
     """
@@ -130,7 +130,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = ALLOW, id
     """Id, host, path, the longest rule that fits (null if none; of equally long ones the first in the list) and its verdict.
 
     The rule list is the caller's and goes along with the tasks. One row per input row, so equal rows give equal rows; a null or
-    empty url has empty host and path and takes the default; a null id stays null; other columns are not read. No shuffle.
+    empty url has empty host and path and takes the default; a null id stays null; other columns are not read;
+    an empty table gives none; a very long url is read whole, byte by byte. No shuffle.
     """
     rules = list(rules)
     texts = [r.text for r in rules]
