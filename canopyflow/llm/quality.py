@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,11 @@ from pyspark.sql import types as T
 
 from canopyflow.llm.common import field, map_arrow, stored, text_slices
 
-#: hashed terms, and a text's length beyond which it is read piece by piece
-_TERMS, _PIECE = 2048, 1 << 20
+#: hashed n-grams and marks, hashed words, and a text's length beyond which its n-grams are read piece by piece
+_SHAPES, _WORDS, _PIECE = 2048, 1024, 1 << 20
+_TERMS = _SHAPES + _WORDS
+#: rows of a product of matrices: always so many, because a row's rounding may depend on their number
+_ROWS = 256
 _MARKS = ("again", "again after one", "again after two", "words", "distinct words")
 
 
@@ -31,9 +35,9 @@ _CLASS = _classes()
 
 
 def terms(text: str) -> np.ndarray:
-    """Counts of hashed terms of a whole text: character-class n-grams of 1 to 4, and words that come again."""
+    """Counts of hashed terms of a whole text: character-class n-grams of 1 to 4, words that come again, and words (A-Z in lower case)."""
     raw = text.encode()
-    counts = np.zeros(_TERMS, np.float64)
+    counts = np.zeros(_SHAPES, np.float64)
     kinds = raw.translate(_CLASS)
     for start in range(0, len(kinds), _PIECE):
         x = np.frombuffer(kinds, np.uint8)[start:start + _PIECE + 3].astype(np.uint32)
@@ -41,12 +45,14 @@ def terms(text: str) -> np.ndarray:
         for n in range(1, 5):
             code = code[:len(x) - n + 1] * np.uint32(257) + x[n - 1:]
             mixed = (code ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            counts += np.bincount((mixed[:_PIECE] >> np.uint32(16)) % np.uint32(_TERMS - len(_MARKS)), minlength=_TERMS)
+            counts += np.bincount((mixed[:_PIECE] >> np.uint32(16)) % np.uint32(_SHAPES - len(_MARKS)), minlength=_SHAPES)
     words = raw.split()
     for lag in (1, 2, 3):
         counts[-lag] = sum(map(bytes.__eq__, words, words[lag:]))
     counts[-4], counts[-5] = len(words), len(set(words))
-    return counts
+    told = Counter(raw.lower().split())
+    place = np.fromiter((zlib.crc32(w) % _WORDS for w in told), np.int64, len(told))
+    return np.append(counts, np.bincount(place, np.fromiter(told.values(), np.float64, len(told)), minlength=_WORDS))
 
 
 def weigh(counts: np.ndarray) -> np.ndarray:
@@ -55,6 +61,12 @@ def weigh(counts: np.ndarray) -> np.ndarray:
     return np.log1p(counts / total * 1000)
 
 
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows times a matrix, in blocks of one size: equal rows give equal results, whatever stands beside them."""
+    out = [np.concatenate([x[i:i + _ROWS], np.zeros((max(0, i + _ROWS - len(x)), x.shape[1]), x.dtype)]) @ y for i in range(0, len(x), _ROWS)]
+    return np.concatenate(out)[:len(x)] if out else np.zeros((0, y.shape[1]), np.float32)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
@@ -73,15 +85,20 @@ class Space:
         return float(self.labels.mean()) if len(self.labels) else 0.5
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return unit((weigh(counts) * self.idf) @ self.basis)
+        return unit(_product(weigh(counts) * self.idf, self.basis))
 
     def vote(self, x: np.ndarray, neighbours: int, sharpness: float) -> np.ndarray:
-        """Mean label of the nearest labelled vectors, each weighted by its cosine."""
+        """Mean label of the nearest labelled vectors, each weighted by its cosine; of equally near ones those with the smallest ids count."""
         if not len(self.labels):
             return np.full(len(x), self.prior)
-        cos = x @ self.vectors.T
+        cos = _product(x, self.vectors.T)
         k = min(neighbours, cos.shape[1])
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        last = np.take_along_axis(cos, near, axis=1).min(axis=1)
+        for i in np.flatnonzero((cos >= last[:, None]).sum(axis=1) > k).tolist():  # more are as near as the last one
+            above = np.flatnonzero(cos[i] > last[i])
+            near[i] = np.append(above, np.flatnonzero(cos[i] == last[i])[:k - len(above)])
+        near.sort(axis=1)
         weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** sharpness
         total = weight.sum(axis=1)
         return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-300), self.prior)
@@ -96,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 8192, dimensions: int =
     """Learn from at most ``bound`` labelled documents (the smallest hashes of their ids) that are not held out.
 
     Documents with several different labels, and null labels, are left out; of documents that share an id the least text counts.
-    The driver gets ``bound`` vectors of hashed terms at most, compressed, and holds them once, 8 kB each.
+    The driver gets ``bound`` vectors of hashed terms at most, compressed, and holds them once, 12 kB each.
     """
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("_most")).where("label = _most")
@@ -133,8 +150,7 @@ def score(docs: DataFrame, space: Space, neighbours: int = 15, sharpness: float
 
     The labelled vectors go along with the tasks: their number is bounded by ``fit``. A text without characters has no neighbours and
     takes the share of label 1, as all do if nothing is labelled (then 0.5). A null text is empty, a null id stays null and is not held
-    out, equal rows give equal rows, up to ties between neighbours of one cosine; very long texts are counted whole; an empty table gives
-    none. No shuffle.
+    out, equal texts have equal scores; very long texts are counted whole; an empty table gives none. No shuffle.
     """
     def run(batches):
         for part in text_slices(batches, "_text"):

@@ -46,3 +46,26 @@ def test_votes_are_exact():
         w = np.maximum(v[near] @ q, 0) ** 4
         assert abs(got - (w * space.labels[near]).sum() / w.sum()) < 1e-5
     assert terms("").sum() == 0
+
+
+def test_equal_texts_have_equal_scores_wherever_they_stand():
+    """Whatever stands beside a text, and of equally near labelled texts those with the smallest ids vote."""
+    from canopyflow.llm.quality import Space, unit
+    rnd = np.random.default_rng(2)
+    counts = np.stack([terms(" ".join(rnd.choice(["Alpha", "beta,", "GAMMA!", "12", "delta"], 40))) for _ in range(700)])
+    basis = rnd.standard_normal((counts.shape[1], 16)).astype(np.float32)
+    vectors = unit(counts[:90] @ basis)
+    vectors[30:60] = vectors[5]  # thirty-one that are equally near
+    labels = np.zeros(90)
+    labels[[5, *range(30, 38)]] = 1
+    space = Space(np.ones(counts.shape[1]), basis, vectors, labels)
+    alone = np.concatenate([space.vote(space.project(counts[i:i + 1]), 9, 16.0) for i in range(0, 700, 7)])
+    together = space.vote(space.project(counts), 9, 16.0)[::7]
+    assert np.array_equal(alone, together)
+    assert space.vote(vectors[5:6], 9, 16.0)[0] == 1.0
+
+
+def test_words_are_among_the_terms():
+    a, b = terms("the red house"), terms("the big horse")
+    shapes = a[:2048], b[:2048]
+    assert np.array_equal(*shapes) and not np.array_equal(a, b) and np.array_equal(a[2048:], terms("The  RED\nhouse")[2048:]) and a[2048:].sum() == 3
