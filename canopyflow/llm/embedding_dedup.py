@@ -14,8 +14,8 @@ from canopyflow.llm.common import keyed_chunks, local_labels, map_arrow, shuffle
 from canopyflow.llm.components import connected_components
 
 _SHARD = 256
-#: vectors of the largest label that a bucket holds, if they lie anywhere
-_BUCKET = 16
+#: others of the largest label that a vector shares a bucket of a table with, if they lie anywhere: rows that are alone stay where they are
+_BUCKET = 0.25
 
 
 def usable(vector: Column) -> Column:
@@ -68,7 +68,7 @@ def _pairs(meet, left, right, sign, x, limit):
 
 
 def hyperplanes(largest: int, limit: float, missed: float = 3e-5) -> tuple[int, int]:
-    """Bits of a table, and tables: vectors of the largest label that lie anywhere share a bucket with some ``_BUCKET`` others of a table,
+    """Bits of a table, and tables: vectors of the largest label that lie anywhere share a bucket with ``_BUCKET`` others of a table on average,
     whatever their number; two just at the limit share none in all tables with probability ``missed`` at most."""
     bits = min(max(4, math.ceil(math.log2(max(largest, 1) / _BUCKET))), 62)
     alike = (1 - math.acos(min(max(limit, -1.0), 1.0)) / math.pi) ** bits
