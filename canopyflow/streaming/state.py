@@ -127,8 +127,8 @@ def stream_fallback(df: DataFrame, key: str = "id_board", uses: int = C.READING_
 class _Commands(StatefulProcessor):
     """Sends of the open command of a node: at once, then after each wait until it is acknowledged or replaced."""
 
-    def __init__(self, retry_ms: int, attempts: int):
-        self.retry_ms, self.attempts = retry_ms, attempts
+    def __init__(self, retry_ms: int, attempts: int, event_time: bool):
+        self.retry_ms, self.attempts, self.event_time = retry_ms, attempts, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -175,7 +175,10 @@ class _Commands(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
         pending = self.open.get() if self.open.exists() else None
-        pending = self._until(pending, expiredTimerInfo.getExpiryTimeInMs() + 1, out, key[0])
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.event_time:  # the watermark may have passed later waits too, and no batch need follow this one
+            now = max(now, timerValues.getCurrentWatermarkInMs())
+        pending = self._until(pending, now + 1, out, key[0])
         self._keep(pending)
         yield self._frame(out)
 
@@ -193,4 +196,4 @@ def stream_commands(df: DataFrame, retry_ms: int = C.COMMAND_RETRY_S * 1000, att
     d = df.select("node_id", "seq", "_time", "is_command", F.unix_millis("_time").alias("at_ms"))
     out = T.StructType([df.schema["node_id"], T.StructField("seq", T.LongType()), T.StructField("attempt", T.IntegerType()),
                         T.StructField("at_ms", T.LongType()), T.StructField("event", T.StringType())])
-    return d.groupBy("node_id").transformWithStateInPandas(_Commands(retry_ms, attempts), out, "Append", time_mode)
+    return d.groupBy("node_id").transformWithStateInPandas(_Commands(retry_ms, attempts, time_mode == "EventTime"), out, "Append", time_mode)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from canopyflow.session import materialise, prepare
 from canopyflow.sources import events, packets, rings, tables
 from canopyflow.streaming import controller, state, telemetry
-from checks import sequences
+from checks import joins, sequences
 from checks.basics import r
 from checks.registry import SQL, query
 from checks.scans import packet_rows, scratch, us
@@ -105,11 +105,18 @@ def stream_points(spark, sf):
     return tables.read_table(spark, path).select("id_board", "_field", us(), "_value")
 
 
-@query("stream_commands")
+@query("stream_commands", f"""SELECT node_id, seq, CAST(a AS INT) AS attempt, t // 1000 + (a - 1) * {3 * HOUR // 1000} AS at_ms FROM ended, (VALUES (1), (2), (3)) v(a)
+WHERE a = 1 OR t + (a - 1) * 3 * {HOUR} < end_us""", "packets", joins._OUT)
 def stream_commands(spark, sf):
-    s = source(spark, sf).where(F.col("event_type").isin("purchase", "signup")).withWatermark("_time", "1 hour")
-    d = s.select("node_id", "seq", "_time", (F.col("event_type") == "purchase").alias("is_command"))
-    return taken(spark, state.stream_commands(d, 3 * HOUR // 1000, time_mode="EventTime"))
+    """All sends of commands; a late acknowledgement of another node moves the watermark past the last retries."""
+    p = events.packets(spark, sf).where(F.col("event_type").isin("purchase", "signup"))
+    d = p.select("node_id", "seq", "_time", (F.col("event_type") == "purchase").alias("is_command"))
+    end = d.agg(F.max("_time").alias("_last")).select(F.lit("end").alias("node_id"), F.lit(0).cast("long").alias("seq"), (F.col("_last") + F.expr("INTERVAL 90 DAYS")).alias("_time"), F.lit(False).alias("is_command"))
+    path = scratch(spark)
+    d.unionByName(end).write.parquet(path)
+    rows = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1000).parquet(path).withWatermark("_time", "1 hour")
+    sent = taken(spark, state.stream_commands(rows, 3 * HOUR // 1000, time_mode="EventTime")).where("event = 'sent'")
+    return sent.select("node_id", "seq", "attempt", "at_ms")
 
 
 class Arrivals:
