@@ -133,6 +133,8 @@ def grid_search(train: DataFrame, test: DataFrame, specs: Sequence[Spec], cols:
     terms = {n: ridge.cubic(_own(s, cols), base) if s.poly else ridge.linear(_own(s, cols)) for n, s in ridges.items()}
     solved = ridge.grid(train, terms, {n: [p["alpha"] for p in s.candidates()] for n, s in ridges.items()}, target, folds) if ridges else []
     known = {(s.variant, s.penalty, s.fold): s.mae for s in solved}
+    if ridges and {k for *_, k in known} != set(range(folds)):
+        raise ValueError(f"too few rows for {folds} time folds")
     parts, sizes = [], []
     if len(ridges) < len(specs):
         marked = materialise(ts_folds(train, sl.fit(train, []), folds), "fold", "role")  # a fit reads its own fold and role only

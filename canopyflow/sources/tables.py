@@ -22,8 +22,6 @@ POINT = T.StructType([
 ])
 POINT_KEY = ("measurement", "id_board", "model_source", "freq", "_field", "_time")
 DAY = "day"
-#: parts from which a write merges the newest ones
-_MOST_PARTS = 8
 
 
 def as_points(df: DataFrame, **tags: str) -> DataFrame:
@@ -69,10 +67,7 @@ def write_points(points: DataFrame, path: str, writer: str | None = None, batch:
     A streaming ``writer`` numbers its batches; a batch that comes again is left out.
     """
     table = point_table(points.sparkSession, path)
-    version = table.append(as_points(points).where("_value is not null"), writer, batch)
-    if len(version.parts) > _MOST_PARTS:
-        table.compact()
-        table.vacuum()
+    table.tidy(table.append(as_points(points).where("_value is not null"), writer, batch))
 
 
 def save_predictions(preds: DataFrame, clean_path: str, archive_path: str, model_source: str | None, freq_min: int) -> DataFrame:

@@ -185,6 +185,12 @@ class VersionedTable:
 
         return self._commit(change)
 
+    def tidy(self, version: Version, most: int = 8) -> None:
+        """Merge the newest parts, and drop old versions, once a version has more than ``most`` parts."""
+        if len(version.parts) > most:
+            self.compact()
+            self.vacuum()
+
     def vacuum(self, keep: int = 2, grace_s: float = 86_400) -> None:
         """Drop all but the newest ``keep`` versions, and parts of none of these that are older than ``grace_s`` seconds: a younger one
         may be of a write that is not committed yet."""

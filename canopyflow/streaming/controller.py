@@ -190,9 +190,11 @@ def run_controller(rows: DataFrame, points_path: str, commands_path: str, checkp
         spark = batch.sparkSession
         name, held = telemetry.stream_id(spark, checkpoint), materialise(batch)
         tables.write_points(to_points(held, ("id_board", "_time", "seq"), [f for f in C.FIELDS if f in held.columns]), points_path, name, i)
-        command_table(spark, commands_path).append(fired_commands(held, rules), name, i)
+        commands = command_table(spark, commands_path)
+        commands.tidy(commands.append(fired_commands(held, rules), name, i))
         if topology_path is not None:
             heard = held.where(F.col("star_id").isNotNull()).select(F.col("id_board").alias("node_id"), "star_id", "_time", "seq")
-            telemetry.topology_table(spark, topology_path).append(latest_per(heard, ["node_id"], ["_time", "seq"]), name, i)
+            hubs = telemetry.topology_table(spark, topology_path)
+            hubs.tidy(hubs.append(latest_per(heard, ["node_id"], ["_time", "seq"]), name, i))
 
     return telemetry.run(rows, each, checkpoint, once)

@@ -21,8 +21,6 @@ from canopyflow.streaming.state import stream_fallback
 
 TOPOLOGY = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("star_id", T.StringType()),
                          T.StructField("_time", T.TimestampType()), T.StructField("seq", T.LongType())])
-#: parts from which the topology's newest ones are merged
-_MOST_PARTS = 8
 
 
 def with_event_time(df: DataFrame, lateness: str = "10 minutes", device: str | None = "timestamp", arrival: str | None = None) -> DataFrame:
@@ -104,10 +102,7 @@ def stream_topology(packets: DataFrame, path: str, checkpoint: str, once: bool =
         spark = batch.sparkSession
         table = topology_table(spark, path)
         heard = batch.where(F.col("star_id").isNotNull()).select(*TOPOLOGY.names)
-        version = table.append(latest_per(heard, ["node_id"], ["_time", "seq"]), stream_id(spark, checkpoint), i)
-        if len(version.parts) > _MOST_PARTS:
-            table.compact()
-            table.vacuum()
+        table.tidy(table.append(latest_per(heard, ["node_id"], ["_time", "seq"]), stream_id(spark, checkpoint), i))
 
     return run(packets, each, checkpoint, once)
 
