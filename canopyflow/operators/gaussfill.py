@@ -10,13 +10,17 @@ filled from its true start.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import replace
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopyflow import config as C
 from canopyflow.operators.slicing import SLICE, Slicing, edge_rows, link
@@ -24,6 +28,8 @@ from canopyflow.session import materialise
 
 _COL = "_col"
 MINUTE_US = 60_000_000.0
+#: entries that a task works through at once
+CHUNK = 50_000
 
 
 def _weights(t: np.ndarray, w: np.ndarray, at: np.ndarray, ot: np.ndarray, ow: np.ndarray, sigma: float):
@@ -43,32 +49,91 @@ def _weights(t: np.ndarray, w: np.ndarray, at: np.ndarray, ot: np.ndarray, ow: n
     return wb / total[:, None], wa / total[:, None], a
 
 
-def _solve(pdf: pd.DataFrame, sigma: float, as_map: bool) -> tuple[pd.DataFrame, np.ndarray]:
-    """Entries of a slice in time order and their values, or their affine maps when the start is not known yet."""
-    pdf = pdf.sort_values("t", kind="stable")
-    seq = pdf[pdf["part"] <= 0]
-    known = pdf[pdf["v"].notna() & (pdf["original"])]
-    t, v, w = seq["t"].to_numpy(float), seq["v"].to_numpy(float), seq["w"].to_numpy(float)
-    ot, ov, ow = (known[c].to_numpy(float) for c in ("t", "v", "w"))
-    open_at = np.isnan(v)
-    at = np.flatnonzero(open_at & (seq["part"].to_numpy() == 0))
-    width = C.FILL_BEFORE + 1 if as_map else 1
-    x = np.zeros((len(v), width))
-    x[:, -1] = np.nan_to_num(v)
-    if as_map:  # unknown starting values are the inputs of the map
-        start = np.flatnonzero(open_at & (seq["part"].to_numpy() < 0))
-        x[start, start] = 1.0
-    if len(at):
-        wb, wa, a = _weights(t, w, at, ot, ow, sigma)
-        const = (wa * (ov[a] if len(ov) else 0.0)).sum(1)
-        # a fill with none among the values before it begins an island: the first fills of all islands are made together, then the second ones
-        begins = np.append(True, np.diff(at) > C.FILL_BEFORE)
-        rank = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-        for k in np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1]):
-            i = at[k]
-            x[i] = np.einsum("kb,kbw->kw", wb[k], x[np.maximum(i[:, None] - C.FILL_BEFORE + np.arange(C.FILL_BEFORE), 0)])
-            x[i, -1] += const[k]
-    return seq, x
+class _Slice:
+    """A slice's entries as they come in time order, filled some at a time; or their affine maps when the start is not known yet.
+
+    An entry can be filled once two original values after it are there, and leaves when it is: what is held is a chunk, the values of the
+    five entries before it, and what lies between two known values.
+    """
+
+    def __init__(self, sigma: float, as_map: bool):
+        self.sigma, self.as_map, self.width = sigma, as_map, C.FILL_BEFORE + 1 if as_map else 1
+        self.held, self.n, self.room = [], 0, CHUNK
+        self.lead = np.zeros(0), np.zeros(0), np.zeros((0, self.width))  # times, weights and values of the last entries
+
+    def add(self, part: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take entries (t, v, w, original, part, t as a whole number); times and values of those that are filled by now."""
+        self.held.append(part)
+        self.n += len(part[0])
+        if self.n >= self.room:
+            rows = [np.concatenate(x) for x in zip(*self.held)]
+            known = rows[0][rows[3] & ~np.isnan(rows[1])]
+            cut = int(np.searchsorted(rows[0], known[-2])) if len(known) > 1 else 0  # before two known values
+            if cut:
+                yield self._solve(rows, cut)
+            self.held, self.n = [[x[cut:].copy() for x in rows]], len(rows[0]) - cut
+            self.room = max(CHUNK, 2 * self.n)
+
+    def close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.n:
+            rows = [np.concatenate(x) for x in zip(*self.held)]
+            yield self._solve(rows, self.n)
+
+    def _solve(self, rows: list[np.ndarray], cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """Work the first ``cut`` entries through; the others are what follows them."""
+        t, v, w, original, part, stamp = rows
+        known = original & ~np.isnan(v)
+        ot, ov, ow = t[known], v[known], w[known]
+        mine = np.flatnonzero(part[:cut] <= 0)
+        t, v, w, original, own, stamp = t[mine], v[mine], w[mine], original[mine], part[mine] == 0, stamp[mine]
+        lead_t, lead_w, lead_x = self.lead
+        first = len(lead_t)
+        x = np.zeros((first + len(v), self.width))
+        x[:first], x[first:, -1] = lead_x, np.nan_to_num(v)
+        t, w = np.concatenate([lead_t, t]), np.concatenate([lead_w, w])
+        if self.as_map:  # unknown starting values are the inputs of the map
+            start = np.flatnonzero(np.isnan(v) & ~own) + first
+            x[start, start] = 1.0
+        at = np.flatnonzero(np.isnan(v) & own) + first
+        if len(at):
+            wb, wa, a = _weights(t, w, at, ot, ow, self.sigma)
+            const = (wa * (ov[a] if len(ov) else 0.0)).sum(1)
+            # a fill with none among the values before it begins an island: the first fills of all islands are made together, then the second ones
+            begins = np.append(True, np.diff(at) > C.FILL_BEFORE)
+            rank = np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+            for k in np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1]):
+                i = at[k]
+                x[i] = np.einsum("kb,kbw->kw", wb[k], x[np.maximum(i[:, None] - C.FILL_BEFORE + np.arange(C.FILL_BEFORE), 0)])
+                x[i, -1] += const[k]
+        self.lead = tuple(y[-C.FILL_BEFORE:].copy() for y in (t, w, x))
+        made = ~original & own
+        return stamp[made], x[first:][made, -1]
+
+
+def _worked(batches: Iterator[pa.RecordBatch], on: list[str], sigma: float, as_map: bool) -> Iterator[tuple[list[pa.Scalar], _Slice, Iterator]]:
+    """Each slice's key, its state and what ``add`` and ``close`` give, out of a task's rows ordered by slice and time; the last has to be used up."""
+    def runs():
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for c in on:
+                new[1:] |= np.diff(pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy()) != 0
+            number = [pc.cast(batch.column(c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("t", "v", "w")]
+            number += [batch.column("original").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(), pc.fill_null(batch.column("t"), 0).to_numpy()]
+            edges = np.append(np.flatnonzero(new), batch.num_rows).tolist()
+            for i, j in zip(edges[:-1], edges[1:]):
+                yield [batch.column(c)[i] for c in on], [x[i:j] for x in number]
+
+    for _, parts in groupby(runs(), key=lambda x: [k.as_py() for k in x[0]]):
+        s, first = _Slice(sigma, as_map), next(parts)
+
+        def solved(s=s, parts=chain([first], parts)):
+            for _, part in parts:
+                yield from s.add(part)
+            yield from s.close()
+        yield first[0], s, solved()
 
 
 def _entries(df: DataFrame, slicing: Slicing, cols: Mapping[str, Column | None], cap_us: int, when: Mapping[str, Column]) -> tuple[DataFrame, Slicing]:
@@ -140,33 +205,53 @@ def gaussian_fill(df: DataFrame, slicing: Slicing, cols: Mapping[str, Column | N
     if not before.where(~F.col("original")).isEmpty():
         before = _with_starts(before, rows, per, key_ddl, sigma_min)
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, x = _solve(pdf, sigma_min, False)
-        made = (~seq["original"] & (seq["part"] == 0)).to_numpy()
-        out = seq.loc[made, [*per.key, "t"]].copy()
-        out["filled"] = x[made, -1]
-        return out
+    fields = [*e.select(*per.key, "t").schema, T.StructField("filled", T.DoubleType())]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+
+        def flush():
+            return pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.select(*per.key, "t").schema) + ", filled double"
-    fills = rows.unionByName(before).groupBy(*on).applyInPandas(finish, out_ddl)
+        for key, _, parts in _worked(batches, on, sigma_min, False):
+            for t, filled in parts:
+                if len(t):
+                    own = [pa.repeat(k, len(t)) for k in key[:-1]]
+                    out.append(pa.RecordBatch.from_arrays([*own, pa.array(t), pa.array(filled, from_pandas=True)], [*per.key, "t", "filled"]))
+                    n += len(t)
+                if n >= CHUNK:
+                    yield from flush()
+                    out, n = [], 0
+        if out:
+            yield from flush()
+
+    fills = _in_order(rows.unionByName(before), on).mapInArrow(finish, T.StructType(fields))
     wide = fills.groupBy(*slicing.key, "t").agg(*[F.max(F.when(F.col(_COL) == c, F.col("filled"))).alias(f"_g_{c}") for c in cols])
     wide = wide.withColumn(slicing.time, F.timestamp_micros("t")).drop("t")
     j = df.join(wide, [*slicing.key, slicing.time], "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"_g_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _in_order(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Each slice in one task, its rows in time order; those without a time last."""
+    return rows.repartition(*on).sortWithinPartitions(*on, F.col("t").asc_nulls_last())
+
+
 def _with_starts(before: DataFrame, rows: DataFrame, per: Slicing, key_ddl: str, sigma: float) -> DataFrame:
     """Give the fills among the rows ahead of each slice their values."""
     on = [*per.key, SLICE]
+    fields = [*rows.select(*on).schema, T.StructField("m", T.ArrayType(T.DoubleType()))]
 
-    def to_map(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, x = _solve(pdf, sigma, True)
-        last = x[-C.FILL_BEFORE:]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in on), last.ravel().tolist()]], columns=[*on, "m"])
+    def to_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, s, parts in _worked(batches, on, sigma, True):
+            for _ in parts:
+                pass
+            m = pa.array([s.lead[2].ravel()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(k, 1) for k in key), m], [*on, "m"])
 
-    maps = rows.unionByName(before).groupBy(*on).applyInPandas(to_map, f"{key_ddl}, m array<double>")
+    maps = _in_order(rows.unionByName(before), on).mapInArrow(to_map, T.StructType(fields))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
         state, starts = np.zeros(0), []
         pdf = pdf.sort_values(SLICE)
         for m in pdf["m"]:
@@ -177,7 +262,7 @@ def _with_starts(before: DataFrame, rows: DataFrame, per: Slicing, key_ddl: str,
             state = step @ full
         return pdf[on].assign(start=starts)
 
-    starts = maps.groupBy(*per.key).applyInPandas(chain, f"{key_ddl}, start array<double>")  # one row per slice
+    starts = maps.groupBy(*per.key).applyInPandas(chained, f"{key_ddl}, start array<double>")  # one row per slice
     ranked = before.withColumn("_k", F.row_number().over(per.window("t")))
     j = ranked.join(starts, on)
     return j.withColumn("v", F.coalesce("v", F.get("start", F.col("_k") - 1))).drop("_k", "start").select(before.columns)

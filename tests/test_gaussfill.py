@@ -4,10 +4,11 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canopyflow.operators import slicing
+from canopyflow.operators import gaussfill, slicing
 from canopyflow.operators.gaussfill import gaussian_fill
 
 T0 = datetime(2024, 3, 1)
@@ -65,6 +66,32 @@ def test_equals_loop(spark, width):
         assert r.y == 7.0
 
 
+@pytest.mark.parametrize("width", [slicing.RUNGS[0], 3600])
+def test_a_slice_is_worked_through_in_chunks(spark, monkeypatch, width):
+    """Whatever a slice holds, only a chunk of it and what lies between two known values is in a task's memory."""
+    rows = [row for s in range(40) for row in series(s)]
+    rows = [(3 * i, v, w) for i, (_, v, w) in enumerate(rows)]
+    df = spark.createDataFrame([("b0", T0 + timedelta(minutes=t), v, float(w)) for t, v, w in rows], "id_board string, _time timestamp, x double, w double")
+
+    def filled():
+        return gaussfill.gaussian_fill(df, slicing.Slicing(("id_board",), width_s=width), {"x": F.col("w")}).orderBy("_time").collect()
+
+    whole = loop(rows)
+    for chunk in (7, 100):
+        monkeypatch.setattr(gaussfill, "CHUNK", chunk)
+        for r, f in zip(filled(), whole, strict=True):
+            assert r.x is None if f is None else r.x == pytest.approx(f, rel=1e-12)
+
+    held = []
+    s = gaussfill._Slice(15.0, False)
+    for i in range(3000):  # a known value in every fourth row
+        v = 1.0 if i % 4 == 0 else np.nan
+        part = [np.asarray([x]) for x in (i * 6e7, v, 1.0, i % 4 == 0, 0, i * 60_000_000)]
+        held.append(s.n)
+        list(s.add(part))
+    assert max(held) <= 100  # rows held at once
+
+
 def test_two_columns_and_a_condition(spark):
     rows = [(0, 1.0), (2, None), (4, 3.0)]
     df = spark.createDataFrame([(b, T0 + timedelta(minutes=t), v, v) for b in ("b0", "b1") for t, v in rows],
