@@ -15,6 +15,8 @@ PLAIN = T.StructType([T.StructField("timestamp", T.StringType()), T.StructField(
                       *[T.StructField(c, T.DoubleType()) for c in _MEASURES]])
 STAMP = "yyyy-MM-dd HH:mm:ss"
 EPOCH_MIN = 10_000
+#: rows of a part file of an annotated dump
+FILE_ROWS = 1_000_000
 
 # fixed values: annotation rows and columns of the annotated form
 ANNOTATIONS = (
@@ -59,34 +61,43 @@ def annotated_rows(dump: DataFrame, stop: Column) -> DataFrame:
     return _annotated(field_index(rows), F.col("node_id"), stop)
 
 
-def _write_annotated(rows: DataFrame, path: str) -> None:
+def _write_annotated(rows: DataFrame, path: str, compression: str | None) -> None:
     line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("value")
     head = "\n".join([*ANNOTATIONS, ",".join(HEADER)])
+    per_file = FILE_ROWS
 
     def with_head(batches):
         import pyarrow as pa
-        first = True
+        room = 0  # rows that still go into the file
         for batch in batches:
-            if first and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([head])], schema=batch.schema)
-                first = False
-            yield batch
-    rows.select(line).mapInArrow(with_head, "value string").write.text(path)
+            while batch.num_rows:
+                if not room:
+                    yield pa.RecordBatch.from_arrays([pa.array([head])], schema=batch.schema)
+                    room = per_file
+                part, batch = batch.slice(0, room), batch.slice(room)
+                room -= part.num_rows
+                yield part
 
+    out = rows.select(line).mapInArrow(with_head, "value string").write.option("maxRecordsPerFile", per_file + 1)  # the head is one record
+    out.text(path, compression=compression)
 
-def write_annotated_csv(dump: DataFrame, path: str, stop: Column) -> None:
-    """Annotated CSV. The annotation rows and the header lead every part file, so each part can be imported alone."""
-    _write_annotated(annotated_rows(dump, stop), path)
 
+def write_annotated_csv(dump: DataFrame, path: str, stop: Column, compression: str | None = None) -> None:
+    """Annotated CSV. The annotation rows and the header lead every part file, so each part can be imported alone.
 
-def merge_dumps(spark: SparkSession, a: str, b: str, path: str, stop: Column) -> None:
+    A part file has ``FILE_ROWS`` rows at most, so parts of a ``compression`` that cannot be split (gzip) are still read by many tasks.
+    """
+    _write_annotated(annotated_rows(dump, stop), path, compression)
+
+
+def merge_dumps(spark: SparkSession, a: str, b: str, path: str, stop: Column, compression: str | None = None) -> None:
     """Merge the annotated dump ``b`` into ``a`` and write the result in the same form: points of ``b`` win, none is there twice.
 
     Of points of one series and second within a dump the greatest value counts: lines of a dump have no order across its parts.
     """
     old, new = (read_annotated_csv(spark, p).drop("table").withColumn("seq", F.col("_value")) for p in (a, b))
     merged = field_index(upsert_points(old, new, key=("id_board", "_field", "_time")).drop("seq"))
-    _write_annotated(_annotated(merged, F.col("id_board"), stop), path)
+    _write_annotated(_annotated(merged, F.col("id_board"), stop), path, compression)
 
 
 def read_annotated_csv(spark: SparkSession, path: str) -> DataFrame:

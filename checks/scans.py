@@ -207,8 +207,8 @@ def merge_dump_files(spark, sf):
     rows = dump_rows(spark, sf)
     for new, path in enumerate(paths[:2]):
         part = rows.where(F.col("event_id") % 3 != new).withColumn("air_temp", F.col("air_temp") + new)
-        dumps.write_annotated_csv(part.withColumn("_time", F.to_timestamp("timestamp", dumps.STAMP)), path, stop)
-    dumps.merge_dumps(spark, *paths, stop)
+        dumps.write_annotated_csv(part.withColumn("_time", F.to_timestamp("timestamp", dumps.STAMP)), path, stop, compression="gzip")
+    dumps.merge_dumps(spark, *paths, stop, compression="gzip")
     return dumps.read_annotated_csv(spark, paths[2]).select("id_board", "_field", us(), "_value")
 
 

@@ -1,8 +1,10 @@
 """Files in and out."""
 
+import gzip
 import json
 import struct
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -57,6 +59,22 @@ def test_annotated_parts_begin_with_the_annotations(spark, tmp_path):
     assert sum(len(t) - 4 for t in text) == 8
 
 
+def test_annotated_parts_are_compressed_and_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dumps, "FILE_ROWS", 3)
+    dump = spark.createDataFrame([("2024-01-01 00:00:00", i, *[1.0 + i] * 8) for i in range(2)], dumps.PLAIN).withColumn("_time", F.lit(T0)).coalesce(1)
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    dumps.write_annotated_csv(dump, a, F.lit(T0), compression="gzip")
+    dumps.write_annotated_csv(dump.withColumns({"node_id": F.col("node_id") + 1, **{x: F.col(x) + 9 for x in dumps.PLAIN.names[2:]}}), b, F.lit(T0), compression="gzip")
+    dumps.merge_dumps(spark, a, b, c, F.lit(T0), compression="gzip")
+    for path, rows in ((a, 16), (c, 24)):
+        text = [gzip.decompress(p.read_bytes()).decode().splitlines() for p in Path(path).glob("part-*.gz")]
+        text = [t for t in text if t]
+        assert all(t[:3] == list(dumps.ANNOTATIONS) and t[3] == ",".join(dumps.HEADER) and len(t) <= 7 for t in text)
+        assert sum(len(t) - 4 for t in text) == rows
+    got = {(r.id_board, r._value) for r in dumps.read_annotated_csv(spark, c).collect()}
+    assert got == {("0", 1.0), ("1", 10.0), ("2", 11.0)}
+
+
 def test_local_stamps_can_be_read_as_local(spark, tmp_path):
     d = spark.createDataFrame([("2024-07-01 12:00:00", 5, *[1.0] * 8)], dumps.PLAIN)
     dumps.write_dump_csv(d, str(tmp_path / "c"))
