@@ -21,6 +21,8 @@ _PART, _SKIP = 0, 1  # numbers of the word "\n", which parts pieces, and of the
 _FLUSH, _FLUSH_EXACT = 12_000_000, 2_000_000
 #: words that a task gives numbers to before it starts anew
 _WORDS = 1_000_000
+#: bytes of packed counters that a task sends on at once
+_SENT = 4 << 20
 #: text of one hash partition, and ranges that its summaries are made for, one by one
 _PART_BYTES, _RANGES = 64 << 20, 16
 #: bits of a hash by which the second pass tells survivors: a bitmap of so many bits (8 MB) goes to the tasks at any size of the input
@@ -167,30 +169,39 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
     A summary holds no more counters than phrases were gathered. That is far below its share of the capacity, so none is dropped here.
     """
     width, kind = _width(bits), np.uint32 if bits <= 32 else np.uint64
+    edges = _edges(bits, parts)
 
-    def summary(gathered):
-        keys = np.concatenate(gathered)
-        gathered.clear()
+    def summary(keys):
+        """Sorts ``keys`` in place; what else is made is made for a partition at a time."""
         keys.sort()
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(first, append=len(keys))
-        keys, edges = keys[first], _edges(bits, parts)
-        cut = np.append(np.searchsorted(keys, edges), len(keys))
-        done = np.concatenate([[0], np.cumsum(counts)])
-        mass, packed, part = [], [], []
+        cut = np.append(np.searchsorted(keys, edges.astype(kind)), len(keys))
+        part, mass, packed, size = [], [], [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(mass, pa.list_(pa.int64())), pa.array(packed, pa.list_(pa.binary()))], ["part", "mass", "packed"])
+
         for p in range(parts):
             ranges = range(p * _RANGES, (p + 1) * _RANGES)
             if cut[ranges[0]] == cut[ranges[-1] + 1]:
                 continue
+            row = []
+            for r in ranges:
+                own = keys[cut[r]:cut[r + 1]]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
+                row.append(pack(own[first].astype(np.uint64) - edges[r], np.diff(first, append=len(own)), width))
             part.append(p)
-            mass.append([int(done[cut[r + 1]] - done[cut[r]]) for r in ranges])
-            packed.append([pack(keys[cut[r]:cut[r + 1]] - edges[r], counts[cut[r]:cut[r + 1]], width) for r in ranges])
-        for i in range(0, len(part), 256):
-            s = slice(i, i + 256)
-            yield pa.RecordBatch.from_arrays([pa.array(part[s], pa.int32()), pa.array(mass[s], pa.list_(pa.int64())), pa.array(packed[s], pa.list_(pa.binary()))], ["part", "mass", "packed"])
+            mass.append([int(cut[r + 1] - cut[r]) for r in ranges])
+            packed.append(row)
+            size += sum(map(len, row))
+            if size >= _SENT:
+                yield batch()
+                part, mass, packed, size = [], [], [], 0
+        if part:
+            yield batch()
 
     def run(batches):
-        numbers, table, gathered, n = Numbers(), np.zeros(0, np.uint64), [], 0
+        numbers, table = Numbers(), np.zeros(0, np.uint64)
+        gathered, n = np.empty(1 << 16, kind), 0  # grows to what a task gathers, and is filled in place
         for lang, texts in _by_lang(batches):
             if len(numbers) > _WORDS:
                 numbers, table = Numbers(), np.zeros(0, np.uint64)
@@ -198,13 +209,16 @@ def _summaries(rows: DataFrame, longest: int, bits: int, parts: int) -> DataFram
             for words, own in word_numbers(texts, numbers, longest):
                 table = np.append(table, np.asarray(numbers.hashes[len(table):], np.uint64))
                 for _, _, x in hashes(words, own, table, seed, longest):
-                    gathered.append((x >> np.uint64(64 - bits)).astype(kind))
+                    if n + len(x) > len(gathered):
+                        gathered.resize(max(n + len(x), min(2 * len(gathered), _FLUSH + len(x))), refcheck=False)
+                    x >>= np.uint64(64 - bits)
+                    gathered[n:n + len(x)] = x
                     n += len(x)
                 if n >= _FLUSH:
-                    yield from summary(gathered)
+                    yield from summary(gathered[:n])
                     n = 0
         if n:
-            yield from summary(gathered)
+            yield from summary(gathered[:n])
 
     return map_arrow(rows, run, T.StructField("part", T.IntegerType()), T.StructField("mass", T.ArrayType(T.LongType())), T.StructField("packed", T.ArrayType(T.BinaryType())))
 
@@ -282,7 +296,8 @@ def _counted(rows: DataFrame, longest: int, sieve: np.ndarray) -> DataFrame:
         new[1:] = (at[1:] != at[:-1]) | (words[1:] != words[:-1]).any(axis=1)
         first = np.flatnonzero(new)
         names = list(numbers)
-        phrases = pa.array([b" ".join([names[i] for i in row]) for row in words[first].tolist()], pa.binary()).cast(pa.string())
+        blocks = np.array_split(first, len(first) // 50_000 + 1)  # few words are Python objects at once
+        phrases = pa.concat_arrays([pa.array([b" ".join([names[i] for i in row]) for row in words[x].tolist()], pa.binary()) for x in blocks]).cast(pa.string())
         lang = pa.DictionaryArray.from_arrays(pa.array(at[first], pa.int32()), pa.array(langs)).cast(pa.string())
         sums = np.diff(first, append=len(order))
         beside = pc.array_sort_indices(phrases)  # what begins alike stands side by side, and is shuffled in fewer bytes

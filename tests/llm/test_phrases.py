@@ -87,3 +87,21 @@ def test_summaries_keep_every_frequent_key():
 def test_registered_query_and_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert compare(spark, duck(sf), QUERIES["op11_collocations"], SQL["op11_collocations"], sf)[0] == "ok"
+
+
+def test_memory_of_a_task(monkeypatch):
+    """Beside the keys themselves, what a task makes of them is small; three million phrases took 74 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    monkeypatch.setattr(phrases, "map_arrow", lambda rows, run, *fields: run)
+    monkeypatch.setattr(phrases, "_FLUSH", 3_000_000)
+    run = phrases._summaries(None, 4, 30, 8)
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(1000)}" for _ in range(5000)) for _ in range(160)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [t]}) for t in texts]
+    tracemalloc.start()
+    mass = sum(sum(map(sum, b.column("mass").to_pylist())) for b in run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert mass == 160 * (4 * 5000 - 6) and peak < 45e6  # 13 MB of keys
