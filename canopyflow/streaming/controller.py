@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,10 @@ from canopyflow.sources.versions import VersionedTable
 from canopyflow.streaming import telemetry
 from canopyflow.streaming.state import count_rule, count_uses, use_rocksdb
 
+HOUR_US = 3_600_000_000
+#: packets of a board that a task works through at once, or more if an hour holds more
+CHUNK = 50_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -48,50 +55,104 @@ LOW_MOISTURE = Rule("low_soil_moisture", ("soil_moisture",), lambda p: p["soil_m
 
 class _Controller(StatefulProcessor):
     def __init__(self, columns: list[str], kinds: list[str], rules: Sequence[Rule], uses: int):
-        self.columns, self.kinds, self.rules, self.uses = columns, kinds, rules, uses
+        self.columns, self.rules, self.uses = columns, rules, uses
+        self.schema = pa.schema([(c, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[k]) for c, k in zip(columns, kinds)])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.kinds)))
+        # packets that wait, by hour and arrival: a board has any number of them, a value holds a bounded one
+        self.pending = handle.getMapState("pending", "hour long, n long", "rows binary")
+        self.arrived = handle.getValueState("arrived", "n long")
         self.readings = handle.getMapState("readings", "at_us long", "seq long, temp double, reading_id string")
         self.used = handle.getValueState("used", "reading_id string, n long")
         self.counts = handle.getMapState("counts", "rule string", "n int")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        told = pdf["is_reading"].to_numpy(bool)
-        for at, seq, temp, reading in pdf.loc[told, ["at_us", "seq", "temp", "reading_id"]].itertuples(index=False, name=None):
-            old = self.readings.getValue((int(at),)) if self.readings.containsKey((int(at),)) else None
-            if old is None or seq >= old[0]:
-                self.readings.updateValue((int(at),), (int(seq), float(temp), reading))
-        packets = pdf.loc[~told, self.columns]
-        if len(packets):
-            self.pending.appendList(list(packets.itertuples(index=False, name=None)))
-            due = [-(-int(packets["at_us"].min()) // 1000), *self.handle.listTimers()]
+        held, n, first, put, timed = [], 0, None, [], True
+        for pdf in rows:
+            told = pdf["is_reading"].to_numpy(bool)
+            for at, seq, temp, reading in pdf.loc[told, ["at_us", "seq", "temp", "reading_id"]].itertuples(index=False, name=None):
+                old = self.readings.getValue((int(at),)) if self.readings.containsKey((int(at),)) else None
+                if old is None or seq >= old[0]:
+                    self.readings.updateValue((int(at),), (int(seq), float(temp), reading))
+            known = ~told & pdf["at_us"].notna()
+            timed &= bool((known | told).all())
+            packets = pdf.loc[known, self.columns]
+            if len(packets):
+                held.append(packets)
+                n += len(packets)
+                first = min(int(packets["at_us"].min()), first if first is not None else 1 << 62)
+                if n >= CHUNK:
+                    put += self._wait(held)
+                    held, n = [], 0
+        if held and timed:
+            put += self._wait(held)
+        if not timed:  # a packet without a time takes the board's others of its micro-batch with it
+            for x in put:
+                self.pending.removeKey(x)
+        if first is not None:
+            due = [-(-first // 1000), *self.handle.listTimers()]
             for timer in due[1:]:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(min(due))
         return iter(())
 
+    def _wait(self, packets: list[pd.DataFrame]) -> list[tuple[int, int]]:
+        """Put packets to those that wait, in the order they came; under which keys."""
+        table = pa.Table.from_pandas(pd.concat(packets), schema=self.schema, preserve_index=False)
+        hours = table.column("at_us").to_numpy() // HOUR_US
+        order = np.argsort(hours, kind="stable")
+        edges = np.flatnonzero(np.diff(hours[order], prepend=hours[order[0]] - 1, append=hours[order[-1]] + 1))
+        arrived = self.arrived.get()[0] if self.arrived.exists() else 0
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.schema) as writer:
+                writer.write_table(table.take(order[i:j]))
+            self.pending.updateValue((int(hours[order[i]]), arrived), (sink.getvalue().to_pybytes(),))
+        self.arrived.update((arrived + 1,))
+        return [(int(hours[order[i]]), arrived) for i in edges[:-1]]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        pdf = pd.DataFrame(list(self.pending.get()), columns=self.columns)
-        ready = pdf[pdf["at_us"] <= passed].sort_values(["at_us", "seq"], kind="stable")
-        rest = pdf[pdf["at_us"] > passed]
-        if len(rest):
-            self.pending.put(list(rest.itertuples(index=False, name=None)))
-            self.handle.registerTimer(-(-int(rest["at_us"].min()) // 1000))
-        else:
-            self.pending.clear()
-        if len(ready):
-            out = self._work(ready.reset_index(drop=True), passed)
-            out.insert(0, "id_board", key[0])
-            yield out
-
-    def _work(self, pdf: pd.DataFrame, passed: int) -> pd.DataFrame:
+        waiting = sorted((int(h), int(n)) for h, n in self.pending.keys())
+        last, rest_us = passed // HOUR_US, None
         known = sorted((k[0], *v) for k, v in self.readings.iterator())
         for at, *_ in known[:max(0, sum(k[0] <= passed for k in known) - 1)]:
             self.readings.removeKey((at,))  # superseded for all packets to come
+        held, n = [], 0
+        for hour, parts in groupby([x for x in waiting if x[0] <= last], key=lambda x: x[0]):
+            for x in parts:
+                held.append(pa.ipc.open_stream(bytes(self.pending.getValue(x)[0])).read_all())
+                self.pending.removeKey(x)
+                n += held[-1].num_rows
+            if n >= CHUNK and hour < last:  # whole hours
+                yield self._passed(key, held, known)
+                held, n = [], 0
+        if held:
+            table = pa.concat_tables(held)
+            ready = pc.less_equal(table.column("at_us"), passed)
+            rest = table.filter(pc.invert(ready))
+            if rest.num_rows:
+                rest_us = pc.min(rest.column("at_us")).as_py()
+                self._wait([self._frame(rest)])
+            if rest.num_rows < table.num_rows:
+                yield self._passed(key, [table.filter(ready)], known)
+        later = next((x for x in waiting if x[0] > last), None)
+        if rest_us is None and later is not None:
+            rest_us = min(pc.min(pa.ipc.open_stream(bytes(self.pending.getValue(x)[0])).read_all().column("at_us")).as_py() for x in waiting if x[0] == later[0])
+        if rest_us is not None:
+            self.handle.registerTimer(-(-rest_us // 1000))
+
+    def _frame(self, table: pa.Table) -> pd.DataFrame:
+        return table.to_pandas()[self.columns]
+
+    def _passed(self, key, tables: list[pa.Table], known: list[tuple]) -> pd.DataFrame:
+        pdf = self._frame(pa.concat_tables(tables))
+        out = self._work(pdf.sort_values(["at_us", "seq"], kind="stable").reset_index(drop=True), known)
+        out.insert(0, "id_board", key[0])
+        return out
+
+    def _work(self, pdf: pd.DataFrame, known: list[tuple]) -> pd.DataFrame:
         hit = np.searchsorted(np.asarray([k[0] for k in known], np.int64), pdf["at_us"].to_numpy(np.int64), side="right") - 1
         temp = np.asarray([*(k[2] for k in known), np.nan], float)[hit]
         reading = np.asarray([*(k[3] for k in known), None], object)[hit]

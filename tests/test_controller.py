@@ -121,3 +121,64 @@ def test_rule_frames_hold_only_packets_with_the_measure():
     c.counts = Counts()
     out = c._ruled(pd.DataFrame({"a": [1.0, np.nan, -1.0, 2.0]}))
     assert seen == [[1.0, -1.0, 2.0]] and out["fired"].tolist() == [["r"], [], [], ["r"]]
+
+
+class _Map(dict):
+    def containsKey(self, k): return k in self
+    def getValue(self, k): return self[k]
+    def updateValue(self, k, v): self[k] = v
+    def removeKey(self, k): self.pop(k, None)
+    def iterator(self): return iter(self.items())
+
+
+class _List(list):
+    def get(self): return iter(self)
+    def appendList(self, rows): self.extend(rows)
+    def put(self, rows): self[:] = rows
+
+
+class _Value:
+    v = None
+    def get(self): return self.v
+    def exists(self): return self.v is not None
+    def update(self, v): self.v = v
+
+
+class _Handle:
+    def __init__(self): self.timers = set()
+    def getMapState(self, *a): return _Map()
+    def getListState(self, *a): return _List()
+    def getValueState(self, *a): return _Value()
+    def listTimers(self): return iter(sorted(self.timers))
+    def registerTimer(self, t): self.timers.add(t)
+    def deleteTimer(self, t): self.timers.discard(t)
+
+
+class _Now:
+    def __init__(self, ms): self.ms = ms
+    def getCurrentWatermarkInMs(self): return self.ms
+
+
+def test_a_board_with_many_packets_is_worked_through_in_chunks(monkeypatch):
+    """Neither the packets that wait nor those that are ready are in a task's memory all at once."""
+    monkeypatch.setattr(controller, "CHUNK", 500, raising=False)
+    columns = ["at_us", "seq", "leaf_temp", "soil_moisture"]
+    op, handle = controller._Controller(columns, ["long", "long", "double", "double"], (controller.LOW_MOISTURE,), 14), _Handle()
+    op.init(handle)
+    rnd = np.random.default_rng(2)
+    pdf = pd.DataFrame({"at_us": rnd.permutation(10_000) * 36_000_000, "seq": np.arange(10_000), "leaf_temp": 20.0, "soil_moisture": rnd.choice([np.nan, 60.0, 75.0], 10_000, p=[0.1, 0.7, 0.2]),
+                        "is_reading": False, "temp": np.nan, "reading_id": None})  # a hundred an hour
+    op.handleInputRows(("b",), iter([pdf[i:i + 1000] for i in range(0, 10_000, 1000)]), None)
+    got = []
+    for hours in (33, 33.5, 200):
+        handle.timers = set()
+        frames = list(op.handleExpiredTimer(("b",), _Now(int(hours * 3_600_000)), None))
+        assert all(len(f) < 700 for f in frames)
+        got += frames
+        assert not handle.timers if hours == 200 else handle.timers == {int(hours * 3_600_000) + 36_000}
+    out = pd.concat(got)
+    assert out["at_us"].tolist() == [i * 36_000_000 for i in range(10_000)]
+    told = pdf.sort_values("at_us")
+    told = told[told["soil_moisture"].notna()]
+    fires, _ = count_rule(told["soil_moisture"].to_numpy() < C.SOIL_LOW, C.SOIL_PATIENCE, 0)
+    assert out[out["fired"].map(bool)]["seq"].tolist() == told[fires]["seq"].tolist()
