@@ -17,8 +17,10 @@ from canopyflow.llm.common import first_rows, map_arrow, shuffle_partitions, sto
 #: A-Z become a-z; what parts pieces becomes a line feed, a tab a space
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _PART, _SKIP = 0, 1  # numbers of the word "\n", which parts pieces, and of the empty word
-#: phrases that a task gathers before it sends them on
-_FLUSH, _FLUSH_EXACT = 12_000_000, 2_000_000
+#: phrases that a task gathers before it sends them on; in the second pass equal ones become one first, and are sent if over half are left
+_FLUSH, _FLUSH_EXACT = 12_000_000, 3_000_000
+#: text that a task of the second pass reads at most, if it can be left whole: each task sends nearly every frequent phrase once
+_COUNTED_BYTES = 128 << 20
 #: words that a task gives numbers to before it starts anew
 _WORDS = 1_000_000
 #: bytes of packed counters that a task sends on at once
@@ -287,19 +289,22 @@ def _counted(rows: DataFrame, longest: int, sieve: np.ndarray) -> DataFrame:
     """``lang``, ``phrase``, ``words`` and a task's ``count`` of each phrase that passes the sieve; ``words`` 0: all words of the language."""
     held = rows.sparkSession.sparkContext.broadcast(sieve)
 
-    def counts(n, found, langs, numbers):
-        """Equal phrases are told by the numbers of their words; hashes only bring them together."""
-        words, at, h = (np.concatenate(x) for x in zip(*found))
+    def together(found):
+        """Equal phrases once, with their counts. They are told by the numbers of their words; hashes only bring them together."""
+        words, at, h, sums = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h, kind="stable")
-        words, at = words[order], at[order]
+        words, at, h = words[order], at[order], h[order]
         new = np.ones(len(order), bool)
         new[1:] = (at[1:] != at[:-1]) | (words[1:] != words[:-1]).any(axis=1)
         first = np.flatnonzero(new)
+        return words[first], at[first], h[first], np.add.reduceat(sums[order], first)
+
+    def counts(n, found, langs, numbers):
+        words, at, _, sums = together(found)
         names = list(numbers)
-        blocks = np.array_split(first, len(first) // 50_000 + 1)  # few words are Python objects at once
-        phrases = pa.concat_arrays([pa.array([b" ".join([names[i] for i in row]) for row in words[x].tolist()], pa.binary()) for x in blocks]).cast(pa.string())
-        lang = pa.DictionaryArray.from_arrays(pa.array(at[first], pa.int32()), pa.array(langs)).cast(pa.string())
-        sums = np.diff(first, append=len(order))
+        blocks = np.array_split(words, len(words) // 50_000 + 1)  # few words are Python objects at once
+        phrases = pa.concat_arrays([pa.array([b" ".join([names[i] for i in row]) for row in x.tolist()], pa.binary()) for x in blocks]).cast(pa.string())
+        lang = pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), pa.array(langs)).cast(pa.string())
         beside = pc.array_sort_indices(phrases)  # what begins alike stands side by side, and is shuffled in fewer bytes
         return _rows(lang.take(beside), phrases.take(beside), n, sums[beside.to_numpy()])
 
@@ -320,11 +325,15 @@ def _counted(rows: DataFrame, longest: int, sieve: np.ndarray) -> DataFrame:
                     slot = x >> np.uint64(64 - _SIEVE_BITS)
                     on = np.flatnonzero(bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
                     if len(on):
-                        found[n].append((words[at[on, None] + np.arange(n)], np.full(len(on), place, np.int32), x[on]))
+                        found[n].append((words[at[on, None] + np.arange(n)], np.full(len(on), place, np.int32), x[on], np.ones(len(on), np.int64)))
                         size += len(on) * (n + 3) // 4
                 if size >= _FLUSH_EXACT:
-                    yield from flush()
-                    found, size = {n: [] for n in range(1, longest + 1)}, 0
+                    for n, x in found.items():
+                        found[n] = [together(x)] if x else []
+                    size = sum(len(part[0]) * (n + 3) // 4 for n, x in found.items() for part in x)
+                    if 2 * size > _FLUSH_EXACT:
+                        yield from flush()
+                        found, size = {n: [] for n in range(1, longest + 1)}, 0
             if len(numbers) > _WORDS:
                 yield from flush()
                 found, size = {n: [] for n in range(1, longest + 1)}, 0
@@ -349,7 +358,8 @@ def frequent_phrases(docs: DataFrame, threshold: int = 30, longest: int = 4, tex
     bits = min(max((longest * size // 6).bit_length(), _SIEVE_BITS), 62)
     parts = max(shuffle_partitions(docs), size // _PART_BYTES)
     survivors = _survivors(_summaries(rows, longest, bits, parts), threshold, bits, parts)
-    counted = _counted(rows, longest, _sieve(survivors, bits))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    counted = _counted(rows.coalesce(cores * max(-(-size // (cores * _COUNTED_BYTES)), 1)), longest, _sieve(survivors, bits))
     total = counted.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
     return stored(total.where((F.col("count") >= threshold) | (F.col("words") == 0)))
 

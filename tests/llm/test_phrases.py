@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -105,3 +106,23 @@ def test_memory_of_a_task(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert mass == 160 * (4 * 5000 - 6) and peak < 45e6  # 13 MB of keys
+
+
+def test_task_counts_equal_phrases_together(monkeypatch):
+    """A task sends a phrase once, not once for each time it has gathered its fill."""
+    import pyarrow as pa
+    monkeypatch.setattr(phrases, "map_arrow", lambda rows, run, *fields: run)
+    monkeypatch.setattr(phrases, "_FLUSH_EXACT", 5_000)
+
+    sieve = np.full(1 << (phrases._SIEVE_BITS - 6), np.iinfo(np.uint64).max, np.uint64)  # lets every phrase through
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    run = phrases._counted(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)), 4, sieve)
+    rnd = random.Random(5)
+    rows = [("en" if i % 2 else "de", " ".join(rnd.choice("abcd") for _ in range(400))) for i in range(40)]
+    got = [r for b in run(iter([pa.RecordBatch.from_pydict({"lang": [lang], "text": [t]}) for lang, t in rows])) for r in b.to_pylist()]
+    want = Counter()
+    for lang, t in rows:
+        w = t.split(" ")
+        want.update((lang, " ".join(w[i:i + k]), k) for k in range(1, 5) for i in range(len(w) - k + 1))
+        want[lang, None, 0] += len(w)
+    assert {(r["lang"], r["phrase"], r["words"]): r["count"] for r in got} == want and len(got) == len(want)
