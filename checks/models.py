@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import timedelta
 
@@ -171,21 +172,30 @@ def soft_sensor(spark, sf):
 #: ridge models of every task with all their penalties; forests and boosted trees are in grid_search_reports (times in the README)
 _RIDGES = [s for s in learn.model_grid(FREQ) if s.family == "ridge" and not s.poly]
 _stores: dict[tuple[str, str], str] = {}
+#: tasks trained side by side
+_AT_ONCE = 4
 
 
-def model_store(spark, sf) -> str:
-    """Season models and the winners of all tasks, trained once an application and read from the store by every query."""
+def model_store(spark, sf, h=None) -> str:
+    """Season models and the winners of all tasks, trained once an application and read from the store by every query. ``h``: the
+    hourly series, if the query has it. Tasks are trained side by side, for each is a row of short jobs."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _stores:
-        h, s, path = hourly(spark, sf), events.board_slices(spark, sf), scratch(spark)
-        best = {n: learn.winner(retrain.train_task(features.training_frame(h, s, t, FREQ), t, FREQ, _RIDGES)) for n, t in TASKS.items()}
-        ModelStore(spark, path).save(FREQ, season.season_fit(h, FREQ, fields=FEATURES)[0], best, TASKS)
+        h, s, path = hourly(spark, sf) if h is None else h, events.board_slices(spark, sf), scratch(spark)
+
+        def trained(task):
+            return learn.winner(retrain.train_task(features.training_frame(h, s, task, FREQ), task, FREQ, _RIDGES))
+
+        with ThreadPoolExecutor(_AT_ONCE) as pool:
+            by_season = pool.submit(season.season_fit, h, FREQ, fields=FEATURES)
+            best = dict(zip(TASKS, pool.map(trained, TASKS.values())))
+        ModelStore(spark, path).save(FREQ, by_season.result()[0], best, TASKS)
         _stores[key] = path
     return _stores[key]
 
 
-def loaded(spark, sf):
-    return ModelStore(spark, model_store(spark, sf)).load(FREQ)
+def loaded(spark, sf, h=None):
+    return ModelStore(spark, model_store(spark, sf, h)).load(FREQ)
 
 
 @query("grid_search_reports")
@@ -209,7 +219,8 @@ def model_registry(spark, sf):
 
 @query("recursive_forecast")
 def recursive_forecast(spark, sf):
-    h, trained = hourly(spark, sf), loaded(spark, sf)
+    h = hourly(spark, sf)
+    trained = loaded(spark, sf, h)
     past = forecast.context(h, FREQ)
     env = materialise(forecast.env_columns(season.env_forecast(past, trained.season, FREQ, 3, FEATURES), FEATURES))
     return recursion.recursive_forecast(past, env, *trained.models["t9"], TASKS["t9"], FREQ).select("id_board", "step", us(), "value")
@@ -218,15 +229,17 @@ def recursive_forecast(spark, sf):
 @query("score_all_boards")
 def score_all_boards(spark, sf):
     """Every board by every group and every task of the catalogue, from stored models; groups with what was blended."""
-    t = loaded(spark, sf)
-    d = forecast.score_all(hourly(spark, sf), t.season, t.models, t.mae, FREQ, tasks=TASKS)
+    h = hourly(spark, sf)
+    t = loaded(spark, sf, h)
+    d = forecast.score_all(h, t.season, t.models, t.mae, FREQ, tasks=TASKS)
     return d.select("model_source", "id_board", "step", us(), "value", "vpd", *forecast.ENSEMBLE)
 
 
 @query("forecast_cycle")
 def forecast_cycle(spark, sf):
     """Points that the forecast job, which has only the paths of tables and models, leaves in the clean and in the archive table."""
-    h, models, clean, archive = hourly(spark, sf), model_store(spark, sf), scratch(spark), scratch(spark)
+    h, clean, archive = hourly(spark, sf), scratch(spark), scratch(spark)
+    models = model_store(spark, sf, h)
     tables.write_points(tables.as_points(reshape.to_points(h.withColumn("seq", F.unix_micros("_time")), ("id_board", "_time", "seq"), [*FEATURES, "leaf_temp"])), clean)
     now = h.agg(F.max("_time")).first()[0] + timedelta(minutes=FREQ)
     cycle.run_forecasts(spark, clean, archive, models, FREQ, now, tasks=TASKS)
@@ -253,8 +266,9 @@ def report_round_trip(spark, sf):
 @query("forecast_document")
 def forecast_document(spark, sf):
     """The documents of all groups and of the point tasks, from a real forecast."""
-    t = loaded(spark, sf)
-    given = forecast.forecasts(hourly(spark, sf), t.season, t.models, t.mae, FREQ, single=POINT_TASKS, tasks=TASKS)
+    h = hourly(spark, sf)
+    t = loaded(spark, sf, h)
+    given = forecast.forecasts(h, t.season, t.models, t.mae, FREQ, single=POINT_TASKS, tasks=TASKS)
     doc = forecast.documents(given, FREQ)
     return doc.select("id_board", "model_source", "frequency", F.size("leaf_temperature.historical").alias("past"), F.size("leaf_temperature.forecast").alias("steps"),
                       F.to_json(F.struct("leaf_temperature", "environmental_data", "vpd", "ensemble_details")).alias("document"))

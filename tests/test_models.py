@@ -1,5 +1,6 @@
 """Learning and forecasting against plain loops."""
 
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -12,6 +13,7 @@ from canopyflow import config as C
 from canopyflow.operators import slicing as sl
 from canopyflow.plans import features, forecast, learn, recursion, retrain, ridge, season
 from canopyflow.plans.store import ModelStore
+from checks import models
 
 T0 = datetime(2024, 5, 1)
 TASK = C.Task("t9", ("air_temp", "humidity"), True, True, 3)
@@ -36,6 +38,26 @@ def frame(wide):
     return features.training_frame(wide, sl.fit(wide, ["id_board"]), POINT, 6).persist()
 
 
+def test_stored_models_are_trained_side_by_side(spark, monkeypatch):
+    """Two tasks are in training at once, on the series that the query has; each task gets its own winner."""
+    met, saved = threading.Barrier(2), {}
+
+    def train_task(frame, task, *_):
+        met.wait(30)
+        return [task.name]
+
+    monkeypatch.setattr(models, "_stores", {})
+    monkeypatch.setattr(models, "hourly", lambda *_: pytest.fail("the series was made again"))
+    monkeypatch.setattr(models.events, "board_slices", lambda *_: None)
+    monkeypatch.setattr(models.features, "training_frame", lambda h, s, task, freq: h)
+    monkeypatch.setattr(models.retrain, "train_task", train_task)
+    monkeypatch.setattr(models.learn, "winner", lambda fitted: fitted[0])
+    monkeypatch.setattr(models.season, "season_fit", lambda h, *_, **__: (h, None))
+    monkeypatch.setattr(models.ModelStore, "save", lambda self, freq, season_models, best, tasks: saved.update(best))
+    assert models.model_store(spark, "nowhere", "series") == models.model_store(spark, "nowhere")
+    assert saved == {n: t.name for n, t in models.TASKS.items()}
+
+
 def test_ridge_equals_closed_form(spark, frame):
     cols = features.model_columns(POINT, 6)
     n, spread = learn._stats(frame, "leaf_temp")
