@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -16,13 +17,15 @@ from canopyflow.llm.common import first_rows, map_arrow, shuffle_partitions, sto
 
 #: A-Z become a-z; what parts pieces becomes a line feed, a tab a space
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
-_PART, _SKIP = 0, 1  # numbers of the word "\n", which parts pieces, and of the empty word
+_PART, _SKIP, _RARE = 0, 1, 2  # numbers of the word "\n", which parts pieces, of the empty word, and of all that ``Frequent`` keeps no number for
 #: phrases that a task gathers before it sends them on; in the second pass equal ones become one first, and are sent if over half are left
 _FLUSH, _FLUSH_EXACT = 12_000_000, 3_000_000
 #: text that a task of the second pass reads at most, if it can be left whole: each task sends nearly every frequent phrase once
 _COUNTED_BYTES = 128 << 20
 #: words that a task gives numbers to before it starts anew
-_WORDS = 1_000_000
+_WORDS = 300_000
+#: phrases in a batch that a task of the second pass sends
+_SENT_ROWS = 50_000
 #: bytes of packed counters that a task sends on at once
 _SENT = 4 << 20
 #: text of one hash partition, and ranges that its summaries are made for, one by one
@@ -30,6 +33,7 @@ _PART_BYTES, _RANGES = 64 << 20, 16
 #: bits of a hash by which the second pass tells survivors: a bitmap of so many bits (8 MB) goes to the tasks at any size of the input
 _SIEVE_BITS = 26
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD_0, _ODD_1, _MOD = int(_ODD[0]), int(_ODD[1]), (1 << 64) - 1
 _U4 = np.dtype("<u4")
 
 
@@ -37,16 +41,35 @@ class Numbers(dict):
     """Words numbered as they come, with a 64-bit hash of each."""
 
     def __init__(self):
-        super().__init__({b"\n": _PART, b"": _SKIP})
-        self.hashes = [0, 0]
+        import xxhash
+        super().__init__({b"\n": _PART, b"": _SKIP, b" ": _RARE})
+        self.hashes, self.digest = array("Q", [0, 0, 0]), xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
+        return self.add(word, self.digest(word))
+
+    def add(self, word: bytes, h: int) -> int:
         self[word] = n = len(self)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.hashes.append(h)
         return n
 
 
+class Frequent(Numbers):
+    """Numbers of the words that pass the sieve in a language they were met in, whose ``seed`` is set before. A word that does not is
+    ``_RARE`` and is not held: most words of a text are rare, and no phrase that has one is frequent."""
+
+    def __init__(self, sieve: np.ndarray):
+        super().__init__()
+        self.seed, self.sieve = 0, memoryview(sieve.astype("<u8", copy=False).view(np.uint8))
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.digest(word)
+        x = self.seed + h * _ODD_1 & _MOD  # as in ``mixed``
+        x = (x ^ x >> 32) * _ODD_0 & _MOD
+        slot = (x ^ x >> 29) >> 64 - _SIEVE_BITS
+        return self.add(word, h) if self.sieve[slot >> 3] >> (slot & 7) & 1 else _RARE
+
+
 def word_numbers(texts: list[bytes], numbers: Numbers, longest: int) -> Iterator[tuple[np.ndarray, int]]:
     """The words of the texts, with ``_PART`` between pieces and texts, block by block. A block begins with the ``longest - 1`` words
     before it; the place where its own begin is the second value."""
@@ -59,6 +82,12 @@ def word_numbers(texts: list[bytes], numbers: Numbers, longest: int) -> Iterator
         before = at[len(at) - longest + 1:] if len(at) >= longest else at
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= _ODD[0]
+    return x ^ (x >> np.uint64(29))
+
+
 def hashes(words: np.ndarray, own: int, table: np.ndarray, seed: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each length: places where a phrase begins that lies in a piece and ends among the block's own words, and the phrases' hashes."""
     real, h = words != _PART, table[words]
@@ -70,10 +99,24 @@ def hashes(words: np.ndarray, own: int, table: np.ndarray, seed: int, longest: i
         fits = fits[:len(words) - n + 1] & real[n - 1:]
         at = np.flatnonzero(fits)
         at = at[np.searchsorted(at, own - n + 1):] if own else at
-        x = total[at]
-        x ^= x >> np.uint64(32)
-        x *= _ODD[0]
-        yield n, at, x ^ (x >> np.uint64(29))
+        yield n, at, mixed(total[at])
+
+
+def passing(words: np.ndarray, own: int, table: np.ndarray, seed: int, longest: int, sieve: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length: places as ``hashes`` gives them, of the phrases that pass the sieve with all their parts. A part is as frequent as
+    the phrase or more, so no frequent phrase is left out."""
+    h, total, fits = table[words], np.full(len(words), seed, np.uint64), words > _RARE
+    for n in range(1, longest + 1):
+        if len(words) < n:
+            return
+        total = total[:len(words) - n + 1] + h[n - 1:] * _ODD[n]
+        fits = fits[:-1] & fits[1:] if n > 1 else fits
+        at = np.flatnonzero(fits)
+        slot = mixed(total[at]) >> np.uint64(64 - _SIEVE_BITS)
+        on = (sieve[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        fits[at] = on
+        at = at[on]
+        yield n, at[np.searchsorted(at, own - n + 1):] if own else at
 
 
 def _seed(lang: str) -> int:
@@ -289,55 +332,65 @@ def _counted(rows: DataFrame, longest: int, sieve: np.ndarray) -> DataFrame:
     """``lang``, ``phrase``, ``words`` and a task's ``count`` of each phrase that passes the sieve; ``words`` 0: all words of the language."""
     held = rows.sparkSession.sparkContext.broadcast(sieve)
 
-    def together(found):
+    def together(n, parts, seeds, table):
         """Equal phrases once, with their counts. They are told by the numbers of their words; hashes only bring them together."""
-        words, at, h, sums = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(h, kind="stable")
-        words, at, h = words[order], at[order], h[order]
+        words, at = np.concatenate([w for w, _, _ in parts]), np.concatenate([p for _, p, _ in parts])
+        sums = np.concatenate([np.ones(len(w), np.int64) if c is None else c for w, _, c in parts])
+        parts.clear()
+        h = np.asarray(seeds, np.uint64)[at]
+        for i in range(n):
+            h += table[words[:, i]] * _ODD[i + 1]
+        order = np.argsort(h)
+        del h
+        words, at = words[order], at[order]
         new = np.ones(len(order), bool)
         new[1:] = (at[1:] != at[:-1]) | (words[1:] != words[:-1]).any(axis=1)
         first = np.flatnonzero(new)
-        return words[first], at[first], h[first], np.add.reduceat(sums[order], first)
+        return words[first], at[first], np.add.reduceat(sums[order], first)
 
-    def counts(n, found, langs, numbers):
-        words, at, _, sums = together(found)
+    def counts(n, words, at, sums, langs, numbers):
         names = list(numbers)
         blocks = np.array_split(words, len(words) // 50_000 + 1)  # few words are Python objects at once
         phrases = pa.concat_arrays([pa.array([b" ".join([names[i] for i in row]) for row in x.tolist()], pa.binary()) for x in blocks]).cast(pa.string())
-        lang = pa.DictionaryArray.from_arrays(pa.array(at, pa.int32()), pa.array(langs)).cast(pa.string())
-        beside = pc.array_sort_indices(phrases)  # what begins alike stands side by side, and is shuffled in fewer bytes
-        return _rows(lang.take(beside), phrases.take(beside), n, sums[beside.to_numpy()])
+        langs = pa.array(langs, pa.string())
+        beside = pc.array_sort_indices(phrases).to_numpy()  # what begins alike stands side by side, and is shuffled in fewer bytes
+        for i in range(0, len(beside), _SENT_ROWS):
+            some = beside[i:i + _SENT_ROWS]
+            yield _rows(langs.take(pa.array(at[some])), phrases.take(pa.array(some)), n, sums[some])
 
     def run(batches):
-        bitmap, numbers, table, totals, langs = held.value, Numbers(), np.zeros(0, np.uint64), {}, {}
-        found, size = {n: [] for n in range(1, longest + 1)}, 0
+        bitmap, table, totals, langs, seeds = held.value, np.zeros(0, np.uint64), {}, {}, []
+        numbers, found, size = Frequent(bitmap), {n: [] for n in range(1, longest + 1)}, 0
 
         def flush():
-            return [counts(n, x, list(langs), numbers) for n, x in found.items() if x]
+            for n, parts in found.items():
+                if parts:
+                    yield from counts(n, *together(n, parts, seeds, table), list(langs), numbers)
 
         for lang, texts in _by_lang(batches):
-            seed, place = _seed(lang), langs.setdefault(lang, len(langs))
+            if lang not in langs:
+                langs[lang] = len(langs)
+                seeds.append(_seed(lang))
+            place = langs[lang]
+            numbers.seed = seeds[place]
             for words, own in word_numbers(texts, numbers, longest):
+                if len(words):
+                    totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(words[own:] != _PART))
                 table = np.append(table, np.asarray(numbers.hashes[len(table):], np.uint64))
-                for n, at, x in hashes(words, own, table, seed, longest):
-                    if n == 1:
-                        totals[lang] = totals.get(lang, 0) + len(at)
-                    slot = x >> np.uint64(64 - _SIEVE_BITS)
-                    on = np.flatnonzero(bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
-                    if len(on):
-                        found[n].append((words[at[on, None] + np.arange(n)], np.full(len(on), place, np.int32), x[on], np.ones(len(on), np.int64)))
-                        size += len(on) * (n + 3) // 4
+                for n, at in passing(words, own, table, seeds[place], longest, bitmap):
+                    if len(at):
+                        found[n].append((words[at[:, None] + np.arange(n)], np.full(len(at), place, np.int32), None))
+                        size += len(at) * (n + 3) // 4
                 if size >= _FLUSH_EXACT:
-                    for n, x in found.items():
-                        found[n] = [together(x)] if x else []
-                    size = sum(len(part[0]) * (n + 3) // 4 for n, x in found.items() for part in x)
+                    for n, parts in found.items():
+                        found[n] = [together(n, parts, seeds, table)] if parts else []
+                    size = sum(len(part[0]) * (n + 3) // 4 for n, parts in found.items() for part in parts)
                     if 2 * size > _FLUSH_EXACT:
                         yield from flush()
-                        found, size = {n: [] for n in range(1, longest + 1)}, 0
+                        size = 0
             if len(numbers) > _WORDS:
                 yield from flush()
-                found, size = {n: [] for n in range(1, longest + 1)}, 0
-                numbers, table = Numbers(), np.zeros(0, np.uint64)
+                numbers, table, size = Frequent(bitmap), np.zeros(0, np.uint64), 0
         yield from flush()
         if totals:
             yield _rows(pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), 0, list(totals.values()))
@@ -374,8 +427,9 @@ def collocations(docs: DataFrame, threshold: int = 30, longest: int = 4, first:
     that has at least ``inside`` hundredths of its count is left out. A language's ``first`` phrases by score, count and bytes are returned.
 
     Tasks summarise the phrases of their texts by hash; the summaries of each hash partition are merged into a Misra-Gries summary whose
-    capacity exceeds mass / threshold, so no frequent phrase is lost. The second pass counts, by their words, all phrases whose hash
-    falls in a survivor's slot of a bitmap of fixed size; what else falls there is counted too and left out by its exact count.
+    capacity exceeds mass / threshold, so no frequent phrase is lost. The second pass counts, by their words, all phrases whose hash and
+    whose parts' hashes fall in survivors' slots of a bitmap of fixed size; what else falls there is counted too and left out by its
+    exact count.
 
     A null text is empty, a null language is ``und``; empty texts have no words; a very long text goes block by block; repeated rows
     count each; an empty table gives no rows; other columns are not read.

@@ -126,3 +126,58 @@ def test_task_counts_equal_phrases_together(monkeypatch):
         want.update((lang, " ".join(w[i:i + k]), k) for k in range(1, 5) for i in range(len(w) - k + 1))
         want[lang, None, 0] += len(w)
     assert {(r["lang"], r["phrase"], r["words"]): r["count"] for r in got} == want and len(got) == len(want)
+
+
+def counting(monkeypatch, text, longest=4):
+    """A task of the second pass without Spark, whose sieve lets the phrases of an English text through, and nearly nothing else."""
+    monkeypatch.setattr(phrases, "map_arrow", lambda rows, run, *fields: run)
+    sieve, numbers = np.zeros(1 << (phrases._SIEVE_BITS - 6), np.uint64), phrases.Numbers()
+    for words, own in phrases.word_numbers([text.encode()], numbers, longest):
+        for _, _, x in phrases.hashes(words, own, np.asarray(numbers.hashes, np.uint64), phrases._seed("en"), longest):
+            slot = x >> np.uint64(64 - phrases._SIEVE_BITS)
+            np.bitwise_or.at(sieve, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    return phrases._counted(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)), longest, sieve)
+
+
+def test_memory_of_a_counting_task(monkeypatch):
+    """Words that are rare everywhere, most of a text's different ones, are not held; these 400,000 took 99 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+    run = counting(monkeypatch, " ".join(f"w{i}" for i in range(1000)), 1)
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [" ".join(f"w{j % 1000} rare{i * 2000 + j}" for j in range(2000))]}) for i in range(200)]
+    tracemalloc.start()
+    got = {r["phrase"]: r["count"] for b in run(iter(batches)) for r in b.to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[None] == 800_000 and all(got[f"w{i}"] == 400 for i in range(1000)) and peak < 40e6
+
+
+def test_only_phrases_whose_parts_may_be_frequent_are_sent(monkeypatch):
+    import pyarrow as pa
+    run = counting(monkeypatch, "a b, b c, d")
+    monkeypatch.setattr(phrases, "_SENT_ROWS", 2, raising=False)
+    rows = {"lang": ["de", "en", "en"], "text": ["a b c", "a b c d e. a b", "e a"]}
+    batches = list(run(iter([pa.RecordBatch.from_pydict(rows)])))
+    sent = sorted((r["phrase"], r["count"]) for b in batches for r in b.to_pylist() if r["words"])
+    assert sent == [("a", 3), ("a b", 2), ("b", 2), ("b c", 1), ("c", 1), ("d", 1)] and all(b.num_rows <= 2 for b in batches)
+    # hashes of "x y z" alone, not of its words: let through, and yet not frequent
+    sieve = np.zeros(1 << (phrases._SIEVE_BITS - 6), np.uint64)
+    numbers = phrases.Numbers()
+    for words, own in phrases.word_numbers([b"x y z"], numbers, 4):
+        for n, _, x in phrases.hashes(words, own, np.asarray(numbers.hashes, np.uint64), phrases._seed("en"), 4):
+            if n == 3:
+                slot = int(x[0]) >> 64 - phrases._SIEVE_BITS
+                sieve[slot >> 6] |= np.uint64(1 << (slot & 63))
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    run = phrases._counted(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)), 4, sieve)
+    got = [r for b in run(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["x y z"]})])) for r in b.to_pylist()]
+    assert got == [{"lang": "en", "phrase": None, "words": 0, "count": 3}]
+
+
+def test_words_rare_in_one_language_and_frequent_in_another(spark):
+    rows = [("de", "only there"), ("en", "here only, there")] * 5 + [("en", "only here only")] * 40 + [("de", "here there Here")] * 40 + [("fr", "only there")] * 29
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = sorted(map(tuple, collocations(docs).collect()))
+    assert got == brute(rows, 30, 2000) and {r[0] for r in got} == {"en", "de"}
