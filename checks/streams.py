@@ -134,13 +134,15 @@ class Arrivals:
         self.lots.where(F.col("lot") == i).drop("lot").write.mode("append").parquet(self.path)
 
 
-LATE = "20 days"  # more than two lots
+def late_days(lo, hi):
+    """More than two lots."""
+    return max(20, (hi - lo) // (2 * 24 * HOUR) + 1)
 
 
-def end_of(packets):
+def end_of(packets, late):
     """A packet of another board long after all others, so that the watermark passes those."""
     rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in packets.schema if f.name not in ("id_board", "_time", "seq")]
-    end = packets.agg(F.max("_time").alias("_last")).select(F.lit("end").alias("id_board"), (F.col("_last") + F.expr("INTERVAL 90 DAYS")).alias("_time"), F.lit(0).cast("long").alias("seq"), *rest)
+    end = packets.agg(F.max("_time").alias("_last")).select(F.lit("end").alias("id_board"), (F.col("_last") + F.expr(f"INTERVAL {late + 70} DAYS")).alias("_time"), F.lit(0).cast("long").alias("seq"), *rest)
     return packets.unionByName(end)
 
 
@@ -148,11 +150,12 @@ def controlled(spark, packets, readings, rules, run):
     """Let packets and readings arrive lot by lot; ``run`` starts the query that works them through."""
     t = F.unix_micros("_time")
     bounds = packets.agg(F.min(t), F.max(t)).first()  # one row
-    sources = [Arrivals(spark, d, *bounds) for d in (end_of(packets), readings) if d is not None]
+    late = late_days(*bounds)
+    sources = [Arrivals(spark, d, *bounds) for d in (end_of(packets, late), readings) if d is not None]
     for i in range(4):
         for s in sources:
             s.arrive(i)
-        run(controller.controlled(*[s.stream() for s in sources], rules=rules, lateness=LATE)).awaitTermination()
+        run(controller.controlled(*[s.stream() for s in sources], rules=rules, lateness=f"{late} days")).awaitTermination()
 
 
 def to_files(spark):
