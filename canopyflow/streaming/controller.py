@@ -320,7 +320,7 @@ class _Controller(StatefulProcessor):
         return self._ruled(out)
 
     def _ruled(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        fired, failed = [[[] for _ in range(len(pdf))] for _ in range(2)]
+        fired, failed = [[]] * len(pdf), []  # rows share their lists: most are empty
         for rule in self.rules:
             try:
                 told = np.flatnonzero(pdf[list(rule.needs)].notna().all(axis=1))
@@ -328,13 +328,12 @@ class _Controller(StatefulProcessor):
                 before = self.counts.getValue((rule.name,))[0] if self.counts.containsKey((rule.name,)) else 0
                 fires, after = count_rule(holds, rule.patience, before)
             except Exception as e:  # a rule's own fault: the others and the packets go on
-                for x in failed:
-                    x.append(f"{rule.name}: {type(e).__name__}: {e}")
+                failed.append(f"{rule.name}: {type(e).__name__}: {e}")
                 continue
             self.counts.updateValue((rule.name,), (after,))
             for i in told[fires].tolist():
-                fired[i].append(rule.name)
-        return pdf.assign(fired=fired, failed=failed)
+                fired[i] = [*fired[i], rule.name]
+        return pdf.assign(fired=fired, failed=[failed] * len(pdf))
 
     def close(self) -> None:
         pass
